@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postingflow.functions.regex import let
+from postingflow.functions.once import let
 
 
 def any_of(tests) -> Column:
@@ -89,7 +89,7 @@ def dash(word: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Strip Unicode whitespace, then turn newline, tab, return and nbsp into spaces."""
-    return F.translate(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), "\n\t\r ", "    ")
+    return F.translate(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), "\n\t\r\u00a0", "    ")
 
 
 def strip_control(text: Column) -> Column:

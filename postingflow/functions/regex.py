@@ -53,12 +53,3 @@ def search(text: Column, pattern: str, group: int = 0, ignore_case: bool = False
 
 def casefold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-
-
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body(value)``.
-
-    Catalyst substitutes an alias into every use when it pushes a filter or merges
-    projections, which would lower() a whole description once per keyword.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from postingflow import config
 from postingflow.functions.columns import contains_any
+from postingflow.functions.once import materialize
 from postingflow.functions.regex import search
 
 
@@ -135,7 +136,7 @@ def with_salary_from_text(
             (F.col("_month") * F.col("_factor")).alias("annual"), F.col("_month").alias("monthly")
         ),
     )
-    return staged.select(*keep, guessed.alias(out))
+    return materialize(staged, {out: guessed}).select(*keep, out)
 
 
 def with_salary_from_description(

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingflow.functions import regex
-from postingflow.functions.regex import let, matches
+from postingflow.functions.once import let
+from postingflow.functions.regex import matches
 
 MAX_RULES = 20_000
 SCALE = Decimal("0.001")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from postingflow import config
 from postingflow.functions import regex
 from postingflow.functions.columns import word_array
-from postingflow.functions.regex import let, matches
+from postingflow.functions.once import let
+from postingflow.functions.regex import matches
 
 
 def words(text: Column) -> Column:

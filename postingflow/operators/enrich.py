@@ -12,6 +12,7 @@ from postingflow.config import Profile
 from postingflow.functions import salary as salary_fn
 from postingflow.functions import scoring
 from postingflow.functions.columns import contains_any, location_match, long_contains_any
+from postingflow.functions.once import materialize
 from postingflow.functions.text import language, tag_keywords
 from postingflow.operators.filters import apply_chain, ban_title_words
 
@@ -58,7 +59,7 @@ def rank(
     points = posting_points(rules, **options)
     if not overwrite and "points" in df.columns:
         points = F.coalesce(F.col("points"), points)
-    return df.withColumn("points", points)
+    return materialize(df, {"points": points})
 
 
 def rank_for(df: DataFrame, profile: Profile, overwrite: bool = True) -> DataFrame:
@@ -79,7 +80,7 @@ def missing_keyword_bonus(df: DataFrame, keyword_points) -> DataFrame:
         found = contains_any(title, keywords) | long_contains_any(description, keywords)
         bonus = bonus + F.when(found, F.lit(Decimal(0))).otherwise(F.lit(Decimal(str(points))))
     base = F.coalesce(F.col("points"), F.lit(Decimal(0)))
-    return df.withColumn("points", (base + bonus).cast("decimal(12,2)"))
+    return materialize(df, {"points": (base + bonus).cast("decimal(12,2)")})
 
 
 def with_keywords(df: DataFrame, keywords, overwrite: bool = True, description_key: str = "description") -> DataFrame:
@@ -111,7 +112,7 @@ def process(
 
 def with_salary(
     df: DataFrame, overwrite: bool = True, fmt: salary_fn.NumberFormat = salary_fn.NumberFormat(),
-    by_site: bool = False,
+    by_site: bool = False, patterns=config.SALARY_SECTION_PATTERNS,
 ) -> DataFrame:
     """Salary from the stated ``salary`` where there is one, else from the description.
 
@@ -119,7 +120,7 @@ def with_salary(
     """
     salary = F.col("salary") if "salary" in df.columns else F.lit(None).cast("string")
     staged = df.withColumn(
-        "_pay", F.when(salary.isNotNull(), salary).otherwise(salary_fn.section(F.col("description")))
+        "_pay", F.when(salary.isNotNull(), salary).otherwise(salary_fn.section(F.col("description"), patterns))
     )
     factor = salary_fn.site_factor(F.col("source")) if by_site else None
     staged = salary_fn.with_salary_from_text(staged, F.col("_pay"), "_read", fmt, factor)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postingflow import config
 from postingflow.functions import regex
 from postingflow.functions.columns import all_of, any_of, contains_any, word_array
-from postingflow.functions.regex import let
+from postingflow.functions.once import let
 
 
 def _text(name: str) -> Column:

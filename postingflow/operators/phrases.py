@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postingflow import config
-from postingflow.functions.columns import word_array
+from postingflow.functions.once import explode_once, let
 from postingflow.functions.text import language, ngrams, nlp_units, word_count, words
 
 
@@ -75,7 +75,7 @@ def keep_keyphrases(phrases: Column, stopwords) -> Column:
 
     def good(phrase):
         parts = F.split(F.lower(phrase), " ")
-        return (F.size(parts) > 1) & ~F.arrays_overlap(parts, word_array(stopwords))
+        return (F.size(parts) > 1) & ~F.exists(parts, lambda w: w.isin(list(stopwords)))
 
     return F.filter(phrases, good)
 
@@ -87,16 +87,14 @@ def not_language(phrase: Column, code: str = "de") -> Column:
 
 def document_phrases(df: DataFrame, text: str = "description", sizes=(1, 2, 3)) -> DataFrame:
     """Every run of 1-3 words of every document, as an array column ``phrases``."""
-    tokens = df.withColumn("_tokens", words(F.col(text)))
-    return tokens.withColumn(
-        "phrases", F.concat(*[ngrams(F.col("_tokens"), n) for n in sizes])
-    ).drop("_tokens")
+    phrases = let(words(F.col(text)), lambda tokens: F.concat(*[ngrams(tokens, n) for n in sizes]))
+    return df.withColumn("phrases", phrases)
 
 
 def phrase_counts(phrases: DataFrame, column: str = "phrases", min_count: int = 2) -> DataFrame:
     """Occurrences of each phrase over all documents, rarer ones left out."""
     return (
-        phrases.select(F.explode(column).alias("phrase"))
+        explode_once(phrases, F.col(column), "phrase")
         .groupBy("phrase")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_count)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postingflow.config import Profile
+from postingflow.functions.once import explode_once, materialize
 from postingflow.operators import filters, snapshots
 from postingflow.operators.enrich import posting_points
 from postingflow.schema import KEY
@@ -31,7 +32,8 @@ def candidates(df: DataFrame, profiles: list[Profile]) -> DataFrame:
         )
         for p in profiles
     ]
-    return df.withColumn("profile", F.explode(F.array_compact(F.array(*routes))))
+    rest = [c for c in df.columns if c != "profile"]
+    return explode_once(df, F.array_compact(F.array(*routes)), "profile", *rest)
 
 
 def points_for(profile: Profile):
@@ -47,7 +49,7 @@ def score_all(df: DataFrame, profiles: list[Profile]) -> DataFrame:
         *[F.struct(F.lit(p.name).alias("profile"), points_for(p).alias("points")) for p in profiles]
     )
     rest = [c for c in df.columns if c not in ("points", "profile")]
-    return df.select(*rest, F.explode(scored).alias("_s")).select(
+    return explode_once(df, scored, "_s", *rest).select(
         *rest, F.col("_s.profile").alias("profile"), F.col("_s.points").alias("points")
     )
 
@@ -57,7 +59,7 @@ def score_candidates(routed: DataFrame, profiles: list[Profile]) -> DataFrame:
     points = F.lit(None).cast("decimal(12,2)")
     for p in profiles:
         points = F.when(F.col("profile") == p.name, points_for(p)).otherwise(points)
-    return routed.withColumn("points", points)
+    return materialize(routed, {"points": points})
 
 
 def merge_history(history: DataFrame, scored: DataFrame, order: str = "ord") -> DataFrame:

@@ -32,7 +32,7 @@ def listing_items(pages: DataFrame, body: str = "body") -> DataFrame:
         "_items", F.from_json(body, LISTING_SCHEMA)["data"]["jobsSearchList"]["activeItems"]["items"]
     )
     return (
-        items.select(*rest, F.posexplode("_items").alias("item_pos", "_item"))
+        items.select(*rest, F.posexplode_outer("_items").alias("item_pos", "_item"))
         .where(F.col("_item.jobsItem").isNotNull())
         .select(*rest, "item_pos", "_item.jobsItem.*")
     )
@@ -76,8 +76,8 @@ def listing_links(pages: DataFrame, selector: str, html: str = "html") -> DataFr
     """One row per matching link of listing pages."""
     rest = [c for c in pages.columns if c != html]
     return pages.select(
-        *rest, F.posexplode(page_links(F.col(html), selector)).alias("link_pos", "_link")
-    ).select(*rest, "link_pos", "_link.text", "_link.href", "_link.attrs")
+        *rest, F.posexplode_outer(page_links(F.col(html), selector)).alias("link_pos", "_link")
+    ).where(F.col("link_pos").isNotNull()).select(*rest, "link_pos", "_link.text", "_link.href", "_link.attrs")
 
 
 def parse_listing_html(

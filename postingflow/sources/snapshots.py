@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postingflow.functions.once import explode_once
 from postingflow.schema import KEY, SNAPSHOT_VALUE, conform, empty_postings
 
 # In an indented snapshot file every posting but the last ends with exactly this text (a
@@ -33,7 +34,8 @@ def parse_snapshot(chunks: DataFrame, value: str = "value", schema: T.StructType
         F.raise_error(F.concat(F.lit("unreadable snapshot text: "), F.substring("_body", 1, 200))),
     ).otherwise(F.col("_map"))
     rest = [c for c in chunks.columns if c != value]
-    return parsed.select(*rest, F.explode(checked).alias(KEY, "_v")).select(KEY, "_v.*", *rest)
+    rows = parsed.select(*rest, F.explode_outer(checked).alias(KEY, "_v"))
+    return rows.where(F.col(KEY).isNotNull()).select(KEY, "_v.*", *rest)
 
 
 def read_snapshots(spark: SparkSession, paths, nested: bool = False, modified_after: str | None = None) -> DataFrame:
@@ -69,7 +71,7 @@ def read_list(spark: SparkSession, path: str, column: str = "company") -> DataFr
 
 
 def parse_list(chunks: DataFrame, column: str, value: str = "value") -> DataFrame:
-    return chunks.select(F.explode(F.from_json(value, "array<string>")).alias(column))
+    return explode_once(chunks, F.from_json(value, "array<string>"), column)
 
 
 def collection_date(collected: Column, file: Column, modified: Column | None = None, overwrite: bool = False) -> Column:
@@ -139,22 +141,25 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(done)
 
 
-def read_store(spark: SparkSession, path: str, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """The latest (or a given) version of a stored table; empty before the first write."""
-    versions = _versions(spark, path)
+def read_store(
+    spark: SparkSession, path: str, before: int | None = None, schema: T.StructType | None = None
+) -> DataFrame:
+    """The latest version of a stored table (or the latest below ``before``); empty before
+    the first write."""
+    versions = [v for v in _versions(spark, path) if before is None or v < before]
     if not versions:
         return empty_postings(spark) if schema is None else spark.createDataFrame([], schema)
-    chosen = versions[-1] if version is None else version
-    return spark.read.parquet(f"{path}/version={chosen}")
+    return spark.read.parquet(f"{path}/version={versions[-1]}")
 
 
-def write_store(df: DataFrame, path: str) -> int:
-    """Write the next version; readers see it once it is complete.
+def write_store(df: DataFrame, path: str, version: int | None = None) -> int:
+    """Write the next (or a given) version; readers see it once it is complete.
 
     The version being read is never touched, so a job may derive the next one from it.
     """
-    versions = _versions(df.sparkSession, path)
-    version = versions[-1] + 1 if versions else 0
+    if version is None:
+        versions = _versions(df.sparkSession, path)
+        version = versions[-1] + 1 if versions else 0
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
     return version
 

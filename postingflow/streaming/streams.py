@@ -62,15 +62,15 @@ def run_available(stream: DataFrame, checkpoint: str, sink: str | None = None, e
 def upsert_seen(store: str, key: str):
     """Per-batch step for ``first_last_seen`` in update mode: merge into a versioned table.
 
-    Min/max are idempotent, so a repeated batch changes nothing.
+    A repeated batch starts from the version before it and writes the same one again.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = read_store(batch.sparkSession, store, schema=batch.schema)
+        known = read_store(batch.sparkSession, store, before=batch_id, schema=batch.schema)
         merged = known.unionByName(batch).groupBy(key).agg(
             F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
         )
-        write_store(merged, store)
+        write_store(merged, store, version=batch_id)
 
     return step
 
@@ -78,19 +78,20 @@ def upsert_seen(store: str, key: str):
 def ingest_snapshots(history: str, added_log: str, order: str = "ord", key: str = KEY):
     """Per-batch step of the daily loop: log the added postings, merge into history.
 
-    Re-running a batch is harmless: its added rows go to the same batch folder, and merging
-    the same records again gives the same history.
+    The history version carries the batch number: a repeated batch starts from the version
+    before it, finds the same added rows and writes the same version again.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{added_log}/batch_id={batch_id}"
-        past = read_store(spark, history, schema=batch.schema)
+        past = read_store(batch.sparkSession, history, before=batch_id, schema=batch.schema)
         fresh = snapshots.added(batch, past, key)
-        snapshots.unify(fresh, order, key).write.mode("overwrite").parquet(target)
+        snapshots.unify(fresh, order, key).write.mode("overwrite").parquet(
+            f"{added_log}/batch_id={batch_id}"
+        )
+        # History comes before everything in the batch.
         merged = snapshots.unify(
             snapshots.union_columns(past.withColumn(order, F.lit(-1).cast("bigint")), batch), order, key
         )
-        write_store(merged.withColumn(order, F.lit(-1).cast("bigint")), history)
+        write_store(merged.withColumn(order, F.lit(-1).cast("bigint")), history, version=batch_id)
 
     return step
