@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postingflow.config import Profile
 from postingflow.operators import enrich, filters, reports
-from postingflow.plans import queries_columns, queries_text  # noqa: F401
+from postingflow.plans import (  # noqa: F401
+    queries_columns,
+    queries_reports,
+    queries_snapshots,
+    queries_text,
+)
 from postingflow.plans.registry import ORACLES, QUERIES  # noqa: F401
 from postingflow.plans.views import postings
 

@@ -106,10 +106,15 @@ def nth_snapshot(df: DataFrame, n: int = 0, column: str = "snapshot_id", ascendi
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by=("profile", "snapshot_date"), fmt: str = "parquet", mode: str = "append") -> None:
-    """Write postings partitioned by profile and date where those columns exist."""
+    """Write postings partitioned by profile and date where those columns exist.
+
+    ``rebalance`` gathers each output partition into few files and splits a large one.
+    """
     parts = [c for c in partition_by if c in df.columns]
-    writer = df.write.mode(mode).format(fmt)
-    (writer.partitionBy(*parts) if parts else writer).save(path)
+    if not parts:
+        df.write.mode(mode).format(fmt).save(path)
+        return
+    df.hint("rebalance", *parts).write.mode(mode).format(fmt).partitionBy(*parts).save(path)
 
 
 def append_log(lines: DataFrame, path: str) -> None:
