@@ -126,7 +126,7 @@ def selected_elements(html: str | None, selector: str) -> list[dict]:
     if html is None:
         return []
     return [
-        {"text": p["text"], "href": p["attrs"].get("href"), "attrs": list(p["attrs"].items())}
+        {"text": p["text"], "href": p["attrs"].get("href"), "attrs": p["attrs"]}
         for p in Page(selector).read(html).picked
     ]
 

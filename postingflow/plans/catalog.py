@@ -8,6 +8,7 @@ from postingflow.config import Profile
 from postingflow.operators import enrich, filters, reports
 from postingflow.plans import (  # noqa: F401
     queries_columns,
+    queries_pages,
     queries_reports,
     queries_snapshots,
     queries_text,

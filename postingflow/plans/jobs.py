@@ -37,65 +37,75 @@ def run_stages(df: DataFrame, stages: Iterable[Step]) -> DataFrame:
 
 
 def daily_run(
-    raw: DataFrame, history: DataFrame, profile: Profile, threshold=config.MIN_POINTS,
-    order: str = "ord",
+    raw: DataFrame, history: DataFrame, profile: Profile, threshold=config.MIN_POINTS
 ) -> RunBundle:
     """Process fresh postings, compare them with history and backfill their dates.
 
     ``history`` holds one row per posting with its dates; it is the baseline of ``removed``.
+    One join with it, before any text work, tells which postings are new and gives the
+    others their first date.
     """
-    processed = enrich.process(enrich.with_salary(raw), profile)
-    past = snapshots.union_columns(history.withColumn(order, F.lit(-1).cast("bigint")), processed)
-    dates = snapshots.with_timespan(
-        past.groupBy(KEY).agg(
-            F.min(F.least("first_collected_on", "collected_on")).alias("first_collected_on"),
-            F.max(F.greatest("last_collected_on", "collected_on")).alias("last_collected_on"),
-        )
-        if "first_collected_on" in past.columns
-        else past.groupBy(KEY).agg(
-            F.min("collected_on").alias("first_collected_on"),
-            F.max("collected_on").alias("last_collected_on"),
-        )
+    past = history.select(
+        KEY, F.col("first_collected_on").alias("_first"), F.col("last_collected_on").alias("_last")
     )
-    results = snapshots.history_backfill(processed, dates)
-    results = results.withColumn(
+    joined = raw.drop("first_collected_on", "last_collected_on").join(past, KEY, "left")
+    dates = joined.withColumns(
+        {
+            "is_added": F.col("_last").isNull(),
+            "first_collected_on": F.least("_first", "collected_on"),
+            "last_collected_on": F.greatest("_last", "collected_on"),
+        }
+    ).drop("_first", "_last")
+    processed = enrich.process(enrich.with_salary(snapshots.with_timespan(dates)), profile)
+    results = filters.threshold_points(processed, threshold).withColumn(
         "locations", reorder_locations(F.col("locations"), profile.locations_desired)
     )
-    results = filters.threshold_points(results, threshold)
     return RunBundle(
-        results=results,
-        added=snapshots.added(results, history),
-        removed=filters.threshold_points(snapshots.removed(processed, history), threshold),
+        results=results.drop("is_added"),
+        added=results.where("is_added").drop("is_added"),
+        removed=filters.threshold_points(snapshots.removed(raw, history), threshold),
         companies=coverage.companies_in_city(results, KEY),
     )
 
 
 def store_run(current: DataFrame, root: str, order: str = "ord") -> dict[str, int]:
-    """Compare with the stored history, then save current, newly added and new history."""
+    """Save current postings, compare them with the stored history, save both outcomes.
+
+    The current postings are written first and read back, so their processing runs once.
+    """
     spark = current.sparkSession
+    saved = store.write_store(current, f"{root}/current")
+    current = store.read_store(spark, f"{root}/current")
     past = store.read_store(spark, f"{root}/history", schema=current.schema)
     new_rows = snapshots.added(current, past)
     both = snapshots.union_columns(past.withColumn(order, F.lit(-1).cast("bigint")), current)
     merged = snapshots.with_timespan(snapshots.unify(both, order))
-    # Newly added first: it is derived from the history version still in place.
     return {
+        "current": saved,
         "newly_added": store.write_store(new_rows, f"{root}/newly_added"),
-        "current": store.write_store(current, f"{root}/current"),
         "history": store.write_store(merged, f"{root}/history"),
     }
 
 
 def derive_profiles(
-    universal: DataFrame, chosen: list[Profile], previous: DataFrame | None = None,
-    min_date: dt.date | None = None, date_key: str = "collected_on",
+    universal: DataFrame, chosen: list[Profile], root: str, min_date: dt.date | None = None,
+    date_key: str = "collected_on",
 ) -> dict[str, DataFrame]:
-    """Route, score and select postings for every profile, and compare with last time."""
-    scored = profiles.score_candidates(profiles.candidates(universal, chosen), chosen)
-    selected = profiles.select_final(scored, chosen, min_date, date_key)
-    out = {"scored": scored, "selected": selected}
-    if previous is not None:
-        out["added"], out["removed"] = profiles.compare_selected(selected, previous)
-    return out
+    """Route, score and select postings for every profile, and compare with last time.
+
+    Scores are stored below ``root`` and read back: selection and comparison work on the
+    stored table and score nothing again.
+    """
+    spark = universal.sparkSession
+    store.write_store(
+        profiles.score_candidates(profiles.candidates(universal, chosen), chosen), f"{root}/scored"
+    )
+    scored = store.read_store(spark, f"{root}/scored")
+    previous = store.read_store(spark, f"{root}/selected", schema=scored.schema)
+    store.write_store(profiles.select_final(scored, chosen, min_date, date_key), f"{root}/selected")
+    selected = store.read_store(spark, f"{root}/selected")
+    added, removed = profiles.compare_selected(selected, previous)
+    return {"scored": scored, "selected": selected, "added": added, "removed": removed}
 
 
 def profile_outputs(selected: DataFrame, as_of: dt.date, run_ts: dt.datetime, highlight_days: int | None = None) -> dict[str, DataFrame]:

@@ -18,7 +18,7 @@ from postingflow.plans.queries_text import _RANK_CTES, PLAIN_SECTIONS, paid_post
 from postingflow.plans.registry import query
 from postingflow.plans.views import joined, over_postings, over_snapshots, postings, snapshot_pair, snapshot_rows, table
 from postingflow.session import scratch_dir
-from postingflow.sources.snapshots import read_store
+from postingflow.sources.snapshots import read_store, write_store
 from postingflow.streaming import streams
 
 AS_OF = dt.date(2024, 2, 15)
@@ -272,8 +272,6 @@ def g0(spark, sf):
     path = scratch_dir(spark, "profile")
     empty = read_store(spark, path)
     routed = profiles.candidates(postings(spark, sf), [TECH]).select("profile", "posting_id")
-    from postingflow.sources.snapshots import write_store
-
     write_store(routed, path)
     loaded = read_store(spark, path).join(empty.select("posting_id"), "posting_id", "left_anti")
     return loaded.groupBy("profile").agg(F.count("*").alias("candidates"))
@@ -325,7 +323,9 @@ def g5_scores(spark, sf):
     "UNION ALL SELECT 'removed', profile, posting_id FROM routed r WHERE lang_label = 'en' AND NOT EXISTS (SELECT 1 FROM selected s WHERE r.profile = s.profile AND r.posting_id = s.posting_id)",
     f"{_PAID}, {_ROUTED}, {_SELECTED}"))
 def g8(spark, sf):
-    scored = _scored(spark, sf)
+    root = scratch_dir(spark, "profiles")
+    write_store(_scored(spark, sf), root)
+    scored = read_store(spark, root)
     selected = profiles.select_final(scored, PROFILES, dt.date(2024, 1, 10))
     fresh, gone = profiles.compare_selected(selected, scored.where("lang_label = 'en'"))
     parts = [d.select(F.lit(n).alias("change"), "profile", "posting_id") for n, d in (("added", fresh), ("removed", gone))]
@@ -334,14 +334,18 @@ def g8(spark, sf):
 
 @query("g9_derive_profile_postings", over_postings("SELECT profile, count(*) AS postings, sum(score) AS points FROM selected GROUP BY profile", f"{_PAID}, {_ROUTED}, {_SELECTED}"))
 def g9(spark, sf):
-    made = jobs.derive_profiles(paid_postings(spark, sf), PROFILES, min_date=dt.date(2024, 1, 10))
+    made = jobs.derive_profiles(
+        paid_postings(spark, sf), PROFILES, scratch_dir(spark, "profiles"), dt.date(2024, 1, 10)
+    )
     return made["selected"].groupBy("profile").agg(F.count("*").alias("postings"), F.sum("points").alias("points"))
 
 
 @query("g10_profile_outputs", over_postings(
     "SELECT profile || '/' || posting_id AS posting_id, title || ' - at - ' || company AS line FROM selected", f"{_PAID}, {_ROUTED}, {_SELECTED}"))
 def g10(spark, sf):
-    made = jobs.derive_profiles(paid_postings(spark, sf), PROFILES, min_date=dt.date(2024, 1, 10))
+    made = jobs.derive_profiles(
+        paid_postings(spark, sf), PROFILES, scratch_dir(spark, "profiles"), dt.date(2024, 1, 10)
+    )
     return jobs.profile_outputs(made["selected"], AS_OF, RUN_TS)["log"].select("posting_id", "line")
 
 
@@ -369,7 +373,8 @@ def j8(spark, sf):
 
 def _events(spark, sf):
     schema = table(spark, sf, "events").schema
-    return streams.stream_parquet(spark, sf, schema, glob="events.parquet")
+    events = streams.stream_parquet(spark, sf, schema, glob="events.parquet")
+    return events.withColumn("ts", streams.utc_time(F.col("ts")))
 
 
 @query("z1_incremental_ingest", over_snapshots(
@@ -395,7 +400,7 @@ def z1(spark, sf):
 def z2(spark, sf):
     root = scratch_dir(spark, "seen")
     # Microseconds keep the comparison exact and independent of the session time zone.
-    events = _events(spark, sf).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    events = _events(spark, sf).withColumn("us", F.unix_micros("ts"))
     seen = streams.first_last_seen(events, "user_id", "us")
     streams.run_available(seen, f"{root}/checkpoint", each=streams.upsert_seen(f"{root}/seen", "user_id"), mode="update")
     stored = read_store(spark, f"{root}/seen")
@@ -419,4 +424,5 @@ def z4(spark, sf):
     counts = streams.daily_counts(_events(spark, sf), "ts", "1 day")
     streams.run_available(counts, f"{root}/checkpoint", f"{root}/out")
     done = spark.read.parquet(f"{root}/out")
-    return done.select(F.date_format("day_start", "yyyy-MM-dd").alias("day"), "n")
+    day = F.date_from_unix_date((F.unix_seconds("day_start") / 86400).cast("int"))
+    return done.select(day.cast("string").alias("day"), "n")

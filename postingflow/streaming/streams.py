@@ -6,7 +6,7 @@ the caller names, which on a cluster are in shared storage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,6 +25,11 @@ def stream_parquet(spark: SparkSession, folder: str, schema, glob: str | None =
     return reader.parquet(folder)
 
 
+def utc_time(ts: Column) -> Column:
+    """A wall-clock timestamp read as UTC, whatever the session's time zone."""
+    return F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
+
+
 def first_last_seen(events: DataFrame, key: str, ts: str) -> DataFrame:
     """First and last time of each key; min/max make late input harmless."""
     return events.groupBy(key).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
