@@ -33,10 +33,50 @@ def is_literal(pattern: str) -> bool:
     return not any(ch in _META for ch in pattern)
 
 
-def word_literal(pattern: str) -> str | None:
-    """``X`` for a pattern of the form ``\\bX\\b``, ``\\bX`` or ``X\\b`` with X literal."""
-    inner = pattern.removeprefix(r"\b").removesuffix(r"\b")
-    return inner if inner != pattern and inner and is_literal(inner) else None
+def required_words(pattern: str) -> tuple[str, ...]:
+    """Literal texts of which at least one must occur wherever the pattern matches.
+
+    Either one plain run of the pattern, or the branches of a group of plain words such as
+    ``(netto|brutto|gross)``. Empty when there is no safe answer; looking for these words
+    first is far cheaper than running the regex over a long text.
+    """
+    if re.search(r"\\[()\[\]|]|\(\?[^:!]", pattern):
+        return ()
+    flat = re.sub(r"\[[^\]]*\]", "\0", pattern)
+    branches: tuple[str, ...] = ()
+    while True:
+        group = re.search(r"\((\?[:!])?([^()]*)\)([?*+]|\{[^}]*\})?", flat)
+        if group is None:
+            break
+        words = group[2].split("|")
+        needed = group[1] != "?!" and group[3] in (None, "+")
+        outermost = "(" not in flat[: group.start()]
+        if needed and outermost and not branches and all(len(w) > 1 and w.isalpha() for w in words):
+            branches = tuple(words)
+        flat = flat[: group.start()] + "\0" + flat[group.end():]
+    if "|" in flat:
+        return ()
+    # A character before an optional quantifier may be absent; escapes are classes or edges.
+    flat = re.sub(r"\\.", "\0", flat)
+    flat = re.sub(r".[?*{][^\0]*?(?=[^?*}0-9,]|$)", "\0", flat)
+    runs = [r for r in re.split(r"[\0.^$*+?{}]", flat) if len(r) > 1]
+    if runs:
+        return (max(runs, key=len),)
+    return branches
+
+
+def gated(text: Column, lowered: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """``matches`` behind a ``contains`` test of the words the pattern needs."""
+    test = matches(text, pattern, ignore_case)
+    words = required_words(pattern)
+    if not words:
+        return test
+    haystack = lowered if ignore_case else text
+    gate = None
+    for word in words:
+        hit = F.contains(haystack, F.lit(word.lower() if ignore_case else word))
+        gate = hit if gate is None else gate | hit
+    return gate & test
 
 
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from postingflow import config
 from postingflow.functions.columns import contains_any
-from postingflow.functions.once import materialize
-from postingflow.functions.regex import search
+from postingflow.functions.once import let, materialize
+from postingflow.functions.regex import required_words, search
 
 
 @dataclass(frozen=True)
@@ -96,9 +96,21 @@ def rungs(lowered: Column, plain: Column, fmt: NumberFormat) -> tuple[Column, Co
 def section(text: Column, patterns=config.SALARY_SECTION_PATTERNS) -> Column:
     """The salary section of a description: the first pattern that matches, in list order.
 
-    ``coalesce`` stops at the first hit, so each pattern runs at most once per row.
+    ``coalesce`` stops at the first hit, and a pattern only runs on texts that hold one of
+    the words it needs.
     """
-    return F.coalesce(*[search(text, p, 0, ignore_case=True) for p in patterns])
+
+    def pick(lowered):
+        options = []
+        for p in patterns:
+            found = search(text, p, 0, ignore_case=True)
+            needs = required_words(p)
+            options.append(
+                F.when(contains_any(lowered, [w.lower() for w in needs]), found) if needs else found
+            )
+        return F.coalesce(*options)
+
+    return let(F.lower(text), pick)
 
 
 def with_salary_from_text(

@@ -155,11 +155,7 @@ def rule_test(text: Column, lowered: Column, rule: Rule) -> Column:
     haystack = lowered if rule.ignore_case else text
     if regex.is_literal(rule.pattern):
         return F.contains(haystack, F.lit(rule.pattern.lower() if rule.ignore_case else rule.pattern))
-    core = regex.word_literal(rule.pattern)
-    test = matches(text, rule.pattern, rule.ignore_case)
-    if core is None:
-        return test
-    return F.contains(haystack, F.lit(core.lower() if rule.ignore_case else core)) & test
+    return regex.gated(text, lowered, rule.pattern, rule.ignore_case)
 
 
 def score_mills(text: Column, rules) -> Column:

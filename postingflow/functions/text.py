@@ -9,7 +9,6 @@ from postingflow import config
 from postingflow.functions import regex
 from postingflow.functions.columns import word_array
 from postingflow.functions.once import let
-from postingflow.functions.regex import matches
 
 
 def words(text: Column) -> Column:
@@ -21,11 +20,10 @@ def words(text: Column) -> Column:
 def _hint_count(lowered: Column, hints) -> Column:
     total = F.lit(0)
     for hint in hints:
-        core = regex.word_literal(hint)
         test = (
             F.contains(lowered, F.lit(hint))
             if regex.is_literal(hint)
-            else (F.contains(lowered, F.lit(core)) & matches(lowered, hint))
+            else regex.gated(lowered, lowered, hint)
         )
         total = total + test.cast("int")
     return total
@@ -83,12 +81,13 @@ def word_count(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of ``n`` neighbouring tokens joined by a space."""
-    if n == 1:
-        return tokens
-    last = F.size(tokens) - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """Runs of ``n`` neighbouring tokens joined by a space; NULL at the end of the list and
+    wherever a token is NULL."""
+    runs = tokens
+    for k in range(1, n):
+        later = F.slice(tokens, F.lit(k + 1), F.size(tokens))
+        runs = F.zip_with(runs, later, lambda a, b: F.concat(a, F.lit(" "), b))
+    return runs
 
 
 def nlp_units(text: Column, minimum: int = config.NLP_MIN_UNITS) -> Column:

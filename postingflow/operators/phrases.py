@@ -87,7 +87,10 @@ def not_language(phrase: Column, code: str = "de") -> Column:
 
 def document_phrases(df: DataFrame, text: str = "description", sizes=(1, 2, 3)) -> DataFrame:
     """Every run of 1-3 words of every document, as an array column ``phrases``."""
-    phrases = let(words(F.col(text)), lambda tokens: F.concat(*[ngrams(tokens, n) for n in sizes]))
+    phrases = let(
+        words(F.col(text)),
+        lambda tokens: F.array_compact(F.concat(*[ngrams(tokens, n) for n in sizes])),
+    )
     return df.withColumn("phrases", phrases)
 
 
@@ -103,18 +106,23 @@ def phrase_counts(phrases: DataFrame, column: str = "phrases", min_count: int =
 
 def mine_keywords(df: DataFrame, stopwords, text: str = "description", min_count: int = 2) -> DataFrame:
     """Counts of all phrases that are not a stop word."""
-    phrases = document_phrases(df, text)
-    return phrase_counts(
-        phrases.select(keep_keywords(F.col("phrases"), stopwords).alias("phrases")), min_count=min_count
+    phrases = let(
+        words(F.col(text)),
+        lambda tokens: F.concat(
+            keep_keywords(tokens, stopwords), ngrams(tokens, 2), ngrams(tokens, 3)
+        ),
     )
+    return phrase_counts(df.select(phrases.alias("phrases")), min_count=min_count)
 
 
 def mine_keyphrases(df: DataFrame, stopwords, text: str = "description", min_count: int = 2) -> DataFrame:
-    """Counts of phrases of several words free of stop words."""
-    phrases = document_phrases(df, text, sizes=(2, 3))
-    return phrase_counts(
-        phrases.select(keep_keyphrases(F.col("phrases"), stopwords).alias("phrases")), min_count=min_count
-    )
+    """Counts of phrases of several words free of stop words.
+
+    Stop words are blanked before phrases are built, so no phrase is made to be dropped.
+    """
+    kept = F.transform(words(F.col(text)), lambda w: F.when(~w.isin(list(stopwords)), w))
+    phrases = let(kept, lambda tokens: F.concat(ngrams(tokens, 2), ngrams(tokens, 3)))
+    return phrase_counts(df.select(phrases.alias("phrases")), min_count=min_count)
 
 
 def top_phrases(counts: DataFrame, n: int = 15) -> DataFrame:
