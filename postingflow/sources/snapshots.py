@@ -9,10 +9,14 @@ from pyspark.sql import types as T
 from postingflow.functions.once import explode_once
 from postingflow.schema import KEY, SNAPSHOT_VALUE, conform, empty_postings
 
-# In an indented snapshot file every posting but the last ends with exactly this text (a
-# JSON string holds no raw newline, nested objects are indented further), so the file can
-# be split between tasks there.
-RECORD_END = "\n    },\n"
+
+def record_end(indent: int) -> str:
+    """The text that ends every posting but the last in a file written with ``indent``.
+
+    A JSON string holds no raw newline and nested objects are indented further, so the file
+    can be split between tasks there.
+    """
+    return "\n" + " " * indent + "},\n"
 
 
 def parse_snapshot(chunks: DataFrame, value: str = "value", schema: T.StructType = SNAPSHOT_VALUE) -> DataFrame:
@@ -38,9 +42,15 @@ def parse_snapshot(chunks: DataFrame, value: str = "value", schema: T.StructType
     return rows.where(F.col(KEY).isNotNull()).select(KEY, "_v.*", *rest)
 
 
-def read_snapshots(spark: SparkSession, paths, nested: bool = False, modified_after: str | None = None) -> DataFrame:
-    """All postings of snapshot files or folders, with ``snapshot_file`` and its time."""
-    reader = spark.read.option("lineSep", RECORD_END)
+def read_snapshots(
+    spark: SparkSession, paths, nested: bool = False, modified_after: str | None = None, indent: int = 4
+) -> DataFrame:
+    """All postings of snapshot files or folders, with ``snapshot_file`` and its time.
+
+    ``indent`` is that of the files (files on one line need none); text that does not fit
+    it fails the job instead of losing postings.
+    """
+    reader = spark.read.option("lineSep", record_end(indent))
     chunks = _folder_options(reader, nested, modified_after).text(paths)
     with_file = chunks.select(
         "value",
