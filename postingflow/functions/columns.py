@@ -86,10 +86,20 @@ def dash(word: Column) -> Column:
 
 # --- text cleaning ----------------------------------------------------------------------
 
+# The characters Python's str.strip() treats as whitespace.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITESPACE))
+
 
 def clean_text(text: Column) -> Column:
     """Strip Unicode whitespace, then turn newline, tab, return and nbsp into spaces."""
-    return F.translate(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), "\n\t\r\u00a0", "    ")
+    return F.translate(strip(text), "\n\t\r\u00a0", "    ")
 
 
 def strip_control(text: Column) -> Column:

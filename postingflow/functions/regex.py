@@ -67,7 +67,7 @@ def required_words(pattern: str) -> tuple[str, ...]:
 
 def gated(text: Column, lowered: Column, pattern: str, ignore_case: bool = False) -> Column:
     """``matches`` behind a ``contains`` test of the words the pattern needs."""
-    test = matches(text, pattern, ignore_case)
+    test = matches_lowered(text, lowered, pattern) if ignore_case else matches(text, pattern)
     words = required_words(pattern)
     if not words:
         return test
@@ -79,9 +79,32 @@ def gated(text: Column, lowered: Column, pattern: str, ignore_case: bool = False
     return gate & test
 
 
+def literal_first(pattern: str) -> str:
+    """The same pattern with a leading word edge tested after the literal that follows it.
+
+    ``\\bword`` tests for an edge at every character of a text; ``word(?<=\\bword)`` only
+    where the word stands.
+    """
+    found = re.match(r"\\b([^\W\d_]{2,})(?![?*+{|])", pattern)
+    if found is None or "|" in pattern:
+        return pattern
+    word = found[1]
+    return f"{word}(?<=\\b{word}){pattern[found.end():]}"
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     """``re.search`` as a boolean column; the pattern is a literal, so it compiles once."""
-    return F.rlike(text, F.lit(java_pattern(pattern, ignore_case)))
+    return F.rlike(text, F.lit(java_pattern(literal_first(pattern), ignore_case)))
+
+
+def matches_lowered(text: Column, lowered: Column, pattern: str) -> Column:
+    """``matches`` ignoring case, on text already lowered where the pattern allows it.
+
+    A lowered pattern on lowered text needs no case-insensitive matching, which is slow.
+    """
+    if re.search(r"\\[A-Z]|\[", pattern):
+        return matches(text, pattern, ignore_case=True)
+    return matches(lowered, pattern.lower())
 
 
 def search(text: Column, pattern: str, group: int = 0, ignore_case: bool = False) -> Column:

@@ -94,21 +94,25 @@ def rungs(lowered: Column, plain: Column, fmt: NumberFormat) -> tuple[Column, Co
 
 
 def section(text: Column, patterns=config.SALARY_SECTION_PATTERNS) -> Column:
-    """The salary section of a description: the first pattern that matches, in list order.
+    """The salary section of a description, lower-cased as the ladder wants it: the first
+    pattern that matches, in list order.
 
     ``coalesce`` stops at the first hit, and a pattern only runs on texts that hold one of
-    the words it needs.
+    the words it needs; patterns that need the same words share that test.
     """
+    needs = [tuple(w.lower() for w in required_words(p)) for p in patterns]
+    gates = list(dict.fromkeys(needs))
 
     def pick(lowered):
-        options = []
-        for p in patterns:
-            found = search(text, p, 0, ignore_case=True)
-            needs = required_words(p)
-            options.append(
-                F.when(contains_any(lowered, [w.lower() for w in needs]), found) if needs else found
-            )
-        return F.coalesce(*options)
+        def first_match(seen):
+            options = []
+            for p, words in zip(patterns, needs):
+                found = search(lowered, p.lower())
+                options.append(F.when(F.get(seen, F.lit(gates.index(words))), found) if words else found)
+            return F.coalesce(*options)
+
+        tests = [contains_any(lowered, words) if words else F.lit(True) for words in gates]
+        return let(F.array(*tests), first_match)
 
     return let(F.lower(text), pick)
 

@@ -32,17 +32,23 @@ def _hint_count(lowered: Column, hints) -> Column:
 def language(text: Column) -> Column:
     """``en`` or ``de`` by distinct word overlap plus pattern hits; a tie gives NULL."""
 
+    listed = tuple(dict.fromkeys(config.ENGLISH_WORDS + config.GERMAN_WORDS))
+
     def decide(t):
-        tokens = F.split(t, r"[^\p{L}\p{N}_]+")
-        return F.struct(
-            (
-                F.size(F.array_intersect(tokens, word_array(config.ENGLISH_WORDS)))
-                + _hint_count(t, config.ENGLISH_HINTS)
-            ).alias("en"),
-            (
-                F.size(F.array_intersect(tokens, word_array(config.GERMAN_WORDS)))
-                + _hint_count(t, config.GERMAN_HINTS)
-            ).alias("de"),
+        # The long token list meets one word list; only the few hits meet the two.
+        known = F.array_intersect(F.split(t, r"[^\p{L}\p{N}_]+"), word_array(listed))
+        return let(
+            known,
+            lambda hits: F.struct(
+                (
+                    F.size(F.array_intersect(hits, word_array(config.ENGLISH_WORDS)))
+                    + _hint_count(t, config.ENGLISH_HINTS)
+                ).alias("en"),
+                (
+                    F.size(F.array_intersect(hits, word_array(config.GERMAN_WORDS)))
+                    + _hint_count(t, config.GERMAN_HINTS)
+                ).alias("de"),
+            ),
         )
 
     counts = let(F.lower(F.coalesce(text, F.lit(""))), decide)
@@ -76,8 +82,7 @@ def tag_keywords(text: Column, ordered_keywords) -> Column:
 
 def word_count(text: Column) -> Column:
     """Whitespace-separated words, as Python's ``str.split()`` counts them."""
-    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"(?U)\s+")))
+    return F.size(F.array_remove(F.split(text, r"(?U)\s+"), ""))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

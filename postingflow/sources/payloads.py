@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from postingflow import config
 from postingflow.config import SourceConfig
-from postingflow.functions.columns import clean_text, id_from_url, query_from_url, trailing_id_from_url
+from postingflow.functions.columns import (
+    clean_text, id_from_url, query_from_url, strip, trailing_id_from_url,
+)
 from postingflow.functions.html import html_to_text, is_full_page, page_links, page_sections
 from postingflow.functions.salary import NumberFormat, with_salary_from_text, with_salary_dual_locale
 from postingflow.operators.enrich import split_sections
@@ -95,7 +97,7 @@ def parse_listing_html(
     ).withColumn("_id", trailing_id_from_url(F.col("_url"))).where(F.col("_id").isNotNull())
     rows = postings.select(
         F.concat(F.lit(site.name), F.col("_id")).alias("posting_id"),
-        F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("title"),
+        strip(F.col("text")).alias("title"),
         F.col("_url").alias("url"), F.lit(company).alias("company"), F.lit(site.name).alias("source"),
         F.concat(F.lit(site.name), F.col("_id")).alias("id"),
         "_word", "_order",
@@ -110,7 +112,7 @@ def parse_generic_html(
 ) -> DataFrame:
     """Postings of any listing HTML, keyed by id or by trimmed text; first one wins."""
     links = listing_links(pages, selector, html)
-    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    text = strip(F.col("text"))
 
     def attr(name):
         return F.try_element_at("attrs", F.lit(name)) if name else F.lit(None).cast("string")

@@ -205,6 +205,18 @@ def test_required_words_are_sound():
                 assert any(w.lower() in text.lower() for w in needs), (p, text, needs)
 
 
+def test_literal_first_is_equivalent():
+    rng = random.Random(9)
+    pieces = ["python", "Python", "pythons", " ", "-", "x", "_", "5", "ö"]
+    for p in (r"\bpython\b", r"\bpython", r"\bpython\s+x", r"\bpythons?"):
+        q = regex.literal_first(p)
+        assert q != p or "?" in p
+        for _ in range(800):
+            text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 6)))
+            for flags in (0, re.IGNORECASE):
+                assert bool(re.search(p, text, flags)) == bool(re.search(q, text, flags)), (p, text)
+
+
 def test_scores_match_python(spark):
     rng = random.Random(5)
     pieces = ["graph theory", "Graph", "data scientist", " AI ", "HR", "x", "ETL", "öAI", "Python", "home office", "sehr gute deutsch", "leiter", "SAP "]
