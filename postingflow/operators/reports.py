@@ -42,7 +42,8 @@ def recency_report(df: DataFrame, as_of: dt.date, date: str = "first_collected_o
     """Bucket rows by age and put the bucket's label on its first row.
 
     The first row of each bucket comes from an aggregate of at most four rows, which is
-    joined back by broadcast; call ``in_report_order`` for the sorted report.
+    joined back by broadcast; call ``in_report_order`` for the sorted report. ``df`` is read
+    twice, so it should be a stored table rather than unfinished text work.
     """
     points = F.coalesce(F.col("points").try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
     rows = df.withColumns({"_bucket": recency_bucket(F.col(date), as_of), "_points": points})

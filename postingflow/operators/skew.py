@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_SHARE = 0.001
-SALTS = 64
+# A key is heavy when it holds more rows than one task should get and a noticeable share of
+# the table. At most 1/HEAVY_SHARE keys can, whatever the size of the data.
+ROWS_PER_TASK = 250_000
+HEAVY_SHARE = 0.00001
 
 
 def cols(key) -> list[str]:
@@ -18,59 +20,64 @@ def key_counts(rows: DataFrame, key, n: str = "_n") -> DataFrame:
     return rows.groupBy(*cols(key)).agg(F.count("*").alias(n))
 
 
-def heavy_keys(counts: DataFrame, key, n: str = "_n", share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys holding at least ``share`` of all rows.
+def heavy_keys(
+    counts: DataFrame, key, n: str = "_n", share: float = HEAVY_SHARE, rows_per_task: int | None = None
+) -> DataFrame:
+    """Heavy keys and the number of tasks (``_salts``) their rows are dealt over.
 
-    ``counts`` has one row per key. At most ``1/share`` keys can qualify whatever the size
-    of the data, which is the bound that makes broadcasting the result safe.
+    ``counts`` has one row per key. At most ``1/share`` keys can qualify, which is the bound
+    that makes broadcasting the result safe.
     """
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     total = counts.agg(F.sum(n).alias("total")).scalar()
-    return counts.where(F.col(n) >= total * F.lit(share)).select(*cols(key))
+    heavy = counts.where((F.col(n) >= rows_per_task) & (F.col(n) >= total * F.lit(share)))
+    return heavy.select(*cols(key), F.ceil(F.col(n) / rows_per_task).cast("int").alias("_salts"))
 
 
 def join_per_key(
     rows: DataFrame, per_key: DataFrame, key, how: str = "inner",
-    counts: DataFrame | None = None, n: str = "_n", salts: int = SALTS,
+    counts: DataFrame | None = None, n: str = "_n", rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join rows to a table with one row per key, splitting the rows of heavy keys.
 
-    Rows of a heavy key are dealt over ``salts`` join partitions by the task that read
-    them (a function of the input split, so a retried task deals them the same way); the
-    heavy key's single row is copied to each of those partitions.
+    A heavy key's rows are dealt over as many join partitions as their number asks for, by
+    the task that read them and their content (so a retried task deals them the same way);
+    the key's single row is copied to each of those partitions.
     """
     keys = cols(key)
     if counts is None:
         counts = key_counts(rows, keys, n)
-    hot = heavy_keys(counts, keys, n).withColumn("_hot", F.lit(True))
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0)),
+    hot = F.broadcast(heavy_keys(counts, keys, n, rows_per_task=rows_per_task))
+    content = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *content), F.col("_salts")).cast("int")
+    left = rows.join(hot, keys, "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNotNull(), dealt).otherwise(F.lit(0))
     )
-    spots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = per_key.join(F.broadcast(hot), keys, "left").select("*", F.explode(spots).alias("_salt"))
-    joined = left.drop("_hot").join(right.drop("_hot"), [*keys, "_salt"], how)
+    spots = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = per_key.join(hot, keys, "left").select("*", F.explode(spots).alias("_salt"))
+    joined = left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how)
     return joined.drop("_salt")
 
 
-def rows_with_key(rows: DataFrame, other: DataFrame, key) -> DataFrame:
+def rows_with_key(rows: DataFrame, other: DataFrame, key, **options) -> DataFrame:
     """Semi join that survives a key with many copies on either side."""
-    return _by_key(rows, other, key, "left_semi")
+    return _by_key(rows, other, key, "left_semi", **options)
 
 
-def rows_without_key(rows: DataFrame, other: DataFrame, key) -> DataFrame:
+def rows_without_key(rows: DataFrame, other: DataFrame, key, **options) -> DataFrame:
     """Anti join that survives a key with many copies on either side.
 
     Both sides shrink to distinct keys before the shuffle that compares them; only then
     are whole rows fetched for the keys that qualify.
     """
-    return _by_key(rows, other, key, "left_anti")
+    return _by_key(rows, other, key, "left_anti", **options)
 
 
-def _by_key(rows: DataFrame, other: DataFrame, key, how: str) -> DataFrame:
+def _by_key(rows: DataFrame, other: DataFrame, key, how: str, **options) -> DataFrame:
     keys = cols(key)
     counts = key_counts(rows, keys)
     kept = counts.join(other.select(*keys).distinct(), keys, how).drop("_n")
-    return join_per_key(rows, kept, keys, counts=counts)
+    return join_per_key(rows, kept, keys, counts=counts, **options)
 
 
 def rows_of_light_keys(rows: DataFrame, key: str, limit: int) -> DataFrame:
@@ -81,5 +88,5 @@ def rows_of_light_keys(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """
     counts = key_counts(rows, key)
     light = counts.where(F.col("_n") <= limit).select(key)
-    hot = heavy_keys(counts.where(F.col("_n") > limit), key)
+    hot = heavy_keys(counts.where(F.col("_n") > limit), key).select(*cols(key))
     return rows.join(F.broadcast(hot), key, "left_anti").join(light, key, "left_semi")

@@ -15,6 +15,7 @@ from postingflow.plans import (  # noqa: F401
 )
 from postingflow.plans.registry import ORACLES, QUERIES  # noqa: F401
 from postingflow.plans.views import postings
+from postingflow.session import settle
 
 
 def ranked_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +23,8 @@ def ranked_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = Profile(banned_words=("manager", "leiter"))
     paid = enrich.with_salary(postings(spark, sf_dir))
     scored = enrich.process(paid, profile)
-    kept = filters.threshold_points(scored, profile.min_points)
-    return reports.sort_by_key(
-        kept.select(
-            "posting_id", "title", "company", "language", "salary_monthly_guessed", "points", "keywords"
-        )
+    kept = filters.threshold_points(scored, profile.min_points).select(
+        "posting_id", "title", "company", "language", "salary_monthly_guessed", "points", "keywords"
     )
+    # A sort samples its input before it sorts: settle, so the text work runs once.
+    return reports.sort_by_key(settle(kept, "ranked"))

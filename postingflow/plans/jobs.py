@@ -14,6 +14,7 @@ from postingflow.config import Profile
 from postingflow.functions.columns import reorder_locations
 from postingflow.operators import coverage, enrich, filters, profiles, reports, snapshots
 from postingflow.schema import KEY
+from postingflow.session import settle
 from postingflow.sources import snapshots as store
 
 Step = Callable[[DataFrame], DataFrame]
@@ -43,7 +44,8 @@ def daily_run(
 
     ``history`` holds one row per posting with its dates; it is the baseline of ``removed``.
     One join with it, before any text work, tells which postings are new and gives the
-    others their first date.
+    others their first date. The processed postings are settled, since every output of the
+    run reads them.
     """
     past = history.select(
         KEY, F.col("first_collected_on").alias("_first"), F.col("last_collected_on").alias("_last")
@@ -60,10 +62,11 @@ def daily_run(
     results = filters.threshold_points(processed, threshold).withColumn(
         "locations", reorder_locations(F.col("locations"), profile.locations_desired)
     )
+    results = settle(results, "results")
     return RunBundle(
         results=results.drop("is_added"),
         added=results.where("is_added").drop("is_added"),
-        removed=filters.threshold_points(snapshots.removed(raw, history), threshold),
+        removed=settle(filters.threshold_points(snapshots.removed(raw, history), threshold), "removed"),
         companies=coverage.companies_in_city(results, KEY),
     )
 

@@ -68,33 +68,44 @@ def test_joins_split_a_hot_key_without_changing_results(spark):
     others = [("hot",), ("k1",), ("k2",), ("nobody",), ("k1",), ("hot",)]
     other = spark.createDataFrame(others, "posting_id string")
     keys = {k for (k,) in others}
-    kept = [r["v"] for r in skew.rows_with_key(df, other, "posting_id").collect()]
-    gone = [r["v"] for r in skew.rows_without_key(df, other, "posting_id").collect()]
+    kept = [r["v"] for r in skew.rows_with_key(df, other, "posting_id", rows_per_task=100).collect()]
+    gone = [r["v"] for r in skew.rows_without_key(df, other, "posting_id", rows_per_task=100).collect()]
     assert sorted(kept) == [v for k, v in rows if k in keys]
     assert sorted(gone) == [v for k, v in rows if k not in keys]
     per_key = df.groupBy("posting_id").agg(F.max("v").alias("top"))
     top = {}
     for k, v in rows:
         top[k] = max(top.get(k, -1), v)
-    joined = skew.join_per_key(df, per_key, "posting_id").collect()
+    joined = skew.join_per_key(df, per_key, "posting_id", rows_per_task=100).collect()
     assert len(joined) == len(rows) and all(r["top"] == top[r["posting_id"]] for r in joined)
-    left = skew.join_per_key(df, per_key.where("posting_id = 'hot'"), "posting_id", "left").collect()
+    left = skew.join_per_key(df, per_key.where("posting_id = 'hot'"), "posting_id", "left", rows_per_task=100).collect()
     assert len(left) == len(rows) and sum(r["top"] is not None for r in left) == sum(k == "hot" for k, _ in rows)
 
 
 def test_hot_key_is_spread_over_tasks(spark):
     _, df = skewed(spark)
-    joined = skew.join_per_key(df, df.select("posting_id").distinct().withColumn("x", F.lit(1)), "posting_id")
-    hot = joined.where("posting_id = 'hot'").groupBy(F.spark_partition_id()).count().collect()
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in plan and "CartesianProduct" not in plan
-    assert sum(r["count"] for r in hot) == df.where("posting_id = 'hot'").count()
+    marks = df.select("posting_id").distinct().withColumn("x", F.lit(1))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew.join_per_key(df, marks, "posting_id", rows_per_task=100)
+        sizes = joined.where("posting_id = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    hot = sum(r["count"] for r in sizes)
+    assert hot == df.where("posting_id = 'hot'").count()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 0.6 * hot
 
 
 def test_heavy_keys_are_bounded(spark):
     _, df = skewed(spark)
-    heavy = skew.heavy_keys(skew.key_counts(df, "posting_id"), "posting_id", share=0.05).collect()
-    assert [r[0] for r in heavy] == ["hot"]
+    counts = skew.key_counts(df, "posting_id")
+    heavy = skew.heavy_keys(counts, "posting_id", share=0.05, rows_per_task=1).collect()
+    n = df.where("posting_id = 'hot'").count()
+    assert [tuple(r) for r in heavy] == [("hot", n)]
+    assert skew.heavy_keys(counts, "posting_id").count() == 0
 
 
 def test_rare_companies(spark):
