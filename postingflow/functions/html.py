@@ -6,12 +6,17 @@ that runs in tasks. Only the HTML column travels to Python.
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Tasks get this module's code with the function: executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements without content, and elements whose text is not visible.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(("script", "style", "template", "rt", "rp"))
