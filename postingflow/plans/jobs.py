@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingflow import config
@@ -131,11 +131,19 @@ def outputs(bundle: RunBundle, as_of: dt.date, run_ts: dt.datetime, highlight_da
     }
 
 
-def universal_inputs(chosen: list[Profile], spark) -> DataFrame:
-    """Search words of all profiles, each once, with the profiles that asked for it."""
-    rows = [(p.name, i, w) for p in chosen for i, w in enumerate(p.titlewords)]
-    words = spark.createDataFrame(rows, "profile string, pos int, word string")
-    return words.groupBy("word").agg(F.array_sort(F.collect_set("profile")).alias("profiles"))
+def profile_words(spark: SparkSession, chosen: list[Profile]) -> DataFrame:
+    """The search words of profiles as (profile, word) rows."""
+    rows = [(p.name, w) for p in chosen for w in p.titlewords]
+    return spark.createDataFrame(rows, "profile string, word string")
+
+
+def universal_inputs(words: DataFrame) -> DataFrame:
+    """Search words of all profiles, each once, with the profiles that asked for it.
+
+    Pairs are made distinct first, so a word's list is as long as it has profiles.
+    """
+    asked = words.select("word", "profile").distinct().groupBy("word")
+    return asked.agg(F.array_sort(F.collect_list("profile")).alias("profiles"))
 
 
 def merge_chunks(chunks: DataFrame, order: str = "ord") -> DataFrame:

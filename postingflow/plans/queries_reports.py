@@ -14,7 +14,7 @@ from postingflow.operators import coverage, enrich, filters, profiles, reports,
 from postingflow.plans import jobs
 from postingflow.plans import sqltext as Q
 from postingflow.plans.queries_snapshots import RUN_TS, as_text
-from postingflow.plans.queries_text import _RANK_CTES, PLAIN_SECTIONS, paid_postings
+from postingflow.plans.queries_text import _PAID_CTES, _RANK_CTES, SCORE_SQL, paid_postings
 from postingflow.plans.registry import query
 from postingflow.plans.views import joined, over_postings, over_snapshots, postings, snapshot_pair, snapshot_rows, table
 from postingflow.session import scratch_dir
@@ -193,7 +193,21 @@ def _bundle(spark, sf):
     return jobs.daily_run(raw, history, profile)
 
 
-@query("r5_run_bundle")
+_RUN = (
+    f"src AS (SELECT *, {Q.full_section('description')} AS pay FROM newest), "
+    + Q.salary_ctes("src", "pay", "paid")
+    + ", hist AS (SELECT posting_id, min(collected_on) AS f, max(collected_on) AS l, "
+    "coalesce(arg_min(points, ord) FILTER (WHERE points <> 0), 0) AS old_points FROM snapshots WHERE ord < 3 GROUP BY posting_id), "
+    f"run AS (SELECT p.*, {SCORE_SQL} AS score, f, coalesce(least(f, collected_on), collected_on) AS first_on FROM paid p LEFT JOIN hist USING (posting_id)), "
+    f"res AS (SELECT * FROM run WHERE score >= 0.01 AND NOT (contains(lower(title), 'manager') OR {Q.contains_any('title', config.BANNED_CAPITAL_WORDS)})), "
+    f"rep AS (SELECT *, {BUCKET_SQL.format(d='first_on')} AS bucket FROM res)"
+)
+
+
+@query("r5_run_bundle", over_snapshots(
+    "SELECT 'results' AS part, count(*) AS postings FROM res UNION ALL SELECT 'added', count(*) FROM res WHERE f IS NULL "
+    "UNION ALL SELECT 'removed', count(*) FROM hist WHERE old_points >= 0.01 AND posting_id NOT IN (SELECT posting_id FROM newest) "
+    f"UNION ALL SELECT 'companies', count(DISTINCT company) FROM res WHERE {Q.location_match('locations', config.COMPANY_CITY_TERMS)}", _RUN))
 def r5(spark, sf):
     """Sizes of the four tables of a daily run."""
     b = _bundle(spark, sf)
@@ -202,7 +216,9 @@ def r5(spark, sf):
     return sizes.unionByName(firms)
 
 
-@query("r6_tech_profile")
+@query("r6_tech_profile", over_snapshots(
+    f"SELECT posting_id, bucket, CASE WHEN row_number() OVER (PARTITION BY bucket ORDER BY score DESC, posting_id) = 1 THEN {_LABELS}[bucket + 1] ELSE '' END AS separator, "
+    "DATE '2024-02-15' - first_on < 10 AS is_new, title AS \"Title\", company AS \"Company\", score AS \"Points\", CAST(first_on AS VARCHAR) AS \"First date\" FROM rep", _RUN))
 def r6(spark, sf):
     """The report of a daily run."""
     made = jobs.outputs(_bundle(spark, sf), AS_OF, RUN_TS, highlight_days=10)
@@ -249,7 +265,7 @@ def _profile_points_sql(p: Profile) -> str:
     )
 
 
-_PAID = _RANK_CTES.split(", ranked AS", 1)[0]
+_PAID = _PAID_CTES
 _ROUTED = ", ".join(
     f"r_{p.name} AS (SELECT '{p.name}' AS profile, *, {_profile_points_sql(p)} AS score FROM paid WHERE {_route_sql(p)})" for p in PROFILES
 ) + ", routed AS (SELECT * FROM r_tech UNION ALL SELECT * FROM r_sales)"
@@ -263,8 +279,7 @@ _SELECTED = (
     "SELECT word, string_agg(DISTINCT profile, '|' ORDER BY profile) AS profiles FROM (SELECT unnest(matched_titlewords) AS word, lang_label AS profile FROM postings) GROUP BY word"))
 def g1(spark, sf):
     words = postings(spark, sf).select(F.explode("matched_titlewords").alias("word"), F.col("lang_label").alias("profile"))
-    asked = words.distinct().groupBy("word").agg(F.array_join(F.array_sort(F.collect_list("profile")), "|").alias("profiles"))
-    return asked
+    return as_text(jobs.universal_inputs(words))
 
 
 @query("g0_load_profile_state", over_postings("SELECT 'tech' AS profile, count(*) AS candidates FROM r_tech", _PAID + ", " + _ROUTED))
@@ -353,7 +368,7 @@ def g10(spark, sf):
     "SELECT posting_id, score AS points FROM ranked WHERE NOT contains(lower(title), 'manager') AND score > 0", _RANK_CTES))
 def v1(spark, sf):
     stages = (
-        lambda d: enrich.with_salary(d, patterns=PLAIN_SECTIONS),
+        enrich.with_salary,
         lambda d: filters.ban_title_words(d, ("manager",), ()),
         lambda d: enrich.rank_for(d, Profile()),
         filters.positive_only,

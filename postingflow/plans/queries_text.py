@@ -76,13 +76,21 @@ def t4_plain(spark, sf):
     return _annual_monthly(rows)
 
 
-@query("t4_salary_from_description")
+_FULL_SECTION = f"src AS (SELECT posting_id, {Q.full_section('description')} AS pay FROM postings), "
+
+
+@query("t4_salary_from_description", over_postings(
+    "SELECT posting_id, annual, monthly FROM paid", _FULL_SECTION + Q.salary_ctes("src", "pay", "paid")))
 def t4(spark, sf):
-    """All 13 section patterns; several need lookahead, which the SQL engine lacks."""
+    """All 13 section patterns; the SQL tries number positions where they need lookahead."""
     return _annual_monthly(S.with_salary_from_description(postings(spark, sf), F.col("description")))
 
 
-@query("t5_salary_dual_locale")
+@query("t5_salary_dual_locale", over_postings(
+    "SELECT posting_id, coalesce(annual1, annual) AS annual, coalesce(monthly1, monthly) AS monthly FROM comma",
+    _FULL_SECTION + Q.salary_ctes("src", "pay", "point", thousands=",", decimal=".")
+    + ", first AS (SELECT posting_id, pay, annual AS annual1, monthly AS monthly1 FROM point), "
+    + Q.salary_ctes("first", "pay", "comma")))
 def t5(spark, sf):
     return _annual_monthly(S.with_salary_dual_locale(postings(spark, sf), F.col("description")))
 
@@ -170,18 +178,20 @@ def t11(spark, sf):
     )
 
 
-_RANK_CTES = (
-    f"src AS (SELECT *, coalesce(salary, {Q.section('description', PLAIN_SECTIONS)}) AS pay FROM postings), "
-    + Q.salary_ctes("src", "pay", "paid")
-    + ", ranked AS (SELECT *, CAST(round("
-    f"{Q.rule_sum('title', config.STARTER_RULES)} + 0.3 * {Q.rule_sum('description', config.STARTER_RULES)} "
+SCORE_SQL = (
+    f"CAST(round({Q.rule_sum('title', config.STARTER_RULES)} + 0.3 * {Q.rule_sum('description', config.STARTER_RULES)} "
     "+ CASE WHEN coalesce(monthly, 0) = 0 THEN 0 WHEN monthly > 5740 THEN 4.92 - (monthly - 4100) * 0.0015 ELSE (monthly - 4100) * 0.0015 END "
-    f"+ {Q.penalty('locations', config.LOCATIONS_DESIRED, config.LOCATIONS_SECONDARY)}, 2) AS DECIMAL(12,2)) AS score FROM paid)"
+    f"+ {Q.penalty('locations', config.LOCATIONS_DESIRED, config.LOCATIONS_SECONDARY)}, 2) AS DECIMAL(12,2))"
+)
+_PAID_CTES = (
+    f"src AS (SELECT *, coalesce(salary, {Q.full_section('description')}) AS pay FROM postings), "
+    + Q.salary_ctes("src", "pay", "paid")
 )
+_RANK_CTES = _PAID_CTES + f", ranked AS (SELECT *, {SCORE_SQL} AS score FROM paid)"
 
 
 def paid_postings(spark, sf):
-    return enrich.with_salary(postings(spark, sf), patterns=PLAIN_SECTIONS)
+    return enrich.with_salary(postings(spark, sf))
 
 
 @query("t12_rank", over_postings("SELECT posting_id, monthly AS salary_monthly_guessed, score AS points FROM ranked", _RANK_CTES))
@@ -261,13 +271,12 @@ def t16(spark, sf):
 
 @query("t17_enrich_salary", over_postings(
     "SELECT posting_id, annual, monthly, CASE WHEN points > 0 THEN 1234 ELSE monthly END AS kept_monthly FROM paid",
-    f"src AS (SELECT *, coalesce(salary, {Q.section('description', PLAIN_SECTIONS)}) AS pay FROM postings), "
-    + Q.salary_ctes("src", "pay", "paid")))
+    _PAID_CTES))
 def t17(spark, sf):
     rows = postings(spark, sf).withColumn(
         "salary_monthly_guessed", F.when(F.col("points") > 0, F.lit(1234).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     )
-    kept = enrich.with_salary(rows, overwrite=False, patterns=PLAIN_SECTIONS)
+    kept = enrich.with_salary(rows, overwrite=False)
     return kept.select(
         "posting_id", F.col("salary_guessed.annual").alias("annual"),
         F.col("salary_guessed.monthly").alias("monthly"), F.col("salary_monthly_guessed").alias("kept_monthly"),
@@ -290,8 +299,8 @@ def t18(spark, sf):
 
 
 @query("t19_word_char_stats", over_postings(
-    "SELECT count(*) AS postings, count(*) FILTER (WHERE n > 0) AS with_text, sum(n) AS chars, "
-    "avg(n) FILTER (WHERE n > 0) AS avg_chars, sum(w) AS words, avg(w) AS avg_words FROM "
+    "SELECT count(*) AS postings, count(*) FILTER (WHERE n > 0) AS with_text, CAST(sum(n) AS BIGINT) AS chars, "
+    "avg(n) FILTER (WHERE n > 0) AS avg_chars, CAST(sum(w) AS BIGINT) AS words, avg(w) AS avg_words FROM "
     r"(SELECT length(description) AS n, len(list_filter(string_split_regex(description, '\s+'), lambda x: x <> '')) AS w FROM postings)"))
 def t19(spark, sf):
     return phrases.text_stats(postings(spark, sf))

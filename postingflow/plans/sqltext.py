@@ -115,3 +115,57 @@ def keywords(column: str, ordered) -> str:
         f"list_concat(list_filter({array(exact)}, lambda k: contains({column}, k)), "
         f"list_filter({array(loose)}, lambda k: contains(lower({column}), k)))"
     )
+
+
+# Section patterns with a tempered gap, for an engine without lookahead:
+# (number, what may not start between the number and the word, words).
+TEMPERED = {
+    2: (r"[0-9]{5}[.,][0-9]+", r"[0-9]{5}", "netto|brutto|gross"),
+    3: (r"[0-9]{2}[.,][0-9]{3}[.,][0-9]+", r"[0-9]{2}[.,][0-9]{3}[.,]", "netto|brutto|gross"),
+    4: (r"[0-9]{4}[.,][0-9]+", r"[0-9]{4}", "netto|brutto|gross"),
+    5: (r"[0-9][.,][0-9]{3}[.,][0-9]+", r"[0-9][.,][0-9]{3}[.,]", "netto|brutto|gross"),
+    6: (r"[0-9]{5}", r"[0-9]{5}", "netto|brutto|gross"),
+    7: (r"[0-9]{2}[.,][0-9]{3}", r"[0-9]{2}[.,][0-9]{3}", "netto|brutto|gross"),
+    8: (r"[0-9]{5}[.,][0-9]+", r"[0-9]{5}", "net|taxes|tax"),
+    9: (r"[0-9]{4}[.,][0-9]+", r"[0-9]{4}", "net|taxes|tax"),
+    10: (r"[0-9][.,][0-9]{3}", r"[0-9][.,][0-9]{3}", "netto|brutto|gross"),
+    12: (r"[0-9]{5}", r"[0-9]{5}", "net|taxes|tax"),
+}
+
+
+def tempered_section(column: str, number: str, barred: str, words: str) -> str:
+    """The section of one tempered pattern, found by trying every digit position.
+
+    Lines are cut after each closing word; in the first piece with a valid start, the
+    section runs from the leftmost number that no barred number follows to the piece's end.
+    """
+    mark = rf"'(^|[^\p{{L}}\p{{N}}_])({words})($|[^\p{{L}}\p{{N}}_])', '\1\2' || chr(1) || '\3', 'g'"
+    marked = f"regexp_replace(regexp_replace(line, {mark}), {mark})"
+    starts = "list_filter(range(1, length(seg) + 1), lambda i: substr(seg, i, 1) BETWEEN '0' AND '9')"
+    found = f"regexp_extract(substr(seg, i), '^{number}', 0)"
+    valid = f"{found} <> '' AND NOT regexp_matches(substr(seg, i + length({found})), '{barred}')"
+    best = f"(list_filter({starts}, lambda i: {valid}))[1]"
+    pieces = (
+        "flatten(list_transform(string_split(lower(" + column + "), chr(10)), "
+        f"lambda line: string_split({marked}, chr(1))[:-2]))"
+    )
+    sections = f"list_transform({pieces}, lambda seg: substr(seg, {best}))"
+    return f"(list_filter({sections}, lambda x: x IS NOT NULL))[1]"
+
+
+def full_section(column: str) -> str:
+    """The salary section over all patterns, lower-cased."""
+    options = []
+    for i, pattern in enumerate(config.SALARY_SECTION_PATTERNS):
+        if i in TEMPERED:
+            words = TEMPERED[i][2]
+            section_ = tempered_section(column, *TEMPERED[i])
+            options.append(f"CASE WHEN regexp_matches(lower({column}), '{words}') THEN {section_} END")
+        else:
+            body = pattern.lower()
+            if body.startswith(r"\b("):
+                body = EDGE_LEFT + "(" + body[2:].replace(r"\b", "", 1) + ")"
+                options.append(f"nullif(regexp_extract(lower({column}), {quote(body)}, 2), '')")
+            else:
+                options.append(f"nullif(regexp_extract(lower({column}), {quote(body)}, 0), '')")
+    return "coalesce(" + ", ".join(options) + ")"

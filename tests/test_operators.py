@@ -191,3 +191,40 @@ def test_process_steps_can_be_replaced(spark):
     all_rows = enrich.process(df, Profile(), filter_step=lambda d: d)
     assert all_rows.count() == 2
     assert Profile().extended(keywords=("new",)).keywords[-1] == "new"
+
+
+def test_universal_inputs(spark):
+    from dataclasses import replace
+
+    from postingflow.plans import jobs
+
+    chosen = [replace(Profile(), name="a", titlewords=("x", "y")), replace(Profile(), name="b", titlewords=("y", "y"))]
+    rows = {r["word"]: r["profiles"] for r in jobs.universal_inputs(jobs.profile_words(spark, chosen)).collect()}
+    assert rows == {"x": ["a"], "y": ["a", "b"]}
+
+
+def test_daily_run(spark):
+    from postingflow.plans import jobs
+
+    D2 = dt.date(2024, 2, 10)
+    raw = spark.createDataFrame(
+        [("new", "Data Scientist", "Firm", "graph", ["Wien", "Graz"], D2, None), ("old", "Data Engineer", "Firm 2", "python", ["Linz", "Vienna"], D2, "4.200,00"),
+         ("bad", "Sales Manager", "Firm 3", "x", ["Wien"], D2, None)],
+        "posting_id string, title string, company string, description string, locations array<string>, collected_on date, salary string",
+    )
+    history = spark.createDataFrame(
+        [("old", D(2024, 1, 1), D(2024, 2, 1), Decimal(1)), ("gone", D(2024, 1, 1), D(2024, 2, 1), Decimal(3)), ("low", D(2024, 1, 1), D(2024, 2, 1), Decimal(0))],
+        "posting_id string, first_collected_on date, last_collected_on date, points decimal(12,2)",
+    )
+    run = jobs.daily_run(raw, history, Profile())
+    results = {r["posting_id"]: r for r in run.results.collect()}
+    assert set(results) == {"new", "old"}
+    assert (results["old"]["first_collected_on"], results["old"]["last_collected_on"], results["old"]["timespan_days"]) == (D(2024, 1, 1), D2, 40)
+    assert results["old"]["salary_monthly_guessed"] == 4200 and results["old"]["locations"] == ["Vienna", "Linz"]
+    assert [r["posting_id"] for r in run.added.collect()] == ["new"]
+    assert [r["posting_id"] for r in run.removed.collect()] == ["gone"]
+    assert {r["company"] for r in run.companies.collect()} == {"Firm", "Firm 2"}
+    made = jobs.outputs(run, D2, dt.datetime(2024, 2, 10, 9))
+    assert [r["line"] for r in made["log"].collect()] == ["Data Scientist - at - Firm"]
+    assert {r["posting_id"]: r["is_new"] for r in made["report"].collect()} == {"new": True, "old": False}
+    assert made["digest"].count() == 3
