@@ -31,18 +31,36 @@ def as_text(df, *dates):
 # --- scans and stores --------------------------------------------------------------------
 
 
+def _chunks():
+    """Postings as the pieces of an indented snapshot file between two record ends."""
+    value = F.to_json(F.struct("title", "company", "description", "locations", "points", "collected_on"))
+    return F.concat(F.lit('    "'), "posting_id", F.lit('": '), F.substr(value, F.lit(1), F.length(value) - 1))
+
+
 @query("s1_scan_snapshot", over_postings(
     f"SELECT posting_id, title, company, md5(description) AS description_md5, {joined('locations')} AS locations, points, CAST(collected_on AS VARCHAR) AS collected_on FROM postings"))
 def s1(spark, sf):
-    # Each posting as the piece of an indented snapshot file between two record ends.
-    value = F.to_json(F.struct("title", "company", "description", "locations", "points", "collected_on"))
-    chunk = F.concat(F.lit('    "'), "posting_id", F.lit('": '), F.substr(value, F.lit(1), F.length(value) - 1))
-    rows = store.parse_snapshot(postings(spark, sf).select(chunk.alias("value")))
+    df = postings(spark, sf)
+    rows = store.parse_snapshot(df.select(_chunks().alias("value")))
     return as_text(
         rows.select("posting_id", "title", "company", F.md5("description").alias("description_md5"), "locations", "points", "collected_on")
     )
 
 
+@query("s2_scan_folder", over_postings(
+    "SELECT lang_label AS folder, count(*) AS postings, CAST(sum(length(description)) AS BIGINT) AS chars FROM postings GROUP BY lang_label"))
+def s2(spark, sf):
+    """Snapshot files of nested folders, written first and then scanned."""
+    path = scratch_dir(spark, "folders")
+    df = postings(spark, sf)
+    df.select(_chunks().alias("value"), F.col("lang_label").alias("lang")).write.partitionBy("lang").option(
+        "lineSep", store.record_end(4)
+    ).text(path)
+    rows = store.read_snapshots(spark, path, nested=True, glob="*.txt")
+    folder = F.regexp_extract("snapshot_file", "lang=([a-z]+)", 1).alias("folder")
+    return rows.groupBy(folder).agg(F.count("*").alias("postings"), F.sum(F.length("description")).alias("chars"))
+
+
 def _as_files(spark, sf):
     """Postings with the snapshot file they would come from."""
     df = postings(spark, sf)

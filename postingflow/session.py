@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +32,17 @@ def build_session(master: str | None = None, app: str = "postingflow", **conf) -
     return builder.getOrCreate()
 
 
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="run-")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
     Only a session without ``spark.checkpoint.dir`` (tests, a laptop) gets a local one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not base:
-        base = tempfile.mkdtemp(prefix="run-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_base()
     return f"{base.rstrip('/')}/postingflow/{purpose}-{uuid.uuid4().hex}"
 
 

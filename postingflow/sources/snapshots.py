@@ -43,7 +43,8 @@ def parse_snapshot(chunks: DataFrame, value: str = "value", schema: T.StructType
 
 
 def read_snapshots(
-    spark: SparkSession, paths, nested: bool = False, modified_after: str | None = None, indent: int = 4
+    spark: SparkSession, paths, nested: bool = False, modified_after: str | None = None, indent: int = 4,
+    glob: str = "*.json",
 ) -> DataFrame:
     """All postings of snapshot files or folders, with ``snapshot_file`` and its time.
 
@@ -51,7 +52,7 @@ def read_snapshots(
     it fails the job instead of losing postings.
     """
     reader = spark.read.option("lineSep", record_end(indent))
-    chunks = _folder_options(reader, nested, modified_after).text(paths)
+    chunks = _folder_options(reader, nested, modified_after, glob).text(paths)
     with_file = chunks.select(
         "value",
         F.col("_metadata.file_path").alias("snapshot_file"),
@@ -60,9 +61,8 @@ def read_snapshots(
     return parse_snapshot(with_file)
 
 
-def _folder_options(reader, nested: bool, modified_after: str | None, glob: str | None = "*.json"):
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+def _folder_options(reader, nested: bool, modified_after: str | None, glob: str):
+    reader = reader.option("pathGlobFilter", glob)
     if nested:
         reader = reader.option("recursiveFileLookup", "true")
     if modified_after:

@@ -99,6 +99,26 @@ def test_nth_snapshot(spark):
     assert snapshots.nth_snapshot(df, 3).count() == 0
 
 
+def test_scratch_folder_follows_the_session(spark):
+    from postingflow import session
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            assert key == "spark.checkpoint.dir"
+            return self.value or default
+
+    class Fake:
+        def __init__(self, value):
+            self.conf = Conf(value)
+
+    assert session.scratch_dir(Fake("hdfs://shared/cp/"), "x").startswith("hdfs://shared/cp/postingflow/x-")
+    local = session.scratch_dir(Fake(None), "x")
+    assert local.startswith("/tmp/run-") and session.scratch_dir(Fake(None), "x") != local
+
+
 def test_log_keeps_runs_newest_first(spark, tmp_path):
     path = str(tmp_path / "log")
     for day in (1, 2):
