@@ -41,8 +41,8 @@ _DIM = f"(SELECT unnest({Q.array(config.MAIN_KEYWORDS)}) AS keyword)"
 
 
 @query("a7_keyword_counts", over_postings(
-    f"SELECT d.keyword, count(p.posting_id) AS postings FROM {_DIM} d LEFT JOIN postings p "
-    f"ON list_contains({Q.keywords('p.description', config.MAIN_KEYWORDS)}, d.keyword) GROUP BY d.keyword"))
+    f"SELECT d.keyword, count(k.word) AS postings FROM {_DIM} d LEFT JOIN "
+    f"(SELECT unnest({Q.keywords('description', config.MAIN_KEYWORDS)}) AS word FROM postings) k ON k.word = d.keyword GROUP BY d.keyword"))
 def a7(spark, sf):
     tagged = enrich.with_keywords(postings(spark, sf), config.MAIN_KEYWORDS)
     return coverage.keyword_counts(tagged).select("keyword", "postings")
