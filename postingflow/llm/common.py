@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,6 +17,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def extended(df: DataFrame, more: str) -> StructType:
+    """The table's schema and further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; ``lower`` does just that where all characters are ASCII."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -43,19 +49,22 @@ def keep_rows(docs: DataFrame, kept: DataFrame, row: str) -> DataFrame:
     return with_row(docs, row).join(kept.select(row), row, "left_semi").select(*docs.columns)
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, ties: list[str], name: str, per_bucket: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: str, ties: list[str], name: str, per_bucket: int = 50_000,
+           total: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Gapless ranks from 0 within each key by a long column ``order``, no key in one task.
 
     ``order`` must spread over all longs (a hash or random bits). Its top bits cut each key
     into buckets of about ``per_bucket`` rows; a bucket is ranked in one task and its offset
     is the sum of the counts before it. Only counts, one row per key and bucket, are summed
-    in order. ``df`` is read twice, so it should be cheap or settled.
+    in order. ``df`` is read twice, so it should be cheap or settled; ``total`` is its number
+    of rows if known, and ``counted`` a cheaper table with the same keys and orders.
     """
-    bits = max(0, (df.count() // per_bucket).bit_length())
+    bits = ((df.count() if total is None else total) // per_bucket).bit_length()
     bucket, base = fresh(df, "bucket"), fresh(df, "base")
-    cut = df.withColumn(bucket, F.shiftright(F.col(order), 63 - bits))
+    number = F.shiftright(F.col(order), 63 - bits)
+    cut = df.withColumn(bucket, number)
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy(*keys, bucket).agg(F.count("*").alias(base))
+    counts = (df if counted is None else counted).withColumn(bucket, number).groupBy(*keys, bucket).agg(F.count("*").alias(base))
     offsets = counts.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
     inside = Window.partitionBy(*keys, bucket).orderBy(order, *ties)
     numbered = cut.withColumn(name, F.row_number().over(inside) - F.lit(1))

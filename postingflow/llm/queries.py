@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postingflow.llm import exact_dedup, secret_scan, sql, url_filter
+from postingflow.llm import ann, exact_dedup, language_id, mixing, packing, secret_scan, sharding, simhash, sql, toxicity, url_filter
+from postingflow.llm.common import crc
+from postingflow.session import settle
 
 QUERIES, ORACLES = {}, {}
+VOCABULARY = "word_bpe_49k.json"
 
 RULES = (
     url_filter.Rule("com", "/", "allow"),
@@ -43,6 +47,60 @@ def secrets(spark, sf_dir):
     )
 
 
+@query("op2_sharding")
+def shards(spark, sf_dir):
+    dealt = sharding.shard_rows(read(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint") + 1
+    return dealt.select(
+        "doc_id", size.alias("size"), crc(F.col("text")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def remainder(id_column: str, n: int):
+    """CRC-32 of the id as text, modulo n; a null id counts as empty text."""
+    return F.pmod(crc(F.col(id_column).cast("string")), F.lit(n))
+
+
+@query("op3_language_id")
+def languages(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 3) == 1)
+    model = language_id.train(docs.where("NOT held_out"))
+    return language_id.identify(docs.drop("lang"), model)
+
+
+@query("op4_simhash_near_dedup")
+def near(spark, sf_dir):
+    groups = simhash.near_groups(read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hexed(F.col("mark")).alias("fingerprint"), "component_id")
+
+
+@query("op5_nearest_neighbours")
+def neighbours(spark, sf_dir):
+    vectors = ann.prepared(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    index = ann.build(vectors)
+    if index is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return ann.nearest(vectors, vectors.where("id % 20 = 0"), index)
+
+
+def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    learned = labels.where(remainder("doc_id", 5) != 0)
+    return toxicity.train(toxicity.labelled_sample(docs.select("doc_id", "text"), learned))
+
+
+@query("op6_toxicity")
+def toxic(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxic_model(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs.withColumn("held_out", remainder("doc_id", 5) == 0), model)
+
+
+@query("op7_mixing")
+def mixed(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 @query("op8_exact_dedup", sql.EXACT)
 def exact(spark, sf_dir):
     index = exact_dedup.open_scratch_index(spark)
@@ -51,6 +109,18 @@ def exact(spark, sf_dir):
     return owned.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces with the checksum of their ids; tokenized once, then packed by their lengths."""
+    made = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
+    made = settle(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack_texts(made).drop("loss_tokens")
+
+
+@query("op9_packing")
+def pack(spark, sf_dir):
+    return packed(read(spark, sf_dir, "documents"))
+
+
 @query("op10_url_filter")
 def urls(spark, sf_dir):
     """Labels are the rules' own verdicts: the trees carry them over to urls no rule fits."""
