@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +18,7 @@ from postingflow.session import settle
 
 SAMPLE = 12_000
 STEMS = (4, 5, 6, 7)
-LEAST_GAIN, LEAST_SHARE = 24.0, 0.9
+LEAST_GAIN, STEM_GAIN, LEAST_SHARE, LEAST_TEXTS, MOST_ALIKE = 18.0, 40.0, 0.85, 2, 0.35
 FUZZY_FROM, FUZZY_STEM_FROM = 5, 7
 WINDOW = 6
 BATCH_BYTES = 4 << 20
@@ -28,8 +29,8 @@ REPORTING = frozenset(
 )
 ADDRESSING = frozenset("you your youre u du dich dein ihr tú tu te eres vous toi ton".split())
 QUOTES = np.array([ord(c) for c in '"“”„«»'], np.uint32)
-FEATURES = ("exact", "fuzzy", "quoted", "addressed", "density")
-PRIOR = np.array([-2.0, 2.0, 0.5, -0.5, 0.5, 1.0])  # bias, then the features
+FEATURES = ("hits", "fuzzy", "quoted", "addressed", "density")
+PRIOR = np.array([-2.0, 2.0, -0.1, -0.5, 0.5, 1.0])  # bias, then the features
 
 
 class Speller:
@@ -138,10 +139,16 @@ class Speller:
         return words[order], edits[order]
 
 
-def features(texts: list[str | None], speller: Speller) -> np.ndarray:
+def _word(text: Letters, i: int) -> str:
+    a = text.starts[i]
+    return "".join(map(chr, text.raw[a : a + text.sizes[i]].tolist()))
+
+
+def features(texts: list[str | None], speller: Speller, usual: frozenset = frozenset()) -> np.ndarray:
     """One row of ``FEATURES`` per text: hits by kind, with their context.
 
-    A hit is quoted if an odd number of quotation marks stands before it in its line, or a
+    Misspelled hits count as hits, and once more for themselves; ``usual`` words are no
+    misspellings. A hit is quoted if an odd number of quotation marks stands before it in its line, or a
     reporting word stands within ``WINDOW`` words before it; it is addressed if an
     addressing word stands within the window.
     """
@@ -153,22 +160,19 @@ def features(texts: list[str | None], speller: Speller) -> np.ndarray:
     marks = np.cumsum(np.isin(text.raw, QUOTES))
     lines = np.flatnonzero(text.raw == 10)
     counts = np.bincount(text.owner, minlength=len(texts))
-    raw = text.raw
-
-    def word(i):
-        a = text.starts[i]
-        return "".join(map(chr, raw[a : a + text.sizes[i]].tolist()))
-
     for i, edit in zip(words.tolist(), edits.tolist(), strict=True):
+        if edit and _word(text, i) in usual:
+            continue
         doc, at = text.owner[i], text.starts[i]
         line = np.searchsorted(lines, at) - 1
         begin = max(text.begins[doc], lines[line] + 1 if line >= 0 else 0)
         open_ = (marks[at] - (marks[begin - 1] if begin else 0)) % 2 == 1
-        near = [(j, word(j)) for j in range(max(0, i - WINDOW), min(len(text.starts), i + WINDOW + 1)) if text.owner[j] == doc and j != i]
+        near = [(j, _word(text, j)) for j in range(max(0, i - WINDOW), min(len(text.starts), i + WINDOW + 1)) if text.owner[j] == doc and j != i]
         quoted = bool(open_) or any(j < i and w in REPORTING for j, w in near)
-        out[doc, 2 if quoted else int(edit > 0)] += 1
+        out[doc, 2 if quoted else 0] += 1
+        out[doc, 1] += not quoted and edit > 0
         out[doc, 3] += not quoted and any(w in ADDRESSING for _, w in near)
-    density = 20 * out[:, :2].sum(axis=1) / np.maximum(counts, 1)
+    density = 20 * out[:, 0] / np.maximum(counts, 1)
     out[:, :4] = np.log1p(out[:, :4])
     out[:, 4] = np.minimum(density, 1)
     return out
@@ -177,34 +181,47 @@ def features(texts: list[str | None], speller: Speller) -> np.ndarray:
 @dataclass
 class ToxicityModel:
     terms: list[str] = field(default_factory=list)
+    usual: frozenset = frozenset()
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
 
 def lexicon(sample: DataFrame) -> list[str]:
     """Terms and stems of (text, toxic) rows that stand out in toxic texts.
 
-    Counted per text and, of equal texts, once. A term needs a log-likelihood ratio of
-    ``LEAST_GAIN`` and a share of toxic texts of ``LEAST_SHARE``; a stem must bring in more
-    texts than any word of it, and takes the place of its words.
+    Texts that share their least sentence hash are copies or near copies and count once, and
+    they lie in one half of the sample: a term must stand out in both halves, so the rare
+    words of a family of copies do not. It needs ``LEAST_TEXTS`` toxic texts and a share of
+    ``LEAST_SHARE`` in each half and a log-likelihood ratio of ``LEAST_GAIN`` (a stem, which
+    has more words to fit by chance, ``STEM_GAIN``) in all, and it
+    must stand in different contexts (see ``varied``). A stem must bring in more texts than
+    any word of it, and takes the place of its words.
     """
-    once = sample.groupBy(F.sha2("text", 256).alias("h")).agg(F.max("toxic").alias("toxic"), F.any_value("text").alias("text"))
+    sentences = F.filter(F.split("text", r"[.\n]"), lambda x: F.length(x) >= 20)
+    family = F.coalesce(F.array_min(F.transform(sentences, lambda x: F.xxhash64(x))), F.xxhash64("text"))
+    once = settle(sample.groupBy(family.alias("family")).agg(F.max(F.struct("toxic", "text")).alias("row")).select("family", "row.*"), "once")
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= min(STEMS)))
-    stems = [
-        F.array_distinct(F.transform(F.filter(F.col("w"), lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))))
-        for n in STEMS
-    ]
-    terms = once.select("toxic", words.alias("w")).select("toxic", F.explode(F.concat("w", *stems)).alias("term"))
+
+    def stems(n):
+        longer = F.filter(F.col("w"), lambda w: F.length(w) > n)
+        return F.array_distinct(F.transform(longer, lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))))
+
+    listed = once.select("toxic", F.pmod("family", F.lit(2)).alias("half"), words.alias("w"))
+    terms = listed.select("toxic", "half", F.explode(F.concat("w", *map(stems, STEMS))).alias("term"))
     n1, n0 = once.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not n1 or not n0:
         return []
-    counts = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(f"a >= 3 AND a >= {LEAST_SHARE} * n")
+    sums = {f"{name}{half}": F.sum(F.when(F.col("half") == half, value).otherwise(0)) for half in (0, 1) for name, value in (("a", F.col("toxic")), ("n", F.lit(1)))}
+    counts = terms.groupBy("term").agg(*[v.alias(k) for k, v in sums.items()])
+    for half in (0, 1):
+        counts = counts.where(f"a{half} >= {LEAST_TEXTS} AND a{half} >= {LEAST_SHARE} * n{half}")
     share = n1 / (n1 + n0)
     chosen = {}
     for r in counts.toLocalIterator():
-        a, n = r["a"], r["n"]
+        a, n = r["a0"] + r["a1"], r["n0"] + r["n1"]
         gain = 2 * (a * math.log(a / (n * share)) + ((n - a) * math.log((n - a) / (n * (1 - share))) if n > a else 0))
-        if gain >= LEAST_GAIN:
+        if gain >= (STEM_GAIN if r["term"].endswith("*") else LEAST_GAIN):
             chosen[r["term"]] = a
+    chosen = varied(once, chosen)
     kept: list[str] = []
     for term in sorted(chosen, key=lambda t: (len(t.rstrip("*")), t)):
         bare = term.rstrip("*")
@@ -218,6 +235,30 @@ def lexicon(sample: DataFrame) -> list[str]:
     return kept
 
 
+def varied(texts: DataFrame, chosen: dict[str, int]) -> dict[str, int]:
+    """The terms that do not mostly follow one and the same word.
+
+    Near copies repeat a word with its neighbours; an insult turns up anywhere.
+    """
+
+    def contexts(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column("text").to_pylist():
+                words = re.findall(r"[^\W\d_]+", text.lower())
+                seen = set()
+                for before, word in zip(["", *words], words, strict=False):
+                    for term in (word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)):
+                        if term in chosen:
+                            seen.add((term, before))
+                found += seen
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["term", "before"])
+
+    pairs = texts.select("text").mapInArrow(contexts, "term string, before string").groupBy("term", "before").agg(F.count("*").alias("n"))
+    shares = pairs.groupBy("term").agg(F.sum("n").alias("n"), F.max("n").alias("top")).collect()
+    return {r["term"]: chosen[r["term"]] for r in shares if r["top"] <= max(1, MOST_ALIKE * r["n"])}
+
+
 def _weights(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton steps, pulled towards the prior weights."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -239,19 +280,38 @@ def _weights(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> np.ndarray:
     return w
 
 
-def _featured(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
+def usual_words(sample: DataFrame, terms: list[str]) -> frozenset:
+    """Words one edit from a term that stand in clean texts as often as in toxic ones."""
+
+    def near(batches):
+        speller = Speller(terms)
+        for batch in batches:
+            for a, b in slices(batch.column("text"), BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                text = Letters(part.column("text").to_pylist())
+                words, edits = speller.edits_of(text.codes, text.starts, text.sizes)
+                words = words[edits > 0]
+                forms = pa.array([_word(text, i) for i in words.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([forms, part.column("toxic").take(pa.array(text.owner[words]))], names=["form", "toxic"])
+
+    counts = sample.select("text", "toxic").mapInArrow(near, "form string, toxic int").groupBy("form").agg(F.avg("toxic").alias("share"))
+    return frozenset(r["form"] for r in counts.where("share <= 0.5").collect())
+
+
+def _featured(docs: DataFrame, text: str, terms: list[str], usual: frozenset, name: str) -> DataFrame:
+    """``docs`` without its text, with the text's features as an array."""
     rest = [c for c in docs.columns if c != text]
-    schema = extended(docs.select(*rest), ", ".join(f"{name} double" for name in FEATURES))
+    schema = extended(docs.select(*rest), f"`{name}` array<double>")
 
     def run(batches):
         speller = Speller(terms)
         for batch in batches:
             for a, b in slices(batch.column(text), BATCH_BYTES):
                 part = batch.slice(a, b - a)
-                x = features(part.column(text).to_pylist(), speller)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in rest] + [pa.array(np.ascontiguousarray(x[:, k])) for k in range(x.shape[1])], names=schema.names
-                )
+                x = features(part.column(text).to_pylist(), speller, usual)
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+                found = pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [found], names=schema.names)
 
     return docs.select(*rest, text).mapInArrow(run, schema)
 
@@ -264,11 +324,12 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Toxi
     """
     sample = settle(labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("int").alias("toxic")), "sample")
     terms = lexicon(sample)
-    rows = _featured(sample, "text", terms).toArrow()
+    usual = usual_words(sample, terms)
+    rows = _featured(sample, "text", terms, usual, "x").toArrow()
     if not rows.num_rows:
-        return ToxicityModel(terms)
-    x = np.column_stack([rows[c].to_numpy() for c in FEATURES])
-    return ToxicityModel(terms, _weights(x, rows["toxic"].to_numpy().astype(float)))
+        return ToxicityModel(terms, usual)
+    x = np.array(rows["x"].to_pylist())
+    return ToxicityModel(terms, usual, _weights(x, rows["toxic"].to_numpy().astype(float)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: str = "toxic", bound: int = SAMPLE) -> DataFrame:
@@ -289,11 +350,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     get the score of a text without one.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
-    names = {c: fresh(docs, f"_{c}") for c in FEATURES}
-    scored = _featured(docs.select("*"), text, model.terms).withColumnsRenamed(names)
-    w = model.weights.tolist()
-    total = F.lit(w[0])
-    for c, v in zip(FEATURES, w[1:], strict=True):
-        total = total + F.col(names[c]) * v
-    scored = scored.withColumn("score", 1 / (1 + F.exp(-total))).drop(*names.values())
+    found = fresh(docs, "features")
+    total = F.lit(float(model.weights[0]))
+    for k, weight in enumerate(model.weights[1:].tolist()):
+        total = total + F.get(found, F.lit(k)) * weight
+    scored = _featured(docs, text, model.terms, model.usual, found).withColumn("score", 1 / (1 + F.exp(-total))).drop(found)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
