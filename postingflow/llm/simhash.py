@@ -218,8 +218,8 @@ def split_large(shards: DataFrame, most: int, radius: int = RADIUS, levels: int
     """
     done = None
     for _ in range(levels):
-        sizes = shards.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("mark"), "mark")).alias("vp"))
-        large = settle(sizes.where(F.col("n") > most).select("shard", "n", F.col("vp.mark").alias("vp")), "large")
+        sizes = shards.groupBy("shard").agg(F.count("*").alias("n"), F.min("mark").alias("vp"))
+        large = settle(sizes.where(F.col("n") > most), "large")
         if large.isEmpty():
             break
         rest = shards.join(large, "shard", "left_anti")

@@ -84,6 +84,7 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 
 SUFFIX = ("suffix_blocked", "suffix_weight")
+SMOOTH = 10.0  # labelled urls that a suffix's share of blocked ones starts from, at the mean
 
 
 @dataclass
@@ -91,7 +92,6 @@ class UrlModel:
     """The trees, and for each host suffix (last two labels) how labelled urls of it fared."""
 
     trees: GBTClassificationModel
-    names: list[str]
     suffixes: DataFrame
     mean: float
 
@@ -100,21 +100,26 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def features(df: DataFrame, url: str, suffixes: DataFrame, mean: float) -> tuple[DataFrame, list[str]]:
+def features(df: DataFrame, url: str, suffixes: DataFrame, mean: float, own: tuple[Column, Column] | None = None) -> tuple[DataFrame, list[str]]:
     """Add the feature columns under fresh names, suffix statistics joined in.
 
-    The statistics table is a plain scan, so Spark broadcasts it if its size allows and
-    splits hot suffixes if not.
+    ``own`` are the blocked and all labelled rows that a row itself put into the statistics:
+    they are taken out again, or trees would learn a label from itself. The statistics table
+    is a plain scan, so Spark broadcasts it if its size allows and splits hot suffixes if not.
     """
     host, path = host_and_path(F.col(url))
     columns = lexical(F.col(url), host, path)
     names = {c: fresh(df, f"f_{c}") for c in (*columns, *SUFFIX)}
-    key = fresh(df, "suffix")
-    stats = suffixes.select(
-        F.col("suffix").alias(key), F.col(SUFFIX[0]).alias(names[SUFFIX[0]]), F.col(SUFFIX[1]).alias(names[SUFFIX[1]])
-    )
-    out = df.withColumns({names[c]: v for c, v in columns.items()} | {key: suffix_of(host)}).join(stats, key, "left").drop(key)
-    return out.fillna({names[SUFFIX[0]]: mean, names[SUFFIX[1]]: 0.0}), list(names.values())
+    key, hits, n = fresh(df, "suffix"), fresh(df, "suffix_hits"), fresh(df, "suffix_n")
+    stats = suffixes.select(F.col("suffix").alias(key), F.col("hits").alias(hits), F.col("n").alias(n))
+    blocked, all_ = own or (F.lit(0.0), F.lit(0))
+    others = F.coalesce(F.col(n), F.lit(0)) - all_
+    more = {
+        names[SUFFIX[0]]: (F.coalesce(F.col(hits), F.lit(0.0)) - blocked + SMOOTH * mean) / (others + SMOOTH),
+        names[SUFFIX[1]]: F.log1p(others.cast("double")),
+    }
+    out = df.withColumns({names[c]: v for c, v in columns.items()} | {key: suffix_of(host)}).join(stats, key, "left")
+    return out.withColumns(more).drop(key, hits, n), list(names.values())
 
 
 def train(labelled: DataFrame, url: str, label: str, bound: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> UrlModel | None:
@@ -123,31 +128,21 @@ def train(labelled: DataFrame, url: str, label: str, bound: int = 20_000, trees:
     Fitted on at most ``bound`` distinct labelled urls, those with the smallest hash; the
     suffix statistics count all labelled rows. Rows without a url or label take no part.
     """
-    spark = labelled.sparkSession
     clean = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).dropna()
-    per_url = clean.groupBy("url").agg(F.avg("label").alias("share"), F.count("*").alias("n"))
-    per_url = settle(per_url, "labelled")
-    whole = per_url.agg(F.sum(F.col("share") * F.col("n")) / F.sum("n")).first()[0]
+    per_url = settle(clean.groupBy("url").agg(F.sum("label").alias("hits"), F.count("*").alias("n")), "labelled")
+    whole = per_url.agg(F.sum("hits") / F.sum("n")).first()[0]
     if whole is None or whole in (0.0, 1.0):
         return None
     suffix = suffix_of(host_and_path(F.col("url"))[0]).alias("suffix")
-    smooth = 10.0
-    suffixes = settle(
-        per_url.groupBy(suffix).agg(F.sum(F.col("share") * F.col("n")).alias("hits"), F.sum("n").alias("n")).select(
-            "suffix",
-            ((F.col("hits") + smooth * whole) / (F.col("n") + smooth)).alias(SUFFIX[0]),
-            F.log1p(F.col("n").cast("double")).alias(SUFFIX[1]),
-        ),
-        "suffixes",
-    )
+    suffixes = settle(per_url.groupBy(suffix).agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")), "suffixes")
     sample = per_url.orderBy(F.xxhash64("url"), "url").limit(bound)
-    rows, names = features(sample, "url", suffixes, whole)
-    rows = rows.withColumn("y", (F.col("share") >= 0.5).cast("double"))
-    points = settle(VectorAssembler(inputCols=names, outputCol="x").transform(rows).select("x", "y").orderBy(F.xxhash64("url"), "url"), "points")
+    rows, names = features(sample, "url", suffixes, whole, (F.col("hits"), F.col("n")))
+    rows = rows.withColumn("y", (F.col("hits") * 2 >= F.col("n")).cast("double"))
+    points = settle(VectorAssembler(inputCols=names, outputCol="x").transform(rows).orderBy(F.xxhash64("url"), "url").select("x", "y"), "points")
     if points.select("y").distinct().count() < 2:
         return None
     booster = GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed)
-    return UrlModel(booster.fit(points.coalesce(1)), names, suffixes, whole)
+    return UrlModel(booster.fit(points.coalesce(1)), suffixes, whole)
 
 
 def judge(df: DataFrame, url: str, model: UrlModel | None, host_rules, default: str = "allow") -> DataFrame:
@@ -156,7 +151,7 @@ def judge(df: DataFrame, url: str, model: UrlModel | None, host_rules, default:
     Input columns of these names are replaced. Null or malformed urls have an empty host
     and path, fit no rule and are judged by the trees as an empty url; without a model the
     verdict is ``default``. Rows are judged one by one, so repeats and empty tables need no
-    rule. Trees see the rows that no rule fits; the others have their verdict already.
+    rule.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("host", "path", "rule", "verdict")])
     host, path = host_and_path(F.col(url))
