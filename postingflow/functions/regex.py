@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Escapes whose digits or letters belong to them (\\x41, \\101, \\N{...}), and repeats.
+_NUMBERED = re.compile(r"\\[xuUN0-9]")
 _META = set(r".^$*+?{}[]\|()")
 
 
@@ -17,7 +19,13 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     its line-end rule (only ``\\n`` ends a line).
     """
     flags = "(?iuUd)" if ignore_case else "(?Ud)"
-    return flags + pattern.replace("(?P<", "(?<").replace(r"\Z", r"\z")
+
+    def escape(found: re.Match) -> str:
+        if found[1]:
+            return rf"\0{found[1]}"  # three octal digits
+        return r"\z" if found[0] == r"\Z" else found[0]
+
+    return flags + re.sub(r"\\(?:([0-3][0-7]{2})|.)", escape, pattern, flags=re.DOTALL).replace("(?P<", "(?<")
 
 
 def is_valid(pattern: str) -> bool:
@@ -40,7 +48,7 @@ def required_words(pattern: str) -> tuple[str, ...]:
     ``(netto|brutto|gross)``. Empty when there is no safe answer; looking for these words
     first is far cheaper than running the regex over a long text.
     """
-    if re.search(r"\\[()\[\]|]|\(\?[^:!]", pattern):
+    if re.search(r"\\[()\[\]|]|\(\?[^:!]", pattern) or _NUMBERED.search(pattern):
         return ()
     flat = re.sub(r"\[[^\]]*\]", "\0", pattern)
     branches: tuple[str, ...] = ()
@@ -102,7 +110,7 @@ def matches_lowered(text: Column, lowered: Column, pattern: str) -> Column:
 
     A lowered pattern on lowered text needs no case-insensitive matching, which is slow.
     """
-    if re.search(r"\\[A-Z]|\[", pattern):
+    if re.search(r"\\[A-Z]|\[|\(\?P", pattern) or _NUMBERED.search(pattern):
         return matches(text, pattern, ignore_case=True)
     return matches(lowered, pattern.lower())
 

@@ -20,7 +20,6 @@ from postingflow.functions import regex
 from postingflow.functions.once import let
 from postingflow.functions.regex import matches
 
-MAX_RULES = 20_000
 SCALE = Decimal("0.001")
 
 
@@ -47,8 +46,6 @@ class RuleSet:
             Rule(r[0], bool(r[1]), r[2], Decimal(str(r[3])) if len(r) > 3 else Decimal(0))
             for r in rows
         )
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"{len(rules)} rules do not fit into one plan (limit {MAX_RULES})")
         return RuleSet(rules)
 
     @staticmethod
@@ -74,14 +71,14 @@ class RuleSet:
     def load(spark: SparkSession, path: str) -> "RuleSet":
         """From a nested JSON file, or a parquet/JSON-lines table with the rule columns.
 
-        The rule table is configuration: it is read to the driver after a size check.
+        A rule table is configuration, part of every plan: all of it is read to the driver.
         """
         if path.endswith(".json"):
             text = spark.read.text(path, wholetext=True).first()[0]
             return RuleSet.from_nested(json.loads(text))
         reader = spark.read.parquet if path.endswith(".parquet") else spark.read.json
         table = reader(path).select("category", "ignore_case", "pattern", "points")
-        return RuleSet.of([tuple(r) for r in table.limit(MAX_RULES + 1).collect()])
+        return RuleSet.of([tuple(r) for r in table.collect()])
 
     def where(self, category: str) -> "RuleSet":
         return RuleSet(tuple(r for r in self.rules if r.category == category))

@@ -205,6 +205,16 @@ def test_required_words_are_sound():
                 assert any(w.lower() in text.lower() for w in needs), (p, text, needs)
 
 
+def test_escapes_with_digits_and_named_groups(spark):
+    cases = [(r"\x41bcd", "xAbcdx"), (r"ab\101cd", "abAcd"), (r"(?P<n>t)est", "TEST test"), (r"\u00e9cole", "école"), (r"\\101x", "\\101x"), (r"a\Z", "ba")]
+    for pattern, text in cases:
+        lowered = F.lower(F.lit(text))
+        got = spark.range(1).select(
+            regex.gated(F.lit(text), lowered, pattern), regex.gated(F.lit(text), lowered, pattern, True), regex.matches(F.lit("none"), pattern)
+        ).first()
+        assert list(got) == [bool(re.search(pattern, text)), bool(re.search(pattern, text, re.IGNORECASE)), False], pattern
+
+
 def test_literal_first_is_equivalent():
     rng = random.Random(9)
     pieces = ["python", "Python", "pythons", " ", "-", "x", "_", "5", "ö"]
@@ -219,7 +229,7 @@ def test_literal_first_is_equivalent():
 
 def test_scores_match_python(spark):
     rng = random.Random(5)
-    pieces = ["graph theory", "Graph", "data scientist", " AI ", "HR", "x", "ETL", "öAI", "Python", "home office", "sehr gute deutsch", "leiter", "SAP "]
+    pieces = ["graph data", "Graph", "machine learning", "(AI)", "HR", "x", "ETL pipelines", "öSAP", "Python", "home office", "python, sql", "German", "SAP ", "engineer"]
     texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "-"]) for _ in range(rng.randint(0, 6))) for _ in range(400)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scoring.score(F.col("t"), config.STARTER_RULES).alias("s"))
     for r in df.collect():
