@@ -85,15 +85,6 @@ def not_language(phrase: Column, code: str = "de") -> Column:
     return (F.length(phrase) > 2) & ~language(phrase).eqNullSafe(F.lit(code))
 
 
-def document_phrases(df: DataFrame, text: str = "description", sizes=(1, 2, 3)) -> DataFrame:
-    """Every run of 1-3 words of every document, as an array column ``phrases``."""
-    phrases = let(
-        words(F.col(text)),
-        lambda tokens: F.array_compact(F.concat(*[ngrams(tokens, n) for n in sizes])),
-    )
-    return df.withColumn("phrases", phrases)
-
-
 def phrase_counts(phrases: DataFrame, column: str = "phrases", min_count: int = 2) -> DataFrame:
     """Occurrences of each phrase over all documents, rarer ones left out."""
     return (
@@ -128,8 +119,3 @@ def mine_keyphrases(df: DataFrame, stopwords, text: str = "description", min_cou
 def top_phrases(counts: DataFrame, n: int = 15) -> DataFrame:
     """The ``n`` most frequent phrases; ties in alphabetical order."""
     return counts.orderBy(F.desc("n"), "phrase").limit(n)
-
-
-def filtered_share(before: int, after: int) -> Decimal:
-    """Share of rows a filter removed, in per cent with one decimal."""
-    return (Decimal(before - after) * 100 / Decimal(before)).quantize(Decimal("0.1"))

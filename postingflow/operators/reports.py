@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from postingflow import config
 from postingflow.functions.columns import contains_any, hyperlink, reduce_url, strip_control
 from postingflow.operators.skew import join_per_key
-from postingflow.operators.snapshots import added as added_rows
 from postingflow.schema import KEY
 
 
@@ -145,8 +144,3 @@ def digest(new_rows: DataFrame, companies: DataFrame) -> DataFrame:
         F.col("company").alias("line"),
     )
     return postings.unionByName(firms).where(F.col("line").isNotNull())
-
-
-def new_since(current: DataFrame, previous: DataFrame, key: str = KEY) -> DataFrame:
-    """Added rows in report order."""
-    return sort_by_key(added_rows(current, previous, key), key=key)

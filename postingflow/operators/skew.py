@@ -1,92 +1,41 @@
-"""Joining one row per key to many rows when one key may hold a large share of them."""
+"""Joins by key that Spark can split where one key holds a large share of the rows.
+
+Adaptive execution cuts a large partition of the left side of an inner, left, semi or anti
+join by its bytes, provided that both sides come straight from a shuffle of plain rows. So
+these joins take plain tables, and a table of results per key is settled first.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is heavy when it holds more rows than one task should get and a noticeable share of
-# the table. At most 1/HEAVY_SHARE keys can, whatever the size of the data.
-ROWS_PER_TASK = 250_000
-HEAVY_SHARE = 0.00001
+from postingflow.session import settle
 
 
 def cols(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def key_counts(rows: DataFrame, key, n: str = "_n") -> DataFrame:
-    """Rows per key; partial counts, so only one row per key and task is shuffled."""
-    return rows.groupBy(*cols(key)).agg(F.count("*").alias(n))
-
+def rows_with_key(rows: DataFrame, other: DataFrame, key) -> DataFrame:
+    """Rows whose key is in ``other``."""
+    return rows.join(other.select(*cols(key)), cols(key), "left_semi")
 
-def heavy_keys(
-    counts: DataFrame, key, n: str = "_n", share: float = HEAVY_SHARE, rows_per_task: int | None = None
-) -> DataFrame:
-    """Heavy keys and the number of tasks (``_salts``) their rows are dealt over.
-
-    ``counts`` has one row per key. At most ``1/share`` keys can qualify, which is the bound
-    that makes broadcasting the result safe.
-    """
-    rows_per_task = rows_per_task or ROWS_PER_TASK
-    total = counts.agg(F.sum(n).alias("total")).scalar()
-    heavy = counts.where((F.col(n) >= rows_per_task) & (F.col(n) >= total * F.lit(share)))
-    return heavy.select(*cols(key), F.ceil(F.col(n) / rows_per_task).cast("int").alias("_salts"))
 
-
-def join_per_key(
-    rows: DataFrame, per_key: DataFrame, key, how: str = "inner",
-    counts: DataFrame | None = None, n: str = "_n", rows_per_task: int | None = None,
-) -> DataFrame:
-    """Join rows to a table with one row per key, splitting the rows of heavy keys.
-
-    A heavy key's rows are dealt over as many join partitions as their number asks for, by
-    the task that read them and their content (so a retried task deals them the same way);
-    the key's single row is copied to each of those partitions.
-    """
-    keys = cols(key)
-    if counts is None:
-        counts = key_counts(rows, keys, n)
-    hot = F.broadcast(heavy_keys(counts, keys, n, rows_per_task=rows_per_task))
-    content = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
-    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *content), F.col("_salts")).cast("int")
-    left = rows.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNotNull(), dealt).otherwise(F.lit(0))
-    )
-    spots = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    right = per_key.join(hot, keys, "left").select("*", F.explode(spots).alias("_salt"))
-    joined = left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how)
-    return joined.drop("_salt")
-
-
-def rows_with_key(rows: DataFrame, other: DataFrame, key, **options) -> DataFrame:
-    """Semi join that survives a key with many copies on either side."""
-    return _by_key(rows, other, key, "left_semi", **options)
-
-
-def rows_without_key(rows: DataFrame, other: DataFrame, key, **options) -> DataFrame:
-    """Anti join that survives a key with many copies on either side.
-
-    Both sides shrink to distinct keys before the shuffle that compares them; only then
-    are whole rows fetched for the keys that qualify.
-    """
-    return _by_key(rows, other, key, "left_anti", **options)
+def rows_without_key(rows: DataFrame, other: DataFrame, key) -> DataFrame:
+    """Rows whose key is not in ``other``."""
+    return rows.join(other.select(*cols(key)), cols(key), "left_anti")
 
 
-def _by_key(rows: DataFrame, other: DataFrame, key, how: str, **options) -> DataFrame:
-    keys = cols(key)
-    counts = key_counts(rows, keys)
-    kept = counts.join(other.select(*keys).distinct(), keys, how).drop("_n")
-    return join_per_key(rows, kept, keys, counts=counts, **options)
+def join_per_key(rows: DataFrame, per_key: DataFrame, key, how: str = "inner") -> DataFrame:
+    """Join rows to computed results with one row per key, which are settled first."""
+    return rows.join(settle(per_key, "per_key"), cols(key), how)
 
 
 def rows_of_light_keys(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """Rows whose key occurs at most ``limit`` times.
 
-    Rows of heavy keys above the limit are dropped by a broadcast anti join before
-    anything is shuffled, so the shuffled part has no hot key.
+    Heavy keys go with the partial counts; the rows left to find are few per key.
     """
-    counts = key_counts(rows, key)
-    light = counts.where(F.col("_n") <= limit).select(key)
-    hot = heavy_keys(counts.where(F.col("_n") > limit), key).select(*cols(key))
-    return rows.join(F.broadcast(hot), key, "left_anti").join(light, key, "left_semi")
+    light = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") <= limit).select(key)
+    return rows_with_key(rows, settle(light, "light"), key)

@@ -1,8 +1,8 @@
 """Comparing and merging snapshots of postings.
 
 Merges are aggregates with map-side partials, so many copies of one posting shrink to one
-row per task before the shuffle. Where rows meet their key's result again, the join splits
-heavy keys (see ``skew``).
+row per task before the shuffle. Where rows meet their key's result again, the join is one
+whose hot keys Spark splits (see ``skew``).
 """
 
 from __future__ import annotations
@@ -19,11 +19,6 @@ from postingflow.operators.skew import cols, join_per_key, rows_with_key, rows_w
 from postingflow.schema import KEY, falsy_value, truthy
 
 
-def fold_order(snapshot_on: Column, source_seq: Column) -> Column:
-    """One number that orders records by snapshot date, then by source."""
-    return F.unix_date(snapshot_on).cast("bigint") * 1_000_000 + source_seq.cast("bigint")
-
-
 # --- differences -------------------------------------------------------------------------
 
 
@@ -212,10 +207,8 @@ def unify_extend(rows: DataFrame, order: str = "ord", key: str = KEY, titlewords
 
 def propagate_dates(rows: DataFrame, key: str = KEY, date: str = "collected_on") -> DataFrame:
     """Give every version the first and last date of its key."""
-    bounds = rows.groupBy(key).agg(
-        F.min(date).alias(_DATES[0]), F.max(date).alias(_DATES[1]), F.count("*").alias("_n")
-    )
-    return join_per_key(rows.drop(*_DATES), bounds.drop("_n"), key, counts=bounds)
+    bounds = rows.groupBy(key).agg(F.min(date).alias(_DATES[0]), F.max(date).alias(_DATES[1]))
+    return join_per_key(rows.drop(*_DATES), bounds, key)
 
 
 def dedupe_queries(hits: DataFrame, order: str, word: str, key: str = KEY, out: str = "matched_titlewords") -> DataFrame:
@@ -246,8 +239,15 @@ def history_backfill(current: DataFrame, history: DataFrame, key: str = KEY) ->
     return joined.withColumns(filled).drop(*[f"_h_{c}" for c in fields])
 
 
-def detail_join(postings: DataFrame, details: DataFrame, key: str = KEY) -> DataFrame:
-    """Attach detail columns by key; a posting without details keeps what it had."""
+def detail_join(postings: DataFrame, details: DataFrame, key: str = KEY, order: str | None = None) -> DataFrame:
+    """Attach detail columns by key; a posting without details keeps what it had.
+
+    Of several details of a key the one with the greatest ``order`` counts; without an order
+    (rows alike in all other respects) it is the greatest row.
+    """
+    rest = [c for c in details.columns if c not in (key, order)]
+    row = F.struct(*[c for c in (order, *rest) if c])
+    details = details.groupBy(key).agg(F.max(row).alias("_d")).select(key, *[F.col("_d")[c].alias(c) for c in rest])
     shared = [c for c in details.columns if c != key and c in postings.columns]
     renamed = details.select(
         key, *[F.col(c).alias(f"_d_{c}") if c in shared else F.col(c) for c in details.columns if c != key]

@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 
 from postingflow.functions.columns import url_build, word_array
 
-MAX_FANOUT = 10_000
-
 
 def pairs(words: DataFrame, word: str, locations) -> DataFrame:
     """Every word with every configured location.
 
-    The locations are a short configured list, so this is a row generator with a checked
-    fan-out and no join.
+    The locations are a configured list in the plan, so this is a row generator and no join.
     """
-    locations = tuple(locations)
-    if len(locations) > MAX_FANOUT:
-        raise ValueError(f"{len(locations)} locations exceed the fan-out limit {MAX_FANOUT}")
-    return words.select(F.col(word).alias("word"), F.explode(word_array(locations)).alias("location"))
+    return words.select(F.col(word).alias("word"), F.explode(word_array(tuple(locations))).alias("location"))
 
 
 def url_frontier(words: DataFrame, word: str, locations, base: str, dedupe: bool = True) -> DataFrame:
@@ -42,11 +36,6 @@ def zipped_urls(rows: DataFrame, first: str, second: str, base: str, dedupe: boo
     return urls.distinct() if dedupe else urls
 
 
-def search_urls(words: DataFrame, word: str, base: str) -> DataFrame:
-    """Urls ``base + word`` without duplicates."""
-    return words.select(F.concat(F.lit(base), F.col(word)).alias("url")).distinct()
-
-
 def keyword_universe(lists: DataFrame) -> DataFrame:
     """Distinct words over several lists given as (list, word) rows."""
     return lists.select("word").distinct()

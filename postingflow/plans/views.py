@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postingflow.operators.snapshots import latest_per_key
 from postingflow.session import spread
 
 POSTING_EXPRESSIONS = (
@@ -91,9 +92,9 @@ def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The newest snapshot, and the distinct postings of the two before it."""
+    """The newest snapshot, and the history before it: each posting as last seen."""
     rows = snapshot_rows(spark, sf_dir)
-    return rows.where("ord = 3"), rows.where("ord = 1")
+    return rows.where("ord = 3"), latest_per_key(rows.where("ord < 3"), "ord")
 
 
 def _sql_list(column: str) -> str:
@@ -113,7 +114,7 @@ SNAPSHOTS_CTE = (
     f"snapshots AS (SELECT *, {_sql_list('locations_s')} AS locations, "
     f"{_sql_list('titlewords_s')} AS matched_titlewords FROM s1), "
     "newest AS (SELECT * FROM snapshots WHERE ord = 3), "
-    "previous AS (SELECT * FROM snapshots WHERE ord = 1)"
+    "previous AS (SELECT * FROM snapshots WHERE ord < 3 QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY ord DESC) = 1)"
 )
 
 

@@ -40,9 +40,15 @@ def _local_base() -> str:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (tests, a laptop) gets a local one.
+    Only a local session (tests, a laptop) may do without ``spark.checkpoint.dir``: a folder
+    on one machine of a cluster would lose what the other machines write.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_base()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master or 'the cluster'} share")
+        base = _local_base()
     return f"{base.rstrip('/')}/postingflow/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -58,13 +64,11 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small scan over the cores before CPU-bound text work.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows over the given number of partitions before CPU-bound work, if one is given.
 
-    A table with more scan partitions than cores is left alone, so this adds a shuffle
-    only where a few files would leave cores idle.
+    The number comes from the caller or from ``postingflow.inputPartitions``, for runs whose
+    input is too few files or row groups to share out; without it the table is left as is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores)
+    asked = partitions or df.sparkSession.conf.get("postingflow.inputPartitions", None)
+    return df.repartition(int(asked)) if asked else df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from postingflow import config
 from postingflow.config import Profile
 from postingflow.operators import coverage, enrich, filters, phrases, reports, skew, snapshots
+from postingflow.session import settle
 
 D = dt.date
 SCHEMA = "posting_id string, company string, points decimal(12,2), description string, collected_on date, matched_titlewords array<string>, ord bigint"
@@ -68,44 +69,52 @@ def test_joins_split_a_hot_key_without_changing_results(spark):
     others = [("hot",), ("k1",), ("k2",), ("nobody",), ("k1",), ("hot",)]
     other = spark.createDataFrame(others, "posting_id string")
     keys = {k for (k,) in others}
-    kept = [r["v"] for r in skew.rows_with_key(df, other, "posting_id", rows_per_task=100).collect()]
-    gone = [r["v"] for r in skew.rows_without_key(df, other, "posting_id", rows_per_task=100).collect()]
+    kept = [r["v"] for r in skew.rows_with_key(df, other, "posting_id").collect()]
+    gone = [r["v"] for r in skew.rows_without_key(df, other, "posting_id").collect()]
     assert sorted(kept) == [v for k, v in rows if k in keys]
     assert sorted(gone) == [v for k, v in rows if k not in keys]
     per_key = df.groupBy("posting_id").agg(F.max("v").alias("top"))
     top = {}
     for k, v in rows:
         top[k] = max(top.get(k, -1), v)
-    joined = skew.join_per_key(df, per_key, "posting_id", rows_per_task=100).collect()
+    joined = skew.join_per_key(df, per_key, "posting_id").collect()
     assert len(joined) == len(rows) and all(r["top"] == top[r["posting_id"]] for r in joined)
-    left = skew.join_per_key(df, per_key.where("posting_id = 'hot'"), "posting_id", "left", rows_per_task=100).collect()
+    left = skew.join_per_key(df, per_key.where("posting_id = 'hot'"), "posting_id", "left").collect()
     assert len(left) == len(rows) and sum(r["top"] is not None for r in left) == sum(k == "hot" for k, _ in rows)
 
 
-def test_hot_key_is_spread_over_tasks(spark):
-    _, df = skewed(spark)
-    marks = df.select("posting_id").distinct().withColumn("x", F.lit(1))
-    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_hot_key_is_split_by_adaptive_execution(spark, tmp_path):
+    """A third of the rows on one key: no join partition keeps them all."""
+    _, df = skewed(spark, 60000)
+    df.withColumn("pad", F.repeat(F.md5(F.col("v").cast("string")), 8)).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {c: spark.conf.get(c) for c in conf}
+    for c, v in conf.items():
+        spark.conf.set(c, v)
     try:
-        joined = skew.join_per_key(df, marks, "posting_id", rows_per_task=100)
-        sizes = joined.where("posting_id = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        marks = df.groupBy("posting_id").agg(F.max("v").alias("x"))
+        keys = df.select("posting_id").distinct()
+        keys.write.parquet(str(tmp_path / "keys"))
+        keys = spark.read.parquet(str(tmp_path / "keys"))
+        for joined in (skew.join_per_key(df, marks, "posting_id"), skew.rows_with_key(df, keys, "posting_id")):
+            written = settle(joined.withColumn("p", F.spark_partition_id()), "joined")
+            sizes = [r["count"] for r in written.where("posting_id = 'hot'").groupBy("p").count().collect()]
+            assert len(sizes) > 3 and max(sizes) < 0.6 * sum(sizes)
     finally:
         for c, v in old.items():
             spark.conf.set(c, v)
-    hot = sum(r["count"] for r in sizes)
-    assert hot == df.where("posting_id = 'hot'").count()
-    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 0.6 * hot
 
 
-def test_heavy_keys_are_bounded(spark):
-    _, df = skewed(spark)
-    counts = skew.key_counts(df, "posting_id")
-    heavy = skew.heavy_keys(counts, "posting_id", share=0.05, rows_per_task=1).collect()
-    n = df.where("posting_id = 'hot'").count()
-    assert [tuple(r) for r in heavy] == [("hot", n)]
-    assert skew.heavy_keys(counts, "posting_id").count() == 0
+def test_details_of_one_id_overwrite_each_other(spark):
+    postings = spark.createDataFrame([("a", "t", None), ("b", "u", "own")], "posting_id string, title string, description string")
+    details = spark.createDataFrame([("a", "old", 1), ("a", "new", 2)], "posting_id string, description string, seq int")
+    got = snapshots.detail_join(postings, details, order="seq").collect()
+    assert sorted((r["posting_id"], r["description"]) for r in got) == [("a", "new"), ("b", "own")]
 
 
 def test_rare_companies(spark):
@@ -182,12 +191,12 @@ def test_phrase_counts_by_hand(spark):
 
 def test_process_steps_can_be_replaced(spark):
     df = spark.createDataFrame(
-        [("a", "Sales Manager", "x", ["Wien"], None), ("b", "Data Scientist", "und der die", ["Graz"], 4100)],
+        [("a", "Sales Manager", "x", ["Wien"], None), ("b", "Graph Data Engineer", "und der die", ["Graz"], 4100)],
         "posting_id string, title string, description string, locations array<string>, salary_monthly_guessed bigint",
     )
     done = {r["posting_id"]: r for r in enrich.process(df, Profile()).collect()}
     assert set(done) == {"b"} and done["b"]["language"] == "de"
-    assert done["b"]["points"] == Decimal("1.95")  # 1.4 + 1.2 + 0.35 - 1 (secondary place)
+    assert done["b"]["points"] == Decimal("1.80")  # 2.15 + 0.65 - 1 (secondary place)
     all_rows = enrich.process(df, Profile(), filter_step=lambda d: d)
     assert all_rows.count() == 2
     assert Profile().extended(keywords=("new",)).keywords[-1] == "new"
@@ -203,28 +212,42 @@ def test_universal_inputs(spark):
     assert rows == {"x": ["a"], "y": ["a", "b"]}
 
 
-def test_daily_run(spark):
+def test_daily_run(spark, tmp_path):
     from postingflow.plans import jobs
+    from postingflow.sources.snapshots import read_store
 
     D2 = dt.date(2024, 2, 10)
     raw = spark.createDataFrame(
-        [("new", "Data Scientist", "Firm", "graph", ["Wien", "Graz"], D2, None), ("old", "Data Engineer", "Firm 2", "python", ["Linz", "Vienna"], D2, "4.200,00"),
-         ("bad", "Sales Manager", "Firm 3", "x", ["Wien"], D2, None)],
+        [("new", "Research Analyst", "Firm", "graph data", ["Wien", "Graz"], D2, None), ("old", "Data Engineer", "Firm 2", "python, sql", ["Linz", "Vienna"], D2, "4.200,00"),
+         ("bad", "Sales Manager", "Firm 3", "x", ["Wien"], D2, None), ("low", "Consultant", "Firm 4", "x", ["Wien"], D2, None),
+         ("undated", "Research Analyst", "Firm", "x", ["Wien"], D2, None)],
         "posting_id string, title string, company string, description string, locations array<string>, collected_on date, salary string",
     )
     history = spark.createDataFrame(
-        [("old", D(2024, 1, 1), D(2024, 2, 1), Decimal(1)), ("gone", D(2024, 1, 1), D(2024, 2, 1), Decimal(3)), ("low", D(2024, 1, 1), D(2024, 2, 1), Decimal(0))],
+        [("old", D(2024, 1, 1), D(2024, 2, 1), Decimal(1)), ("gone", D(2024, 1, 1), D(2024, 2, 1), Decimal(3)), ("gone_low", D(2024, 1, 1), D(2024, 2, 1), Decimal(0)),
+         ("bad", D(2024, 1, 1), D(2024, 2, 1), Decimal(2)), ("undated", None, None, Decimal(1))],
         "posting_id string, first_collected_on date, last_collected_on date, points decimal(12,2)",
     )
     run = jobs.daily_run(raw, history, Profile())
     results = {r["posting_id"]: r for r in run.results.collect()}
-    assert set(results) == {"new", "old"}
+    assert set(results) == {"new", "old", "undated"}
+    assert {r["posting_id"] for r in run.stored.collect()} == {"new", "old", "low", "undated"}
     assert (results["old"]["first_collected_on"], results["old"]["last_collected_on"], results["old"]["timespan_days"]) == (D(2024, 1, 1), D2, 40)
     assert results["old"]["salary_monthly_guessed"] == 4200 and results["old"]["locations"] == ["Vienna", "Linz"]
     assert [r["posting_id"] for r in run.added.collect()] == ["new"]
-    assert [r["posting_id"] for r in run.removed.collect()] == ["gone"]
-    assert {r["company"] for r in run.companies.collect()} == {"Firm", "Firm 2"}
+    # A posting whose title is banned by now counts as removed.
+    assert {r["posting_id"] for r in run.removed.collect()} == {"gone", "bad"}
+    firms = [r["company"] for r in run.companies.orderBy("first_seen").collect()]
+    best = sorted(results.values(), key=lambda r: -r["points"])
+    assert firms == list(dict.fromkeys(r["company"] for r in best))
     made = jobs.outputs(run, D2, dt.datetime(2024, 2, 10, 9))
-    assert [r["line"] for r in made["log"].collect()] == ["Data Scientist - at - Firm"]
-    assert {r["posting_id"]: r["is_new"] for r in made["report"].collect()} == {"new": True, "old": False}
+    assert [r["line"] for r in made["log"].collect()] == ["Research Analyst - at - Firm"]
+    assert {r["posting_id"]: r["is_new"] for r in made["report"].collect()} == {"new": True, "old": False, "undated": False}
     assert made["digest"].count() == 3
+
+    root = str(tmp_path / "stores")
+    for _ in range(2):
+        jobs.daily_job(raw, root, Profile())
+    read = lambda name: {r["posting_id"]: r for r in read_store(spark, f"{root}/{name}").collect()}
+    assert set(read("history")) == set(read("current")) == {"new", "old", "low", "undated"}
+    assert read("newly_added") == {} and read("current")["low"]["timespan_days"] == 0
