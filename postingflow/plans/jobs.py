@@ -18,12 +18,15 @@ from postingflow.session import settle
 from postingflow.sources import snapshots as store
 
 Step = Callable[[DataFrame], DataFrame]
+# What a run needs of a history that does not exist yet.
+HISTORY = f"{KEY} string, first_collected_on date, last_collected_on date, points decimal(12,2)"
 
 
 @dataclass(frozen=True)
 class RunBundle:
-    """What a run hands to its outputs."""
+    """What a run hands on: all scores for the stores, the thresholded tables for display."""
 
+    stored: DataFrame
     results: DataFrame
     added: DataFrame
     removed: DataFrame
@@ -42,52 +45,66 @@ def daily_run(
 ) -> RunBundle:
     """Process fresh postings, compare them with history and backfill their dates.
 
-    ``history`` holds one row per posting with its dates; it is the baseline of ``removed``.
-    One join with it, before any text work, tells which postings are new and gives the
-    others their first date. The processed postings are settled, since every output of the
-    run reads them.
+    ``history`` holds one row per posting with its dates. One join with it, before any text
+    work, tells which postings are new and gives the others their first date. The processed
+    postings, all that the title filter left, are settled as ``stored``, since every output
+    of the run reads them; what is displayed is cut at the threshold afterwards. A posting
+    of history that is not among them, banned titles included, is removed. Companies come in
+    the order of their best posting (``first_seen`` is its points, negated).
     """
     past = history.select(
-        KEY, F.col("first_collected_on").alias("_first"), F.col("last_collected_on").alias("_last")
+        KEY, F.col("first_collected_on").alias("_first"), F.col("last_collected_on").alias("_last"),
+        F.lit(True).alias("_known"),
     )
     joined = raw.drop("first_collected_on", "last_collected_on").join(past, KEY, "left")
     dates = joined.withColumns(
         {
-            "is_added": F.col("_last").isNull(),
+            "is_added": F.col("_known").isNull(),
             "first_collected_on": F.least("_first", "collected_on"),
             "last_collected_on": F.greatest("_last", "collected_on"),
         }
-    ).drop("_first", "_last")
-    processed = enrich.process(enrich.with_salary(snapshots.with_timespan(dates)), profile)
-    results = filters.threshold_points(processed, threshold).withColumn(
+    ).drop("_first", "_last", "_known")
+    stored = settle(enrich.process(enrich.with_salary(snapshots.with_timespan(dates)), profile), "results")
+    results = filters.threshold_points(stored, threshold).withColumn(
         "locations", reorder_locations(F.col("locations"), profile.locations_desired)
     )
-    results = settle(results, "results")
+    best_first = results.withColumn("_order", -F.coalesce("points", F.lit(0)))
     return RunBundle(
+        stored=stored.drop("is_added"),
         results=results.drop("is_added"),
         added=results.where("is_added").drop("is_added"),
-        removed=settle(filters.threshold_points(snapshots.removed(raw, history), threshold), "removed"),
-        companies=coverage.companies_in_city(results, KEY),
+        removed=filters.threshold_points(snapshots.removed(stored, history), threshold),
+        companies=coverage.companies_in_city(best_first, "_order"),
     )
 
 
 def store_run(current: DataFrame, root: str, order: str = "ord") -> dict[str, int]:
-    """Save current postings, compare them with the stored history, save both outcomes.
+    """Save a run: history first, then the current and the newly added postings with its dates.
 
-    The current postings are written first and read back, so their processing runs once.
+    The postings are settled, so their processing runs once; what was added is told by the
+    history before this run.
     """
     spark = current.sparkSession
-    saved = store.write_store(current, f"{root}/current")
-    current = store.read_store(spark, f"{root}/current")
+    if order not in current.columns:
+        current = current.withColumn(order, F.lit(0))
+    current = settle(current, "current")
     past = store.read_store(spark, f"{root}/history", schema=current.schema)
     new_rows = snapshots.added(current, past)
     both = snapshots.union_columns(past.withColumn(order, F.lit(-1).cast("bigint")), current)
-    merged = snapshots.with_timespan(snapshots.unify(both, order))
-    return {
-        "current": saved,
-        "newly_added": store.write_store(new_rows, f"{root}/newly_added"),
-        "history": store.write_store(merged, f"{root}/history"),
-    }
+    new_rows = settle(new_rows, "added")
+    saved = {"history": store.write_store(snapshots.with_timespan(snapshots.unify(both, order)), f"{root}/history")}
+    history = store.read_store(spark, f"{root}/history")
+    saved["current"] = store.write_store(snapshots.history_backfill(current, history), f"{root}/current")
+    saved["newly_added"] = store.write_store(snapshots.history_backfill(new_rows, history), f"{root}/newly_added")
+    return saved
+
+
+def daily_job(raw: DataFrame, root: str, profile: Profile, threshold=config.MIN_POINTS) -> RunBundle:
+    """The whole daily loop: run against the stored history, store all scores, return the bundle."""
+    history = store.read_store(raw.sparkSession, f"{root}/history", schema=HISTORY)
+    bundle = daily_run(raw, settle(history, "history"), profile, threshold)
+    store_run(bundle.stored, root)
+    return bundle
 
 
 def derive_profiles(

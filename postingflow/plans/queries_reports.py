@@ -186,11 +186,13 @@ def r4(spark, sf):
 
 
 def _bundle(spark, sf):
+    """A daily run on stores that hold two earlier snapshots; its stores are at ``root``."""
     rows = snapshot_rows(spark, sf)
-    history = snapshots.unify(rows.where("ord < 3"))
+    root = scratch_dir(spark, "daily")
+    jobs.store_run(rows.where("ord < 3"), root)
     profile = Profile(banned_words=("manager",))
     raw = rows.where("ord = 3").withColumn("salary", F.lit(None).cast("string"))
-    return jobs.daily_run(raw, history, profile)
+    return jobs.daily_job(raw, root, profile), root
 
 
 _RUN = (
@@ -198,21 +200,26 @@ _RUN = (
     + Q.salary_ctes("src", "pay", "paid")
     + ", hist AS (SELECT posting_id, min(collected_on) AS f, max(collected_on) AS l, "
     "coalesce(arg_min(points, ord) FILTER (WHERE points <> 0), 0) AS old_points FROM snapshots WHERE ord < 3 GROUP BY posting_id), "
-    f"run AS (SELECT p.*, {SCORE_SQL} AS score, f, coalesce(least(f, collected_on), collected_on) AS first_on FROM paid p LEFT JOIN hist USING (posting_id)), "
-    f"res AS (SELECT * FROM run WHERE score >= 0.01 AND NOT (contains(lower(title), 'manager') OR {Q.contains_any('title', config.BANNED_CAPITAL_WORDS)})), "
+    f"run AS (SELECT p.*, {SCORE_SQL} AS score, h.posting_id IS NULL AS fresh, f, coalesce(least(f, collected_on), collected_on) AS first_on FROM paid p LEFT JOIN hist h ON h.posting_id = p.posting_id), "
+    f"kept AS (SELECT * FROM run WHERE NOT (contains(lower(title), 'manager') OR {Q.contains_any('title', config.BANNED_CAPITAL_WORDS)})), "
+    "res AS (SELECT * FROM kept WHERE score >= 0.01), "
     f"rep AS (SELECT *, {BUCKET_SQL.format(d='first_on')} AS bucket FROM res)"
 )
 
 
 @query("r5_run_bundle", over_snapshots(
-    "SELECT 'results' AS part, count(*) AS postings FROM res UNION ALL SELECT 'added', count(*) FROM res WHERE f IS NULL "
-    "UNION ALL SELECT 'removed', count(*) FROM hist WHERE old_points >= 0.01 AND posting_id NOT IN (SELECT posting_id FROM newest) "
+    "SELECT 'results' AS part, count(*) AS postings FROM res UNION ALL SELECT 'added', count(*) FROM res WHERE fresh "
+    "UNION ALL SELECT 'removed', count(*) FROM hist WHERE old_points >= 0.01 AND posting_id NOT IN (SELECT posting_id FROM kept) "
+    "UNION ALL SELECT 'stored', count(*) FROM kept UNION ALL SELECT 'history', count(*) FROM (SELECT posting_id FROM hist UNION SELECT posting_id FROM kept) "
     f"UNION ALL SELECT 'companies', count(DISTINCT company) FROM res WHERE {Q.location_match('locations', config.COMPANY_CITY_TERMS)}", _RUN))
 def r5(spark, sf):
-    """Sizes of the four tables of a daily run."""
-    b = _bundle(spark, sf)
+    """Sizes of the tables of a daily run, and of the history it stored, low scores included."""
+    b, root = _bundle(spark, sf)
     sizes = coverage.run_counts(b.results, b.added, b.removed)
     firms = b.companies.agg(F.count("*").alias("postings")).select(F.lit("companies").alias("part"), "postings")
+    kept = [("stored", b.stored), ("history", read_store(spark, f"{root}/history"))]
+    for name, df in kept:
+        sizes = sizes.unionByName(df.agg(F.count("*").alias("postings")).select(F.lit(name).alias("part"), "postings"))
     return sizes.unionByName(firms)
 
 
@@ -221,7 +228,7 @@ def r5(spark, sf):
     "DATE '2024-02-15' - first_on < 10 AS is_new, title AS \"Title\", company AS \"Company\", score AS \"Points\", CAST(first_on AS VARCHAR) AS \"First date\" FROM rep", _RUN))
 def r6(spark, sf):
     """The report of a daily run."""
-    made = jobs.outputs(_bundle(spark, sf), AS_OF, RUN_TS, highlight_days=10)
+    made = jobs.outputs(_bundle(spark, sf)[0], AS_OF, RUN_TS, highlight_days=10)
     return made["report"].withColumn("First date", F.col("First date").cast("string")).select(
         "posting_id", "bucket", "separator", "is_new", "Title", "Company", "Points", "First date"
     )
@@ -431,13 +438,12 @@ def z3(spark, sf):
 
 
 @query("z4_daily_counts",
-       "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events "
-       "WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1")
+       "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
 def z4(spark, sf):
-    """Days the watermark has passed; the last ones stay open."""
+    """All days, the last ones with their counts so far."""
     root = scratch_dir(spark, "daily")
     counts = streams.daily_counts(_events(spark, sf), "ts", "1 day")
-    streams.run_available(counts, f"{root}/checkpoint", f"{root}/out")
-    done = spark.read.parquet(f"{root}/out")
+    streams.run_available(counts, f"{root}/checkpoint", each=streams.upsert_latest(f"{root}/out", "day_start"), mode="update")
+    done = read_store(spark, f"{root}/out")
     day = F.date_from_unix_date((F.unix_seconds("day_start") / 86400).cast("int"))
     return done.select(day.cast("string").alias("day"), "n")

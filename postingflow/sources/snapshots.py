@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,18 +11,18 @@ from postingflow.functions.once import explode_once
 from postingflow.schema import KEY, SNAPSHOT_VALUE, conform, empty_postings
 
 
-def record_end(indent: int) -> str:
+def record_end(indent: int, newline: str = "\n") -> str:
     """The text that ends every posting but the last in a file written with ``indent``.
 
     A JSON string holds no raw newline and nested objects are indented further, so the file
     can be split between tasks there.
     """
-    return "\n" + " " * indent + "},\n"
+    return newline + " " * indent + "}," + newline
 
 
 def parse_snapshot(chunks: DataFrame, value: str = "value", schema: T.StructType = SNAPSHOT_VALUE) -> DataFrame:
     """Postings from JSON objects ``{posting_id: posting}``, whole or cut at record ends."""
-    text = F.rtrim(F.col(value))
+    text = F.rtrim(F.replace(F.col(value), F.lit("\r\n"), F.lit("\n")))
     opened = F.startswith(text, F.lit("{"))
     # Only the end of the file holds an unindented brace; a file on one line is complete.
     closed = F.endswith(text, F.lit("\n}")) | (opened & ~F.contains(text, F.lit("\n")))
@@ -44,14 +45,15 @@ def parse_snapshot(chunks: DataFrame, value: str = "value", schema: T.StructType
 
 def read_snapshots(
     spark: SparkSession, paths, nested: bool = False, modified_after: str | None = None, indent: int = 4,
-    glob: str = "*.json",
+    glob: str = "*.json", newline: str = "\n",
 ) -> DataFrame:
     """All postings of snapshot files or folders, with ``snapshot_file`` and its time.
 
-    ``indent`` is that of the files (files on one line need none); text that does not fit
-    it fails the job instead of losing postings.
+    ``indent`` and ``newline`` are those of the files (files on one line need none; files
+    written on Windows have ``\\r\\n``); text that does not fit fails the job instead of losing
+    postings, and a file with other line ends is read whole, in one task.
     """
-    reader = spark.read.option("lineSep", record_end(indent))
+    reader = spark.read.option("lineSep", record_end(indent, newline))
     chunks = _folder_options(reader, nested, modified_after, glob).text(paths)
     with_file = chunks.select(
         "value",
@@ -140,20 +142,25 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 # --- versioned tables ----------------------------------------------------------------------
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Completed versions of a table, found by their success markers."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+def _commits(spark: SparkSession, path: str) -> list:
+    """Completed versions of a table: (version, batch) rows, added when a version is written."""
+    try:
+        rows = spark.read.schema("version int, batch string").parquet(f"{path}/commits").collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
-    done = []
-    for status in fs.listStatus(root):
-        folder = status.getPath()
-        name = folder.getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-            done.append(int(name.split("=")[1]))
-    return sorted(done)
+    return sorted(rows, key=lambda r: r["version"])
+
+
+def next_version(spark: SparkSession, path: str) -> int:
+    commits = _commits(spark, path)
+    return commits[-1]["version"] + 1 if commits else 0
+
+
+def has_batch(spark: SparkSession, path: str, batch: str) -> bool:
+    """Whether a batch of a stream is in the table already."""
+    return any(r["batch"] == batch for r in _commits(spark, path))
 
 
 def read_store(
@@ -161,21 +168,24 @@ def read_store(
 ) -> DataFrame:
     """The latest version of a stored table (or the latest below ``before``); empty before
     the first write."""
-    versions = [v for v in _versions(spark, path) if before is None or v < before]
-    if not versions:
+    commits = [c for c in _commits(spark, path) if before is None or c["version"] < before]
+    if not commits:
         return empty_postings(spark) if schema is None else spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{path}/version={versions[-1]}")
+    return spark.read.parquet(f"{path}/version={commits[-1]['version']}")
 
 
-def write_store(df: DataFrame, path: str, version: int | None = None) -> int:
-    """Write the next (or a given) version; readers see it once it is complete.
+def write_store(df: DataFrame, path: str, batch: str | None = None) -> int:
+    """Write the next version; readers see it once its commit row is there.
 
-    The version being read is never touched, so a job may derive the next one from it.
+    The version being read is never touched, so a job may derive the next one from it, and
+    what a failed attempt left is overwritten. ``batch`` names the batch of a stream that
+    the version holds.
     """
-    if version is None:
-        versions = _versions(df.sparkSession, path)
-        version = versions[-1] + 1 if versions else 0
+    spark = df.sparkSession
+    version = next_version(spark, path)
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    commit = spark.createDataFrame([(version, batch)], "version int, batch string")
+    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return version
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postingflow.operators import snapshots
 from postingflow.schema import KEY
-from postingflow.sources.snapshots import read_store, write_store
+from postingflow.sources.snapshots import has_batch, next_version, read_store, write_store
 
 
 def stream_parquet(spark: SparkSession, folder: str, schema, glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -44,7 +44,8 @@ def new_keys(events: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
 
 
 def daily_counts(events: DataFrame, ts: str, delay: str, width: str = "1 day") -> DataFrame:
-    """Rows per day, emitted once the watermark has passed the day."""
+    """Rows per day. In append mode a day comes once, when the watermark has passed it; in
+    update mode it comes with its count so far whenever that changes."""
     return (
         events.withWatermark(ts, delay)
         .groupBy(F.window(ts, width))
@@ -64,18 +65,39 @@ def run_available(stream: DataFrame, checkpoint: str, sink: str | None = None, e
     return query
 
 
+def batch_name(batch: DataFrame, batch_id: int) -> str:
+    """A batch's name for good: batch numbers start again with a new checkpoint."""
+    return f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}/{batch_id}"
+
+
 def upsert_seen(store: str, key: str):
-    """Per-batch step for ``first_last_seen`` in update mode: merge into a versioned table.
+    """Per-batch step for ``first_last_seen``: merge into a versioned table.
 
-    A repeated batch starts from the version before it and writes the same one again.
+    A batch that the table has is left out, so a repeated one changes nothing.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = read_store(batch.sparkSession, store, before=batch_id, schema=batch.schema)
+        name = batch_name(batch, batch_id)
+        if has_batch(batch.sparkSession, store, name):
+            return
+        known = read_store(batch.sparkSession, store, schema=batch.schema)
         merged = known.unionByName(batch).groupBy(key).agg(
             F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
         )
-        write_store(merged, store, version=batch_id)
+        write_store(merged, store, name)
+
+    return step
+
+
+def upsert_latest(store: str, key: str):
+    """Per-batch step in update mode: a row of the batch replaces the stored row of its key."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        name = batch_name(batch, batch_id)
+        if has_batch(batch.sparkSession, store, name):
+            return
+        known = read_store(batch.sparkSession, store, schema=batch.schema)
+        write_store(snapshots.upsert(known, batch, key=key), store, name)
 
     return step
 
@@ -83,20 +105,23 @@ def upsert_seen(store: str, key: str):
 def ingest_snapshots(history: str, added_log: str, order: str = "ord", key: str = KEY):
     """Per-batch step of the daily loop: log the added postings, merge into history.
 
-    The history version carries the batch number: a repeated batch starts from the version
-    before it, finds the same added rows and writes the same version again.
+    The history's next version numbers the run, whatever stream or job wrote the last one. A
+    batch that history has is left out; one that failed half-way writes the same run again.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        past = read_store(batch.sparkSession, history, before=batch_id, schema=batch.schema)
+        spark, name = batch.sparkSession, batch_name(batch, batch_id)
+        if has_batch(spark, history, name):
+            return
+        past = read_store(spark, history, schema=batch.schema)
         fresh = snapshots.added(batch, past, key)
         snapshots.unify(fresh, order, key).write.mode("overwrite").parquet(
-            f"{added_log}/batch_id={batch_id}"
+            f"{added_log}/run={next_version(spark, history)}"
         )
         # History comes before everything in the batch.
         merged = snapshots.unify(
             snapshots.union_columns(past.withColumn(order, F.lit(-1).cast("bigint")), batch), order, key
         )
-        write_store(merged.withColumn(order, F.lit(-1).cast("bigint")), history, version=batch_id)
+        write_store(merged.withColumn(order, F.lit(-1).cast("bigint")), history, name)
 
     return step

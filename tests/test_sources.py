@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,20 +104,23 @@ def test_scratch_folder_follows_the_session(spark):
     from postingflow import session
 
     class Conf:
-        def __init__(self, value):
-            self.value = value
+        def __init__(self, value, master):
+            self.value, self.master = value, master
 
         def get(self, key, default=None):
-            assert key == "spark.checkpoint.dir"
-            return self.value or default
+            return {"spark.checkpoint.dir": self.value, "spark.master": self.master}.get(key) or default
 
     class Fake:
-        def __init__(self, value):
-            self.conf = Conf(value)
+        def __init__(self, value, master="local[4]"):
+            self.conf = Conf(value, master)
 
     assert session.scratch_dir(Fake("hdfs://shared/cp/"), "x").startswith("hdfs://shared/cp/postingflow/x-")
+    with pytest.raises(ValueError):
+        session.scratch_dir(Fake(None, "yarn"), "x")
+    with pytest.raises(ValueError):
+        session.scratch_dir(Fake(None, "local-cluster[2,1,1024]"), "x")
     local = session.scratch_dir(Fake(None), "x")
-    assert local.startswith("/tmp/run-") and session.scratch_dir(Fake(None), "x") != local
+    assert local.startswith(f"{tempfile.gettempdir()}/run-") and session.scratch_dir(Fake(None), "x") != local
 
 
 def test_log_keeps_runs_newest_first(spark, tmp_path):
@@ -167,3 +171,13 @@ def test_listing_pages_and_details(spark):
     assert set(rows) == {"s7", "s8"}
     assert (rows["s7"]["title"], rows["s7"]["url"], rows["s7"]["matched_titlewords"]) == ("ML", "https://s/a/7/", ["ml", "data"])
     assert rows["s8"]["matched_titlewords"] == ["data"]
+
+
+def test_windows_line_ends_are_split_too(spark, tmp_path):
+    postings = {f"k{i}": {"title": f"T {i}", "description": "two\\nlines"} for i in range(30)}
+    (tmp_path / "w.json").write_bytes(json.dumps(postings, indent=4).replace("\n", "\r\n").encode())
+    path = str(tmp_path / "w.json")
+    chunks = spark.read.option("lineSep", snapshots.record_end(4, "\r\n")).text(path).count()
+    rows = snapshots.read_snapshots(spark, path, newline="\r\n")
+    assert chunks == 30 and {r["posting_id"] for r in rows.collect()} == set(postings)
+    assert snapshots.read_snapshots(spark, path).count() == 30

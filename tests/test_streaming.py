@@ -31,7 +31,7 @@ def test_ingest_and_repeat(spark, tmp_path):
 
     def state():
         kept = read_store(spark, f"{tmp_path}/history").select("posting_id", "title", "description", "first_collected_on", "last_collected_on")
-        added = spark.read.parquet(f"{tmp_path}/added").select("posting_id", F.col("batch_id").cast("int"))
+        added = spark.read.parquet(f"{tmp_path}/added").select("posting_id", F.col("run").cast("int"))
         return sorted(map(tuple, kept.collect())), sorted(map(tuple, added.collect()))
 
     first = state()
@@ -73,3 +73,15 @@ def test_new_keys_and_daily_counts(spark, tmp_path):
     streams.run_available(seen, f"{tmp_path}/cp3", each=streams.upsert_seen(f"{tmp_path}/seen", "k"), mode="update")
     rows = {r["k"]: (r["first_seen"], r["last_seen"]) for r in read_store(spark, f"{tmp_path}/seen").collect()}
     assert rows["a"] == (t(1, 1), t(2, 1)) and len(rows) == 5
+
+
+def test_new_checkpoint_loses_nothing(spark, tmp_path):
+    """Batch numbers start again with a fresh checkpoint; versions and runs go on."""
+    history, log = f"{tmp_path}/h", f"{tmp_path}/a"
+    for i, rows in enumerate(batches()):
+        frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+        stream = streams.stream_parquet(spark, f"{tmp_path}/in{i}", frame(spark, []).schema)
+        streams.run_available(stream, f"{tmp_path}/cp{i}", each=streams.ingest_snapshots(history, log), mode="update")
+    everything = {r[0] for b in batches() for r in b}
+    assert {r["posting_id"] for r in read_store(spark, history).collect()} == everything
+    assert {r["posting_id"] for r in spark.read.parquet(log).collect()} == everything
