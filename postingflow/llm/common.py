@@ -61,17 +61,15 @@ def ranked(df: DataFrame, keys: list[str], order: str, ties: list[str], name: st
     """
     bits = ((df.count() if total is None else total) // per_bucket).bit_length()
     bucket, base = fresh(df, "bucket"), fresh(df, "base")
-    number = F.shiftright(F.col(order), 63 - bits)
-    cut = df.withColumn(bucket, number)
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    counts = (df if counted is None else counted).withColumn(bucket, number).groupBy(*keys, bucket).agg(F.count("*").alias(base))
+    # Never null, so that the join has the partitioning of the window and moves no row again.
+    tokens = {fresh(df, f"token_{k}"): F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys}
+    place = {**tokens, bucket: F.shiftright(F.col(order), 63 - bits)}
+    cut = df.withColumns(place)
+    before = Window.partitionBy(*tokens).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (df if counted is None else counted).withColumns(place).groupBy(*place).agg(F.count("*").alias(base))
     offsets = counts.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
-    inside = Window.partitionBy(*keys, bucket).orderBy(order, *ties)
-    numbered = cut.withColumn(name, F.row_number().over(inside) - F.lit(1))
-    same = [numbered[c].eqNullSafe(offsets[c]) for c in (*keys, bucket)]
-    together = same[0]
-    for one in same[1:]:
-        together = together & one
-    joined = numbered.join(offsets, together)
-    columns = [numbered[c] for c in df.columns if c != name]
-    return joined.select(*columns, (numbered[name] + offsets[base]).alias(name))
+    inside = Window.partitionBy(*place).orderBy(order, *ties)
+    rank = fresh(df, "rank")
+    numbered = cut.withColumn(rank, F.row_number().over(inside) - F.lit(1)).join(offsets, list(place))
+    columns = [c for c in df.columns if c != name]
+    return numbered.select(*columns, (F.col(rank) + F.col(base)).alias(name))
