@@ -7,6 +7,7 @@ that runs in tasks. Only the HTML column travels to Python.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -33,93 +34,108 @@ def parse_selector(selector: str) -> list[tuple[str, frozenset]]:
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "classes", "start", "slot", "blocks")
+    __slots__ = ("tag", "attrs", "classes", "start", "slot", "blocks", "outer")
 
     def __init__(self, tag, attrs, start):
         self.tag, self.attrs, self.start = tag, attrs, start
         self.classes = frozenset((attrs.get("class") or "").split())
         self.slot = None
         self.blocks = None
+        self.outer = (0, 0)
 
     def matches(self, step) -> bool:
         return (not step[0] or self.tag == step[0]) and step[1] <= self.classes
 
 
 class Page(HTMLParser):
-    """Visible text of a page and the elements a selector picks, in document order."""
+    """Visible text of a page and the elements a selector picks, in document order.
+
+    Pages may never close their tags, so nothing looks through the open elements: open tags
+    are counted, and an element carries how many leading steps of a selector the elements
+    around it fulfil.
+    """
 
     def __init__(self, selector: str | None = None, block: str | None = None):
         super().__init__(convert_charrefs=True)
-        self.steps = parse_selector(selector) if selector else None
-        self.block = parse_selector(block) if block else None
+        self.selectors = tuple(parse_selector(s) if s else None for s in (selector, block))
         self.parts: list[str] = []
         self.open: list[_Element] = []
+        self.counts: Counter = Counter()
+        self.hidden = 0
+        self.open_blocks: list[dict] = []
         self.picked: list[dict] = []
         self.found_blocks: list[dict] = []
 
-    def _selected(self, element: _Element, steps) -> bool:
-        if not element.matches(steps[-1]):
-            return False
-        wanted = len(steps) - 2
-        for outer in reversed(self.open):
-            if wanted < 0:
-                break
-            if outer.matches(steps[wanted]):
-                wanted -= 1
-        return wanted < 0
+    def _selected(self, element: _Element, which: int) -> bool:
+        steps = self.selectors[which]
+        around = self.open[-1].outer[which] if self.open else 0
+        return bool(steps) and around == len(steps) - 1 and element.matches(steps[-1])
+
+    def _push(self, element: _Element):
+        around = self.open[-1].outer if self.open else (0, 0)
+        element.outer = tuple(
+            n + 1 if steps and n < len(steps) - 1 and element.matches(steps[n]) else n
+            for n, steps in zip(around, self.selectors, strict=True)
+        )
+        self.open.append(element)
+        self.counts[element.tag] += 1
+        self.hidden += element.tag in HIDDEN
+        if element.blocks is not None:
+            self.open_blocks.append(element.blocks)
+
+    def _pop(self) -> _Element:
+        element = self.open.pop()
+        self.counts[element.tag] -= 1
+        self.hidden -= element.tag in HIDDEN
+        if element.slot is not None:
+            element.slot["text"] = "".join(self.parts[element.start:])
+        if element.blocks is not None:
+            self.open_blocks.pop()
+            element.blocks["text"] = "".join(self.parts[element.start:])
+        return element
 
     def handle_starttag(self, tag, attrs):
         element = _Element(tag, dict(attrs), len(self.parts))
-        if self.steps and self._selected(element, self.steps):
+        if self._selected(element, 0):
             element.slot = {"attrs": {k: v or "" for k, v in attrs}, "text": ""}
             self.picked.append(element.slot)
-        if self.block:
+        if self.selectors[1]:
             self._note_block(element)
         if tag not in VOID:
-            self.open.append(element)
+            self._push(element)
 
     def _note_block(self, element: _Element):
-        inside = [e.blocks for e in self.open if e.blocks is not None]
-        if element.tag == "ul" and inside:
+        if element.tag == "ul" and self.open_blocks:
             slot = {"attrs": {}, "text": ""}
-            for found in inside:
+            for found in self.open_blocks:
                 found["has_list"] = True
                 if not element.attrs:
                     found["lists"].append(slot)
             element.slot = slot
-        if self._selected(element, self.block):
+        if self._selected(element, 1):
             element.blocks = {"has_list": False, "lists": [], "text": ""}
             self.found_blocks.append(element.blocks)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self._close(self.open.pop())
+            self._pop()
 
     def handle_endtag(self, tag):
-        if not any(e.tag == tag for e in self.open):
+        if not self.counts[tag]:
             return
-        while True:
-            element = self.open.pop()
-            self._close(element)
-            if element.tag == tag:
-                return
-
-    def _close(self, element: _Element):
-        if element.slot is not None:
-            element.slot["text"] = "".join(self.parts[element.start:])
-        if element.blocks is not None:
-            element.blocks["text"] = "".join(self.parts[element.start:])
+        while self._pop().tag != tag:
+            pass
 
     def handle_data(self, data):
-        if not any(e.tag in HIDDEN for e in self.open):
+        if not self.hidden:
             self.parts.append(data)
 
     def read(self, html: str) -> "Page":
         self.feed(html)
         self.close()
         while self.open:
-            self._close(self.open.pop())
+            self._pop()
         return self
 
 

@@ -181,3 +181,16 @@ def test_windows_line_ends_are_split_too(spark, tmp_path):
     rows = snapshots.read_snapshots(spark, path, newline="\r\n")
     assert chunks == 30 and {r["posting_id"] for r in rows.collect()} == set(postings)
     assert snapshots.read_snapshots(spark, path).count() == 30
+
+
+def test_html_of_unclosed_tags_takes_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<nav><ul><li>" + "<p>text <b>x" * n + "<a href='u'>link</a>" * n
+        start = time.process_time()
+        assert len(html.selected_elements(page, "nav li a")) == n and len(html.visible_text(page)) == 10 * n
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16000) < 16 * max(seconds(2000), 0.02)
