@@ -17,6 +17,12 @@ from postingflow.schema import KEY
 RARE_LIMIT = 3
 
 
+def project(df: DataFrame, columns, order=config.COLUMN_ORDER) -> DataFrame:
+    """Only the wanted columns that exist, in the stated order; others of them at the end."""
+    wanted = [c for c in columns if c in df.columns]
+    return df.select(*[c for c in order if c in wanted], *[c for c in wanted if c not in order])
+
+
 def companies_in_city(df: DataFrame, order: str, terms=config.COMPANY_CITY_TERMS) -> DataFrame:
     """Companies with a location in the city; ``first_seen`` gives their report order."""
     return (

@@ -87,7 +87,11 @@ def report_table(
     df: DataFrame, as_of: dt.date, highlight_days: int | None = None,
     new_rows: DataFrame | None = None, columns: dict = config.REPORT_COLUMNS, key: str = KEY,
 ) -> DataFrame:
-    """The report: chosen columns in sheet order, headings, buckets, flags, clean text."""
+    """The report: chosen columns in sheet order, headings, buckets, flags, clean text.
+
+    Rows come by bucket, points and key, so a separator stands on the first row of its
+    bucket. The sort reads ``df`` once more, so it should be a stored table.
+    """
     missing = {c: F.lit("") for c in columns if c not in df.columns and c != "first_collected_on"}
     if "first_collected_on" not in df.columns:
         missing["first_collected_on"] = F.lit(None).cast("date")
@@ -98,7 +102,7 @@ def report_table(
         rows = highlight_added(rows, new_rows, key)
     else:
         rows = rows.withColumn("is_new", F.lit(False))
-    rows = highlight_company(rows)
+    rows = in_report_order(highlight_company(rows), key)
     types = dict(rows.dtypes)
     ordered = sorted(columns, key=lambda c: (len(columns[c][1]), columns[c][1]))
 
@@ -134,13 +138,16 @@ def log_lines(new_rows: DataFrame, run_ts: dt.datetime) -> DataFrame:
 
 
 def digest(new_rows: DataFrame, companies: DataFrame) -> DataFrame:
-    """Lines of the daily message: new postings, then companies, in order."""
+    """Lines of the daily message: new postings by points, then companies as first seen."""
     postings = new_rows.select(
         F.lit(1).alias("section"), F.lit("New posting not seen before:").alias("heading"),
         posting_line("\n\t at ").alias("line"),
+        (-F.coalesce("points", F.lit(0))).cast("double").alias("_by"), F.col(KEY).alias("_tie"),
     )
     firms = companies.select(
         F.lit(2).alias("section"), F.lit("Currently relevant companies:").alias("heading"),
         F.col("company").alias("line"),
+        F.expr("try_cast(first_seen AS double)").alias("_by"), F.col("first_seen").cast("string").alias("_tie"),
     )
-    return postings.unionByName(firms).where(F.col("line").isNotNull())
+    both = postings.unionByName(firms).where(F.col("line").isNotNull())
+    return both.orderBy("section", "_by", "_tie").select("section", "heading", "line")

@@ -27,9 +27,7 @@ SEARCH_BASE = "https://jobs.rbinternational.com/search/?q="
 
 @query("p1_project_columns", over_postings("SELECT title, company, points, url, source FROM postings"))
 def p1(spark, sf):
-    df = postings(spark, sf)
-    wanted = [c for c in config.COLUMN_ORDER if c in ("title", "company", "points", "url", "source")]
-    return df.select(*wanted)
+    return coverage.project(postings(spark, sf), ("source", "url", "title", "points", "company", "nowhere"))
 
 
 @query("p2_column_union_keys", over_postings(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -72,11 +73,25 @@ def _as_files(spark, sf):
     })
 
 
-@query("s3_scan_many", over_postings(
-    "SELECT CASE WHEN company <> '' THEN 'postings_' || CAST(collected_on AS VARCHAR) || '-08-00-00.json' ELSE 'postings.json' END AS file, count(*) AS postings FROM postings GROUP BY 1"))
+def _snapshot_file(spark, sf, root: str, i: int) -> str:
+    """Snapshot ``i`` written as snapshot files in a folder of its own."""
+    path = f"{root}/snapshot_{i}"
+    rows = snapshot_rows(spark, sf).where(f"ord = {i}")
+    rows.select(_chunks().alias("value")).write.option("lineSep", store.record_end(4)).text(path)
+    return path
+
+
+def _folder():
+    return F.regexp_extract("snapshot_file", "(snapshot_[0-9])/", 1).alias("file")
+
+
+@query("s3_scan_many", over_snapshots(
+    "SELECT 'snapshot_' || CAST(ord AS VARCHAR) AS file, count(*) AS postings, CAST(sum(length(description)) AS BIGINT) AS chars FROM snapshots WHERE ord <> 2 GROUP BY ord"))
 def s3(spark, sf):
-    name = F.substring_index("snapshot_file", "/", -1).alias("file")
-    return _as_files(spark, sf).groupBy(name).agg(F.count("*").alias("postings"))
+    """Two of three snapshots read in one scan; each row knows its file."""
+    root = scratch_dir(spark, "snapshots")
+    rows = store.read_snapshots(spark, [_snapshot_file(spark, sf, root, i) for i in (1, 3)], glob="*.txt")
+    return rows.groupBy(_folder()).agg(F.count("*").alias("postings"), F.sum(F.length("description")).alias("chars"))
 
 
 @query("s6_collection_date", over_postings(
@@ -85,16 +100,18 @@ def s6(spark, sf):
     return as_text(store.dated(_as_files(spark, sf)).select("posting_id", "collected_on"))
 
 
-@query("s4_file_date_filter",
-       "SELECT 'documents.parquet' AS file, count(*) AS n FROM documents UNION ALL SELECT 'pages.parquet', count(*) FROM pages")
+@query("s4_file_date_filter", over_snapshots(
+    "SELECT 'snapshot_' || CAST(ord AS VARCHAR) AS file, count(*) AS postings FROM snapshots WHERE ord > 1 GROUP BY ord"))
 def s4(spark, sf):
-    """Files modified after a date; every given file is newer than the year 2000."""
-    def counted(name):
-        rows = spark.read.option("modifiedAfter", "2000-01-01T00:00:00").parquet(f"{sf}/{name}")
-        named = rows.select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"))
-        return named.groupBy("file").agg(F.count("*").alias("n"))
-
-    return counted("documents.parquet").unionByName(counted("pages.parquet"))
+    """Only files changed after a time: those of the first snapshot are older than it."""
+    root = scratch_dir(spark, "snapshots")
+    old = _snapshot_file(spark, sf, root, 1)
+    newest = store.read_snapshots(spark, old, glob="*.txt").agg(F.max("snapshot_time")).first()[0]
+    time.sleep(2.1)  # the cut-off is in whole seconds
+    paths = [old, *(_snapshot_file(spark, sf, root, i) for i in (2, 3))]
+    after = (newest + dt.timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S")
+    rows = store.read_snapshots(spark, paths, modified_after=after, glob="*.txt")
+    return rows.groupBy(_folder()).agg(F.count("*").alias("postings"))
 
 
 @query("s5_pick_snapshot", over_postings(
@@ -365,11 +382,15 @@ def u4(spark, sf):
 
 
 @query("u5_snapshot_union", over_snapshots(
-    "SELECT 'snapshot_' || CAST(ord AS VARCHAR) AS file, count(*) AS postings FROM snapshots GROUP BY ord"))
+    "SELECT posting_id, count(*) AS versions, string_agg('snapshot_' || CAST(ord AS VARCHAR), '|' ORDER BY ord) AS files FROM snapshots GROUP BY posting_id"))
 def u5(spark, sf):
-    rows = snapshot_rows(spark, sf)
-    files = [rows.where(f"ord = {i}").withColumn("file", F.lit(f"snapshot_{i}")) for i in (1, 2, 3)]
-    return snapshots.union_columns(*files).groupBy("file").agg(F.count("*").alias("postings"))
+    """All versions of all postings over several files, each with the file it came from."""
+    root = scratch_dir(spark, "snapshots")
+    paths = [_snapshot_file(spark, sf, root, i) for i in (1, 2, 3)]
+    rows = store.read_snapshots(spark, paths, glob="*.txt").withColumn("file", _folder())
+    return rows.groupBy("posting_id").agg(
+        F.count("*").alias("versions"), F.array_join(F.array_sort(F.collect_set("file")), "|").alias("files")
+    )
 
 
 # --- sorts -------------------------------------------------------------------------------

@@ -283,6 +283,18 @@ def t17(spark, sf):
     )
 
 
+@query("t17_enrich", over_postings(
+    f"SELECT posting_id, monthly AS salary_monthly_guessed, {Q.language('description')} AS language, score AS points, "
+    "CAST(CASE WHEN length(title) % 2 = 0 THEN collected_on ELSE DATE '2024-03-01' END AS VARCHAR) AS collected_on "
+    f"FROM ranked WHERE NOT (contains(lower(title), 'manager') OR {Q.contains_any('title', config.BANNED_CAPITAL_WORDS)})", _RANK_CTES))
+def t17_enrich(spark, sf):
+    """Salary and scores derived again, missing dates filled."""
+    rows = postings(spark, sf).withColumn("collected_on", F.expr("CASE WHEN length(title) % 2 = 0 THEN collected_on END"))
+    rows = rows.drop("points")
+    done = enrich.enrich(rows, Profile(banned_words=("manager",)), fallback_date=F.lit("2024-03-01").cast("date"))
+    return done.select("posting_id", "salary_monthly_guessed", "language", "points", F.col("collected_on").cast("string").alias("collected_on"))
+
+
 @query("t18_process", over_postings(
     f"SELECT posting_id, {Q.language('description')} AS language, score AS points, "
     f"{joined(Q.keywords('description', config.STARTER_KEYWORDS))} AS keywords FROM ranked "
