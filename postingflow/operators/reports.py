@@ -40,19 +40,18 @@ def recency_bucket(date: Column, as_of: dt.date) -> Column:
 def recency_report(df: DataFrame, as_of: dt.date, date: str = "first_collected_on", key: str = KEY) -> DataFrame:
     """Bucket rows by age and put the bucket's label on its first row.
 
-    The first row of each bucket comes from an aggregate of at most four rows, which is
+    The first row of each bucket comes from aggregates of at most four rows, which are
     joined back by broadcast; call ``in_report_order`` for the sorted report. ``df`` is read
-    twice, so it should be a stored table rather than unfinished text work.
+    three times, so it should be a stored table rather than unfinished text work.
     """
     points = F.coalesce(F.col("points").try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
     rows = df.withColumns({"_bucket": recency_bucket(F.col(date), as_of), "_points": points})
-    heads = rows.groupBy("_bucket").agg(
-        F.min(F.struct((-F.col("_points")).alias("p"), F.col(key).alias("k"))).alias("head")
-    )
+    # Numbers first: the aggregate hashes them, and only rows with the best points go on.
+    best = rows.groupBy("_bucket").agg(F.max("_points").alias("_points"))
+    heads = rows.select("_bucket", "_points", key).join(F.broadcast(best), ["_bucket", "_points"], "left_semi")
+    heads = heads.groupBy("_bucket").agg(F.min(key).alias(key))
     labels = F.array(*[F.lit(label) for label in config.BUCKET_LABELS])
-    heads = heads.select(
-        "_bucket", F.col("head.k").alias(key), F.get(labels, F.col("_bucket")).alias("separator")
-    )
+    heads = heads.select("_bucket", key, F.get(labels, F.col("_bucket")).alias("separator"))
     return (
         rows.join(F.broadcast(heads), ["_bucket", key], "left")
         .withColumn("separator", F.coalesce("separator", F.lit("")))
