@@ -70,7 +70,7 @@ def natural_weights(df: DataFrame, source: str, power: float = 0.7) -> dict:
 
 def mix(
     df: DataFrame, weights: dict | None = None, source: str = "source", id_column: str = "doc_id", block_rows: int = 16,
-    seed: int = 5, per_bucket: int = 50_000,
+    seed: int = 5, per_bucket: int = 10_000,
 ) -> DataFrame:
     """Order rows so that, block by block, sources come in proportion to their weights.
 
