@@ -13,6 +13,7 @@ from postingflow.llm.tokens import WordEncoder, slices
 
 SEQUENCE, SEGMENTS, END = 4096, 256, 2
 GROUP_ROWS = 4096
+BATCH_ROWS = 2000  # texts that a task tokenizes at once
 PIECE = "start bigint, length bigint, loss_tokens bigint, doc_tokens bigint, ids binary"
 
 
@@ -44,7 +45,7 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", most: int = SEQ
                 whole = pa.py_buffer(with_end)
                 bounds = np.concatenate(([0], np.cumsum(length) * 4)).astype(np.int32)
                 blobs = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), whole])
-                taken = part.take(pa.array(doc))
+                taken = part.select(rest).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
                     [taken.column(c) for c in rest]
                     + [pa.array(start), pa.array(length), pa.array(length - (start == 0)), pa.array(totals[doc]), blobs],

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingflow.llm import ann, exact_dedup, language_id, mixing, packing, secret_scan, sharding, simhash, sql, toxicity, url_filter
-from postingflow.llm.common import crc
+from postingflow.llm.common import arrow_rows, crc
 from postingflow.session import settle
 
 QUERIES, ORACLES = {}, {}
@@ -112,7 +112,8 @@ def exact(spark, sf_dir):
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces with the checksum of their ids; tokenized once, then packed by their lengths."""
     made = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
-    made = settle(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    with arrow_rows(docs.sparkSession, packing.BATCH_ROWS):
+        made = settle(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packing.pack_texts(made).drop("loss_tokens")
 
 

@@ -10,14 +10,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
-CACHED_WORDS = 400_000
-SLICE_BYTES = 16 << 20
+CACHED_WORDS = 250_000
+SLICE_BYTES = 8 << 20
 
 
 class WordEncoder:
@@ -58,19 +59,19 @@ class WordEncoder:
         if len(self.known) + len(new) > CACHED_WORDS:
             self.forget()
             new = list(dict.fromkeys(words))
-        low = [w.lower() for w in new]
-        plain = [w for w, x in zip(new, low, strict=True) if PLAIN.fullmatch(x)]
-        other = [w for w, x in zip(new, low, strict=True) if not PLAIN.fullmatch(x)]
-        joined = [
-            " ".join(plain[i : i + 500]).lower().encode().decode("latin-1").translate(self.visible)
-            for i in range(0, len(plain), 500)
-        ]
+        plain, accented, other = [], [], []
+        for w in new:
+            (other if not PLAIN.fullmatch(w.lower()) else plain if w.isascii() else accented).append(w)
+        plain += accented
+        joined = [" ".join(plain[i : i + 500]).lower() for i in range(0, len(plain), 500)]
+        # ASCII letters stand for their bytes already.
+        joined = [j if j.isascii() else j.encode().decode("latin-1").translate(self.visible) for j in joined]
         runs = [e.ids for e in self.words.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.fromiter((i for run in runs for i in run), np.uint32)
+        ids = np.fromiter(chain.from_iterable(runs), np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
         self._add(plain, ids, np.diff(last, prepend=0))
         lists = [e.ids for e in self.full.encode_batch_fast(other, add_special_tokens=False)]
-        self._add(other, np.fromiter((i for run in lists for i in run), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+        self._add(other, np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
 
     def _add(self, words, ids, lengths) -> None:
         if len(words) != len(lengths):
