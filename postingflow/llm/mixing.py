@@ -3,60 +3,70 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingflow.llm.common import fresh, ranked
 from postingflow.session import settle
 
-PERIOD = 10_000  # slots after which the schedule repeats: weights are whole multiples of 1 / PERIOD
 
+def whole_weights(weights: dict, period: int | None = None) -> dict:
+    """Weights as whole numbers in exactly the same proportions.
 
-def whole_weights(weights: dict, period: int = PERIOD) -> dict:
-    """Weights as whole numbers of slots per period, by largest remainders; at least one each."""
-    if not weights:
-        return {}
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources need a longer period than {period}")
-    total = sum(map(Fraction, weights.values()))
-    shares = {s: Fraction(w) / total * (period - len(weights)) for s, w in weights.items()}
-    slots = {s: 1 + int(x) for s, x in shares.items()}
+    With a period they are whole numbers of its slots, by largest remainders.
+    """
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("weights must not be negative")
+    if period is None:
+        unit = lcm(*(w.denominator for w in exact.values()))
+        return {s: int(w * unit) for s, w in exact.items()}
+    total = sum(exact.values())
+    shares = {s: w / total * period for s, w in exact.items()}
+    slots = {s: int(x) for s, x in shares.items()}
     rest = sorted(shares, key=lambda s: (int(shares[s]) - shares[s], str(s)))
     for s in rest[: period - sum(slots.values())]:
         slots[s] += 1
     return slots
 
 
-def schedule(slots: dict) -> list[tuple]:
-    """One period as (source, block, slot): earliest deadline first among released blocks.
+def turns(widths: list[int], total: int, blocks: list[int]) -> Iterator[tuple]:
+    """(source, block, release, deadline, slot): earliest deadline first among released blocks.
 
-    Block j of a source with w of P slots is released at floor(j P / w) and due by
-    ceil((j + 1) P / w). All P slots are taken, so every block is in its window and at any
-    time a source is less than one block from its share.
+    Block j of a source with w of ``total`` is released at floor(j total / w) and due by
+    ceil((j + 1) total / w). The widths sum to at most the total, so every block is in its
+    window and at any time a source is less than one block from its share. Slots of sources
+    that have run out are skipped, not walked: the work grows with the blocks alone.
     """
-    period = sum(slots.values())
-    names = sorted(slots, key=str)
-    coming = [(0, i, 0) for i in range(len(names))]  # release, source, block
+    coming = [(0, i, 0) for i in range(len(widths)) if blocks[i]]  # release, source, block
     heapq.heapify(coming)
-    ready, plan = [], []
-    for now in range(period):
+    ready, now = [], 0
+    while coming or ready:
+        if not ready:
+            now = max(now, coming[0][0])
         while coming and coming[0][0] <= now:
-            _, i, j = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[names[i]]), i, j))
-        due, i, j = heapq.heappop(ready)
+            release, i, j = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(j + 1) * total // widths[i]), i, j, release))
+        due, i, j, release = heapq.heappop(ready)
         if due <= now:
             raise AssertionError("a block missed its deadline")
-        plan.append((names[i], j, now))
-        if j + 1 < slots[names[i]]:
-            heapq.heappush(coming, ((j + 1) * period // slots[names[i]], i, j + 1))
-    return plan
+        yield i, j, release, due, now
+        now += 1
+        if j + 1 < blocks[i]:
+            heapq.heappush(coming, ((j + 1) * total // widths[i], i, j + 1))
 
 
-def _table(spark: SparkSession, plan: list[tuple], slots: dict) -> DataFrame:
-    rows = [(s, j, slot, slots[s]) for s, j, slot in plan]
-    return spark.createDataFrame(rows, "source string, block int, slot int, width int")
+def schedule(slots: dict) -> list[tuple]:
+    """One period as (source, block, slot), for weights in whole slots."""
+    names = sorted(slots, key=str)
+    widths = [slots[s] for s in names]
+    return [(names[i], j, now) for i, j, _, _, now in turns(widths, sum(widths), widths)]
 
 
 def natural_weights(df: DataFrame, source: str, power: float = 0.7) -> dict:
@@ -77,14 +87,14 @@ def mix(
     Adds ``block`` (of the source, from 0), ``release`` and ``deadline`` (its window),
     ``turn`` (its slot in the schedule of all sources) and ``position`` (gapless from 0).
     Rows of a source come in a random order fixed by the seed, in blocks of ``block_rows``.
-    Before every slot each source has had less than one block more or less than its weight's
-    share of the slots. No row is dropped or repeated: when a source runs out its slots stay
+    Before every slot each source that has not run out has had less than one block more or
+    less than its exact weight's share of the slots, however many slots there are. No row is dropped or repeated: when a source runs out its slots stay
     empty and the others go on in the same proportions. Weights default to
-    ``natural_weights``; a null source is a source; every source of the table needs a weight.
+    ``natural_weights``; a null source is a source; every source of the table needs a weight above 0.
 
-    Slots come from a table of one period, so the slot of a block is arithmetic. A source's
-    rows are ranked in buckets, and positions by ranges of slots: no source, however large,
-    is in one task. Repeated rows and ids are rows of their own, null ids sort as one value;
+    The slots are walked by one task, which holds one entry for each source and hands on a
+    row for each block; all else is spread. A source's rows are ranked in buckets, and
+    positions by ranges of slots: no source's rows, however many, are in one task. Repeated rows and ids are rows of their own, null ids sort as one value;
     input columns of the added names are replaced; an empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -97,31 +107,36 @@ def mix(
     # Equal ids and sources of many rows must not fall into one bucket: the scan number spreads them.
     keyed = df.withColumn(row, F.monotonically_increasing_id()).withColumn(key, F.col(source).cast("string"))
     narrow = settle(keyed.select(row, key, F.xxhash64(F.lit(seed), id_column, row).alias(bits)), "rows")
-    missing = narrow.select(key).distinct().collect()
-    lost = [r[0] for r in missing if r[0] not in slots]
+    counts = {r[0]: r[1] for r in narrow.groupBy(key).count().collect()}
+    lost = [s for s in counts if not slots.get(s)]
     if lost:
         raise ValueError(f"sources without a weight: {lost[:5]}")
-    period = sum(slots.values())
-    table = _table(spark, schedule(slots), slots).withColumnsRenamed({"source": "s", "block": "j", "slot": "at"})
-    widths = spark.createDataFrame([(s, w) for s, w in slots.items()], "s string, width int")
+    names = sorted(counts, key=lambda s: (s is not None, s or ""))
+    numbers = spark.createDataFrame(list(zip(names, range(len(names)))), "s string, source_number bigint")
+    blocks = [-(-counts[s] // block_rows) for s in names]
+    plan = settle(_plan(spark, [slots[s] for s in names], sum(slots.values()), blocks), "schedule")
     ranks = ranked(narrow, [key], bits, [row], rank, per_bucket)
-    blocks = ranks.withColumn("block", F.floor(F.col(rank) / block_rows)).withColumn(offset, F.col(rank) % block_rows)
-    blocks = blocks.join(F.broadcast(widths), F.col(key).eqNullSafe(F.col("s"))).drop("s")
-    cycle, within = F.expr("block div width"), F.col("block") % F.col("width")
-    window = {
-        "release": cycle * period + F.expr(f"((block % width) * {period}) div width"),
-        "deadline": cycle * period + F.ceil((within + 1) * period / F.col("width")),
-    }
-    # The schedule has one row per slot of a period, at most PERIOD rows.
-    timed = blocks.withColumns(window).withColumn("_cycle", cycle).join(
-        F.broadcast(table.drop("width")), F.col(key).eqNullSafe(F.col("s")) & (F.col("block") % F.col("width") == F.col("j"))
-    )
-    timed = timed.withColumn("turn", F.col("_cycle") * period + F.col("at")).select(row, "block", "release", "deadline", "turn", offset)
+    placed = ranks.withColumn("block", F.floor(F.col(rank) / block_rows)).withColumn(offset, F.col(rank) % block_rows)
+    placed = placed.join(F.broadcast(numbers), F.col(key).eqNullSafe(F.col("s")))
+    timed = placed.join(plan, ["source_number", "block"]).select(row, "block", "release", "deadline", "turn", offset)
     timed = settle(timed, "turns")
     placed = _positions(timed, ["turn", offset], "position", block_rows, per_bucket).drop(offset)
     return keyed.join(placed, row).select(*columns, *added)
 
 
+def _plan(spark: SparkSession, widths: list[int], total: int, blocks: list[int]) -> DataFrame:
+    """A row for each block, written by one task in batches as it walks the slots."""
+    names = ["source_number", "block", "release", "deadline", "turn"]
+
+    def run(batches):
+        for _ in batches:
+            walk = turns(widths, total, blocks)
+            while part := list(islice(walk, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=names)
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
 def _positions(df: DataFrame, order: list[str], name: str, block_rows: int, per_bucket: int) -> DataFrame:
     """Gapless positions by turn and place in the block, ranked in ranges of turns."""
     from pyspark.sql import Window
