@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postingflow.llm.common import with_row
 from postingflow.session import settle
 
 SAMPLE = 32_768  # vectors that centroids are fitted on
 LIST_ROWS = 128  # vectors of one list, as far as the sample's size lets it
-BLOCK_ROWS = 4096  # rows of a list that one task compares at once
+BLOCK_ROWS = 4096  # vectors of a list that one task compares at once
+QUERY_ROWS = 4096  # queries of a list that one task compares with them
 COPIES = 4  # lists that a vector may lie in
 CLOSURE = 1.05  # a vector lies in lists up to this ratio of its nearest distance
 RATIO = 1.25  # a query reads lists up to this ratio of its nearest distance
@@ -150,7 +152,7 @@ def build(vectors: DataFrame, sample: int = SAMPLE, list_rows: int = LIST_ROWS)
 
 
 def _routed(table: DataFrame, index: Index, ratio: float, lists: int, query: bool) -> DataFrame:
-    """(list, id, v): a row for each list within the ratio of the nearest centroid's distance."""
+    """(id, v, lists): the lists within the ratio of the nearest centroid's distance, in one row."""
 
     def run(batches):
         for batch in batches:
@@ -159,11 +161,34 @@ def _routed(table: DataFrame, index: Index, ratio: float, lists: int, query: boo
                 x = widened(np.array(part.column("v").to_pylist(), np.float64), index.longest, query)
                 ids, dist = search(index, x, lists)
                 near = np.sqrt(dist) <= ratio * np.sqrt(dist[:, :1]) + 1e-12
-                row, col = np.nonzero(near)
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col]), taken.column("id"), taken.column("v")], names=["list", "id", "v"])
+                ends = np.concatenate(([0], near.sum(axis=1).cumsum())).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[near]))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), found], names=["id", "v", "lists"])
 
-    return table.select("id", "v").mapInArrow(run, "list bigint, id bigint, v array<double>")
+    return table.select("id", "v").mapInArrow(run, "id bigint, v array<double>, lists array<bigint>")
+
+
+def _dealt(posted: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(list, block, query_block, id, v) of vectors and queries, both settled and routed.
+
+    Both sides of a list are cut, into as many blocks as their sizes ask for, and each block
+    of vectors meets each block of queries under a key of its own. Vectors are dealt by the
+    hash of the id, queries by that of their scan number, so repeated ids are spread.
+    """
+
+    def parts(table: DataFrame, rows: int, name: str) -> DataFrame:
+        return table.select(F.explode("lists").alias("list")).groupBy("list").agg((F.floor(F.count("*") / rows) + 1).alias(name))
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+
+    sizes = settle(parts(posted, BLOCK_ROWS, "blocks").join(parts(asked, QUERY_ROWS, "query_blocks"), "list"), "blocks")
+    vectors = posted.select("id", "v", F.explode("lists").alias("list")).join(sizes, "list")
+    vectors = vectors.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("query_block", every("query_blocks"))
+    queries = with_row(asked, "row").select("row", "id", "v", F.explode("lists").alias("list")).join(sizes, "list")
+    queries = queries.withColumn("query_block", F.pmod(F.xxhash64("row"), "query_blocks")).withColumn("block", every("blocks"))
+    columns = ["list", "block", "query_block", "id", "v"]
+    return vectors.select(columns), queries.select(columns)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -185,16 +210,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, index: Index, k: int = 20, r
     """(query_id, rank, vec_id, score): each query's k nearest found, by inner product.
 
     Both tables are (id, v). A vector is no answer to the query of its own id. Every vector
-    is in a list. A list is compared in blocks of ``BLOCK_ROWS`` dealt by the hash of the
-    id, as many as its size asks for, so that a list with very many vectors is spread over
-    tasks; each block hands on its k best for each query. Ties go to the smaller id.
+    is in a list. A list is compared in pairs of blocks of about ``BLOCK_ROWS`` vectors and
+    ``QUERY_ROWS`` queries, so that a list with very many of either is spread over tasks and
+    no task holds more than a pair; each pair hands on its k best for each query. Ties go to
+    the smaller id.
     """
     posted = settle(_routed(vectors, index, CLOSURE, COPIES, False), "lists")
-    blocks = posted.groupBy("list").agg((F.floor(F.count("*") / BLOCK_ROWS) + 1).alias("blocks"))
-    blocks = settle(blocks, "blocks")
-    asked = _routed(queries, index, ratio, lists, True).join(blocks, "list")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
-    dealt = posted.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks")
+    asked = settle(_routed(queries, index, ratio, lists, True), "queries")
+    dealt, asked = _dealt(posted, asked)
+    pair = ("list", "block", "query_block")
 
     def compare(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -216,7 +240,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, index: Index, k: int = 20, r
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         return pd.concat(out, ignore_index=True)
 
-    met = dealt.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(
+    met = dealt.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInPandas(
         compare, "query_id bigint, vec_id bigint, score double"
     )
     once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -42,6 +42,35 @@ def test_all_lists_give_the_exact_answer(spark):
     assert got == want
 
 
+def test_both_sides_of_a_list_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(A, "QUERY_ROWS", 25)
+    sides = []
+    dealt = A._dealt
+    monkeypatch.setattr(A, "_dealt", lambda *tables: sides.append(dealt(*tables)) or sides[-1])
+    rng = np.random.default_rng(7)
+    rows = [(i * 5, rng.normal(size=6).tolist(), 0) for i in range(600)]  # 150 queries, all in one list
+    vectors = A.prepared(stored(spark, rows, KIND), "vec_id", "embedding")
+    index = A.build(vectors, list_rows=1000)
+    got = {}
+    for r in A.nearest(vectors, vectors.where("id % 20 = 0"), index, k=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert len(index.centroids) == 1 and got == exact(rows, k=7)
+    for side, most in zip(sides[0], (40, 25)):
+        sizes = [r["count"] for r in side.groupBy("list", "block", "query_block").count().collect()]
+        assert len(sizes) == 16 * 7 and max(sizes) < 3 * most
+
+
+def test_repeated_query_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(A, "QUERY_ROWS", 25)
+    vectors = A.prepared(stored(spark, [(i, [1.0, float(i)], 0) for i in range(1, 50)], KIND), "vec_id", "embedding")
+    queries = A.prepared(stored(spark, [(20, [1.0, 20.0], 0)] * 300, KIND), "vec_id", "embedding")
+    index = A.build(vectors)
+    sides = A._dealt(*(A.settle(A._routed(t, index, 2.0, 5, q), "t") for t, q in ((vectors, False), (queries, True))))
+    assert max(r["count"] for r in sides[1].groupBy("list", "block", "query_block").count().collect()) < 3 * 25
+    assert [r["vec_id"] for r in A.nearest(vectors, queries, index, k=3).orderBy("rank").collect()] == [49, 48, 47]
+
+
 def test_recall(spark):
     sf = "/root/testdata/sf0.1"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
