@@ -26,6 +26,9 @@ from postingflow.session import settle
 SHINGLE, RADIUS, SEED = 4, 4, 42
 WIDTHS = (11, 11, 11, 11, 10, 10)
 SHARD_ROWS = 50_000
+HELPS = 0.9  # a cut of a shard must leave at most this share of the pairs to compare
+COLUMNS = 8192  # points of the other side that a block of 256 is compared with at once
+LINKS = 1 << 22  # links of a task that are held before they are contracted
 TASK_ROWS = 500_000
 
 
@@ -86,13 +89,29 @@ def _distance(a, b):
     return np.bitwise_count(a ^ b)
 
 
+class Links(list):
+    """Pairs of arrays of ends, contracted whenever many have come together."""
+
+    held, most = 0, LINKS
+
+    def append(self, pair):
+        super().append(pair)
+        self.held += len(pair[0])
+        if self.held > self.most:
+            self[:] = [contracted(*(np.concatenate([f[k] for f in self]) for k in (0, 1)))]
+            self.held = len(self[0][0])
+            self.most = max(LINKS, 2 * self.held)
+
+
 def _hits(x, left, right, radius, links):
-    """All links between two lists of positions, in blocks."""
+    """All links between two lists of positions, in blocks of both."""
     for i in range(0, len(left), 256):
         part = left[i : i + 256]
-        p, q = np.nonzero(_distance(x[part][:, None], x[right][None, :]) <= radius)
-        if len(p):
-            links.append((part[p], right[q]))
+        for j in range(0, len(right), COLUMNS):
+            some = right[j : j + COLUMNS]
+            p, q = np.nonzero(_distance(x[part][:, None], x[some][None, :]) <= radius)
+            if len(p):
+                links.append((part[p], some[q]))
 
 
 def _cross(x, left, right, radius, links):
@@ -125,7 +144,7 @@ def tree_links(x: np.ndarray, radius: int = RADIUS) -> list[tuple[np.ndarray, np
     the links from there to the rest one for each point. The rest is cut at the median
     distance; rows within the radius of the cut are compared across it.
     """
-    links: list[tuple[np.ndarray, np.ndarray]] = []
+    links = Links()
     stack = [np.arange(len(x))]
     while stack:
         a = stack.pop()
@@ -140,9 +159,12 @@ def tree_links(x: np.ndarray, radius: int = RADIUS) -> list[tuple[np.ndarray, np
         around = rest[d <= 2 * radius]
         for i in range(0, len(around), 256):
             part = around[i : i + 256]
-            close = _distance(x[part][:, None], x[ball][None, :]) <= radius
-            some = close.any(axis=1)
-            links.append((part[some], ball[close[some].argmax(axis=1)]))
+            for j in range(0, len(ball), COLUMNS):
+                near = ball[j : j + COLUMNS]
+                close = _distance(x[part][:, None], x[near][None, :]) <= radius
+                some = close.any(axis=1)
+                links.append((part[some], near[close[some].argmax(axis=1)]))
+                part = part[~some]
         if not len(rest):
             continue
         cut = int(np.median(d))
@@ -212,12 +234,13 @@ def split_large(shards: DataFrame, most: int, radius: int = RADIUS, levels: int
     """Cut shards (shard, mark) of over ``most`` rows by distance from a vantage point.
 
     Rows up to the median distance go inside, the others outside; those of the outside
-    within the radius of the cut go inside too. Only rows of large shards move. Cutting ends
-    when no shard is large, or when it no longer helps: points that are all within the
-    radius of the cut stay together and a task searches them in blocks.
+    within the radius of the cut go inside too. Only rows of large shards move. Whether a
+    cut helps is decided for each shard by the pairs that it leaves to compare; a shard that
+    it does not help, as all its points are within the radius of the cut, is compared in
+    pairs of blocks instead (see ``paired``).
     """
     done = None
-    for _ in range(levels):
+    for level in range(levels + 1):
         sizes = shards.groupBy("shard").agg(F.count("*").alias("n"), F.min("mark").alias("vp"))
         large = settle(sizes.where(F.col("n") > most), "large")
         if large.isEmpty():
@@ -229,30 +252,38 @@ def split_large(shards: DataFrame, most: int, radius: int = RADIUS, levels: int
         shells = rows.groupBy("shard", "away", "n").agg(F.count("*").alias("m"))
         below = F.expr("sum(m) OVER (PARTITION BY shard ORDER BY away)")
         cuts = shells.withColumn("below", below).where("2 * below >= n").groupBy("shard").agg(F.min("away").alias("cut"))
-        both = rows.join(cuts, "shard")
+        inside, outside = (F.sum(F.when(c, F.col("m")).otherwise(0)).cast("double") for c in (F.col("away") <= F.col("cut") + radius, F.col("away") > F.col("cut")))
+        left = shells.join(cuts, "shard").groupBy("shard", "n", "cut").agg((inside * inside + outside * outside).alias("pairs"))
+        helps = F.lit(level < levels) & (F.col("pairs") <= HELPS * F.col("n").cast("double") * F.col("n"))
+        cuts = settle(left.where(helps).select("shard", "cut"), "cuts")
+        done = done.unionByName(settle(paired(rows.join(cuts, "shard", "left_anti"), most), "pairs"))
         side = F.when(F.col("away") > F.col("cut") + radius, F.array(F.lit(1))).when(
             F.col("away") > F.col("cut"), F.array(F.lit(0), F.lit(1))
         ).otherwise(F.array(F.lit(0)))
-        parts = settle(
-            both.select("shard", "mark", F.explode(side).alias("side")).select(F.xxhash64("shard", "side").alias("shard"), "mark"),
-            "parts",
-        )
-        after = parts.groupBy("shard").count().agg(F.max("count")).first()[0]
-        before = large.agg(F.max("n")).first()[0]
-        if after >= before:
-            done = done.unionByName(rows.select("shard", "mark"))
-            return done
-        shards = parts
+        both = rows.join(cuts, "shard").select("shard", "mark", F.explode(side).alias("side"))
+        shards = settle(both.select(F.xxhash64("shard", "side").alias("shard"), "mark"), "parts")
     return shards if done is None else done.unionByName(shards)
 
 
+def paired(rows: DataFrame, most: int) -> DataFrame:
+    """Shards (shard, mark) of about ``most`` rows in which any two rows of a shard meet.
+
+    The rows (shard, mark, n) of a shard of n rows are dealt into blocks of half that size,
+    and any two blocks make a shard.
+    """
+    blocks = F.ceil(2 * F.col("n") / most)
+    dealt = rows.select("shard", "mark", blocks.alias("blocks"), F.pmod(F.xxhash64("mark"), blocks).alias("i"))
+    pairs = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).where("i != j")
+    return pairs.select(F.xxhash64(F.lit("pair"), "shard", F.least("i", "j"), F.greatest("i", "j")).alias("shard"), "mark")
+
+
 def links(marks: DataFrame, radius: int = RADIUS, most: int = SHARD_ROWS) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints in ``marks`` (mark)."""
     if radius > len(WIDTHS) - 2:
         raise ValueError(f"six blocks find links of up to {len(WIDTHS) - 2} bits")
-    tasks = max(1, marks.count() * len(list(combinations(WIDTHS, 2))) // TASK_ROWS + 1)
     shards = marks.select(F.explode(block_keys("mark")).alias("shard"), "mark")
     shards = split_large(shards, most, radius)
+    tasks = shards.count() // TASK_ROWS + 1
 
     def run(batches):
         got = [(b.column("shard").to_numpy(), b.column("mark").to_numpy()) for b in batches]

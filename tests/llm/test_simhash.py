@@ -85,6 +85,39 @@ def test_links_in_spark_with_cut_shards(spark):
         same_parts(marks, got)
 
 
+def test_tight_shards_are_spread_and_others_cut(spark):
+    rnd = random.Random(5)
+    middle = rnd.getrandbits(62)
+    tight = sorted({middle ^ (1 << a) ^ (1 << b) for a in range(60) for b in range(a)})  # all within 4 bits
+    loose = sorted(set(clusters(rnd, 6, 150)))
+    signed = lambda m: m - 2**64 if m >> 63 else m
+    rows = [(1, signed(m)) for m in tight] + [(2, signed(m)) for m in loose]
+    got = H.split_large(stored(spark, rows, "shard bigint, mark bigint"), 300).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r["shard"], []).append(r["mark"] & (2**64 - 1))
+    assert max(map(len, parts.values())) < 450
+    for marks in (tight, loose):
+        u, met = np.array(marks, np.uint64), np.zeros((len(marks), len(marks)), bool)
+        for part in parts.values():
+            at = np.flatnonzero(np.isin(u, np.array(part, np.uint64)))
+            met[np.ix_(at, at)] = True
+        assert met[np.bitwise_count(u[:, None] ^ u[None, :]) <= 4].all()
+    links = [(r["a"], r["b"]) for r in H.links(stored(spark, [(signed(m),) for m in tight + loose], "mark bigint").distinct(), most=300).collect()]
+    same_parts(sorted({*tight, *loose}), links)
+
+
+def test_links_of_tight_families_are_contracted(monkeypatch):
+    monkeypatch.setattr(H, "LINKS", 1000)
+    monkeypatch.setattr(H.Links, "most", 1000)
+    monkeypatch.setattr(H, "COLUMNS", 50)
+    rnd = random.Random(6)
+    marks = sorted({*clusters(rnd, 3, 300), *(sum(1 << b for b in rnd.sample(range(64), 4)) for _ in range(900))})
+    links = H.tree_links(np.array(marks, np.uint64))
+    assert sum(len(p) for p, _ in links) < 1000 + 256 * 50 + 2 * len(marks)
+    same_parts(marks, [(marks[i], marks[j]) for p, q in links for i, j in zip(p.tolist(), q.tolist())])
+
+
 def test_near_groups_odd_rows(spark):
     rows = odd_documents()
     docs = stored(spark, with_clashes(rows), SCHEMA + CLASH)
