@@ -193,13 +193,14 @@ def lexicon(sample: DataFrame) -> list[str]:
     words of a family of copies do not. It needs ``LEAST_TEXTS`` toxic texts and a share of
     ``LEAST_SHARE`` in each half and a log-likelihood ratio of ``LEAST_GAIN`` (a stem, which
     has more words to fit by chance, ``STEM_GAIN``) in all, and it
-    must stand in different contexts (see ``varied``). A stem must bring in more texts than
+    must stand in different contexts (see ``varied``). Whole words of any length compete; the
+    lengths limit stems alone. A stem must bring in more texts than
     any word of it, and takes the place of its words.
     """
     sentences = F.filter(F.split("text", r"[.\n]"), lambda x: F.length(x) >= 20)
     family = F.coalesce(F.array_min(F.transform(sentences, lambda x: F.xxhash64(x))), F.xxhash64("text"))
     once = settle(sample.groupBy(family.alias("family")).agg(F.max(F.struct("toxic", "text")).alias("row")).select("family", "row.*"), "once")
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= min(STEMS)))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
 
     def stems(n):
         longer = F.filter(F.col("w"), lambda w: F.length(w) > n)

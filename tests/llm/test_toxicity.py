@@ -84,6 +84,21 @@ def test_learns_terms_and_not_families(spark):
     assert got == {1: 1, 2: 0, 3: 0}
 
 
+def test_learns_short_terms(spark):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(400):
+        words = prose(rnd, 40).split()
+        if i % 5 == 0:
+            words[rnd.randrange(40)] = rnd.choice(["zub", "qx", "傻逼"])
+        rows.append((i, " ".join(words) + ".", int(i % 5 == 0)))
+    m = T.train(stored(spark, rows, "doc_id bigint, text string, toxic int"))
+    assert set(m.terms) == {"zub", "qx", "傻逼"}
+    docs = stored(spark, [(1, "you zub"), (2, "you zubs and qy"), (3, "a qx"), (4, "傻逼")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["predicted"] for r in T.score(docs, m).collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 1}
+
+
 def test_nothing_to_learn_from(spark):
     m = T.train(stored(spark, [], "text string, toxic int"))
     assert m.terms == [] and np.array_equal(m.weights, T.PRIOR)
