@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postingflow.llm import ann, exact_dedup, language_id, mixing, packing, secret_scan, sharding, simhash, sql, toxicity, url_filter
+from postingflow.llm import ann, exact_dedup, language_id, mixing, packing, secret_scan, sharding, simhash, sql, toxicity, url_filter, whitening
 from postingflow.llm.common import arrow_rows, crc
 from postingflow.session import settle
 
@@ -130,3 +130,13 @@ def urls(spark, sf_dir):
     labelled = pages.withColumn("hit", url_filter.fitting_rule(host, path, RULES)).where("hit IS NOT NULL")
     model = url_filter.train(labelled.withColumn("blocked", (F.col("hit")["verdict"] == "block").cast("int")), "url", "blocked")
     return url_filter.judge(pages, "url", model, RULES)
+
+
+@query("op11_whitening")
+def whitened(spark, sf_dir):
+    made = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "value")
+    return made.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", F.col("value.whitened").alias("whitened"),
+        F.col("value.explained").alias("explained"), "identity_error",
+    )
