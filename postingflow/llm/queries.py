@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postingflow.llm import ann, exact_dedup, language_id, mixing, packing, secret_scan, sharding, simhash, sql, toxicity, url_filter, whitening
+from postingflow.llm import ann, embedding_dedup, exact_dedup, language_id, mixing, packing, secret_scan, sharding, simhash, sql, toxicity, url_filter, whitening
 from postingflow.llm.common import arrow_rows, crc
 from postingflow.session import settle
 
@@ -140,3 +140,8 @@ def whitened(spark, sf_dir):
         "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", F.col("value.whitened").alias("whitened"),
         F.col("value.explained").alias("explained"), "identity_error",
     )
+
+
+@query("op12_embedding_near_dedup")
+def near_vectors(spark, sf_dir):
+    return embedding_dedup.near_copies(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), "vec_id", "embedding", "label").drop("label")
