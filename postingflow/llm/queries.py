@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postingflow.llm import ann, embedding_dedup, exact_dedup, language_id, mixing, packing, secret_scan, sharding, simhash, sql, toxicity, url_filter, whitening
+from postingflow.llm import alignment, ann, embedding_dedup, exact_dedup, language_id, mixing, packing, secret_scan, sharding, simhash, sql, toxicity, url_filter, whitening
 from postingflow.llm.common import arrow_rows, crc
 from postingflow.session import settle
 
 QUERIES, ORACLES = {}, {}
 VOCABULARY = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")
 
 RULES = (
     url_filter.Rule("com", "/", "allow"),
@@ -145,3 +146,9 @@ def whitened(spark, sf_dir):
 @query("op12_embedding_near_dedup")
 def near_vectors(spark, sf_dir):
     return embedding_dedup.near_copies(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), "vec_id", "embedding", "label").drop("label")
+
+
+@query("op13_tokenizer_alignment")
+def aligned(spark, sf_dir):
+    paths = (*map(public_tokenizers.path, ALIGNED), public_tokenizers.PATTERN)
+    return alignment.align(read(spark, sf_dir, "documents").select("doc_id", "text"), paths)
