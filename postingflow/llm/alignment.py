@@ -12,8 +12,7 @@ import hashlib
 import json
 import os
 import re
-from functools import lru_cache
-from itertools import chain
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from postingflow.session import settle
 
 WORK = 1 << 16  # ends of both lists that one piece merges
 BLOCK_TOKENS = 1 << 22  # tokens whose links are counted and looked up together
-SLICE_BYTES = 4 << 20  # texts tokenized at once
-BATCH_ROWS = 1000
+SLICE_BYTES = 1 << 20  # texts tokenized at once
+BATCH_ROWS = 200
 
 # Characters that both readers of the byte vocabulary class alike, and no long runs: the
 # quick one is quadratic in the length of a run.
@@ -53,12 +52,8 @@ class Vocabularies:
 
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        with open(byte_file, encoding="utf-8") as f:
-            source = f.read()
-        self.full = Tokenizer.from_str(source)
-        self.full.encode_special_tokens = True
+        self.byte_file = byte_file
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -67,7 +62,8 @@ class Vocabularies:
         shown = [b for b in range(256) if 0x21 <= b <= 0x7E or b >= 0xA1 and b != 0xAD]
         byte_of = {chr(b): b for b in shown}
         byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        known = json.loads(source)["model"]["vocab"]
+        with open(byte_file, encoding="utf-8") as f:
+            known = json.load(f)["model"]["vocab"]
         a = [b""] * (max(known.values()) + 1)
         for token, i in known.items():
             a[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
@@ -85,20 +81,31 @@ class Vocabularies:
         self.b_shown = 2 * len(a)
         self.type = "<u2" if max(len(a), len(b)) <= 1 << 16 else "<u4"
 
+    @cached_property
+    def full(self):
+        """A's own tokenizer, read when a text asks for it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.byte_file)
+        found.encode_special_tokens = True
+        return found
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For A and B: all ids in turn, and how many each text has; no tokens where the
         tokens' bytes are not a space and the text."""
         spaced = [" " + t for t in texts]
         rough = [k for k, t in enumerate(spaced) if not TAME.fullmatch(t) or RUN.search(t)]
         a = [None] * len(texts)
-        for k, e in zip(rough, self.full.encode_batch_fast([spaced[k] for k in rough], add_special_tokens=False), strict=True):
-            a[k] = e.ids
+        if rough:
+            for k, e in zip(rough, self.full.encode_batch_fast([spaced[k] for k in rough], add_special_tokens=False), strict=True):
+                a[k] = np.array(e.ids, np.int32)
         for k, t in enumerate(spaced):
             if a[k] is None:
-                a[k] = self.quick.encode_ordinary(t)
-        lists = [a, self.piece.encode(texts, num_threads=1) if texts else []]
-        flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in lists]
-        counts = [np.fromiter(map(len, x), np.int64, len(x)) for x in lists]
+                a[k] = np.array(self.quick.encode_ordinary(t), np.int32)
+        b = [np.array(self.piece.encode(t), np.int32) for t in texts]
+        none = [np.array([], np.int32)]
+        flat = [np.concatenate(x + none).astype(np.int64) for x in (a, b)]
+        counts = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
         good = np.array([bool(t) for t in texts], bool)
         want = pa.array(spaced, pa.large_string())
         for table, ids, count in zip(self.bytes, flat, counts, strict=True):
