@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,31 +11,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postingflow.llm.common import extended, fresh, with_row
-from postingflow.llm.tokens import WordEncoder, slices
+from postingflow.llm.tokens import slices, word_encoder
 
 SEQUENCE, SEGMENTS, END = 4096, 256, 2
 GROUP_ROWS = 4096
-BATCH_ROWS = 2000  # texts that a task tokenizes at once
-PIECE = "start bigint, length bigint, loss_tokens bigint, doc_tokens bigint, ids binary"
+BATCH_ROWS = 500  # texts that a task gets at once
+SLICE_BYTES = 2 << 20  # of them, tokenized at once
+PIECE = "start bigint, length bigint, loss_tokens bigint, doc_tokens bigint"
 
 
-def pieces(docs: DataFrame, vocabulary: str, text: str = "text", most: int = SEQUENCE, end: int = END) -> DataFrame:
+def pieces(
+    docs: DataFrame, vocabulary: str, text: str = "text", most: int = SEQUENCE, end: int = END,
+    checksums: bool = False, plain_specials: bool = False,
+) -> DataFrame:
     """Tokenize whole texts, add the end id, and cut into pieces of at most ``most`` ids.
 
     One row per piece: the other columns of ``docs``, ``start`` (ids before it), ``length``,
     ``loss_tokens`` (ids with one before them in the text, which a model can be taught),
-    ``doc_tokens`` and ``ids`` (little-endian unsigned 32-bit). Null texts are empty: the end
-    id alone. ``vocabulary`` is the vocabulary file's path on every machine.
+    ``doc_tokens`` and ``ids`` (little-endian unsigned 32-bit), or with ``checksums`` only
+    their CRC-32 as ``ids_crc32``. Null texts are empty: the end id alone. ``vocabulary`` is
+    the vocabulary file's path on every machine. Special tokens' strings in a text become
+    those tokens, as in the library's plain call, unless ``plain_specials``.
     """
-    made = [c.split()[0] for c in PIECE.split(", ")]
+    columns = PIECE + (", ids_crc32 bigint" if checksums else ", ids binary")
+    made = [c.split()[0] for c in columns.split(", ")]
     rest = [c for c in docs.columns if c != text and c.lower() not in made]
-    schema = extended(docs.select(*rest), PIECE)
+    schema = extended(docs.select(*rest), columns)
 
     def run(batches):
-        encoder = WordEncoder(vocabulary)
+        encoder = word_encoder(vocabulary, plain_specials)
         for batch in batches:
-            for a, b in slices(batch.column(text)):
-                part = batch.slice(a, b - a)
+            for low, high in slices(batch.column(text), SLICE_BYTES):
+                part = batch.slice(low, high - low)
                 ids, counts = encoder.encode(part.column(text))
                 stops = np.cumsum(counts)
                 totals = counts + 1
@@ -44,7 +53,11 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", most: int = SEQ
                 length = np.minimum(totals[doc] - start, most)
                 whole = pa.py_buffer(with_end)
                 bounds = np.concatenate(([0], np.cumsum(length) * 4)).astype(np.int32)
-                blobs = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), whole])
+                if checksums:
+                    view, edges = memoryview(whole), bounds.tolist()
+                    blobs = pa.array([zlib.crc32(view[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.int64())
+                else:
+                    blobs = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), whole])
                 taken = part.select(rest).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
                     [taken.column(c) for c in rest]

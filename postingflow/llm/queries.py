@@ -112,9 +112,9 @@ def exact(spark, sf_dir):
 
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces with the checksum of their ids; tokenized once, then packed by their lengths."""
-    made = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
+    made = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), checksums=True)
     with arrow_rows(docs.sparkSession, packing.BATCH_ROWS):
-        made = settle(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+        made = settle(made, "pieces")
     return packing.pack_texts(made).drop("loss_tokens")
 
 

@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public vocabulary with word ends (word_bpe_49k.json).
 
-The vocabulary's splitter ignores white space and never joins across it, so a text's ids are
-those of its words in turn. Each distinct word of a batch is tokenized once; plain letter
-words go many at a time, since the last id of a word ends with the word-end mark.
+The vocabulary's splitter drops white space and never joins across it, and the last id of a
+word ends with the word-end mark. A space can stand for that mark: it is no part of any
+token. So the vocabulary is read as ranks of byte strings, and texts of ordinary characters
+are tokenized as runs that end with a space, several times faster than by its own file.
 """
 
 from __future__ import annotations
@@ -10,99 +11,81 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PLAIN = re.compile("[a-zß-öø-ÿ]+")
-CACHED_WORDS = 250_000
 SLICE_BYTES = 8 << 20
+# Characters that the normalizer only lowers and the splitter classes as here, and runs short
+# enough for the rank reader, which is quadratic in the length of a run.
+TAME = re.compile("[\t\n\r\x20-\x7e\xa1\xab\xbb\xbf\xc0-\xd6\xd8-\xf6\xf8-\xff\u2013\u2014\u2018-\u201e\u2026]*")
+RUN = re.compile(r"\S{400}")
+APART = "('(?:re|ve|ll|[stmd])|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9 ]+)"
 
 
 class WordEncoder:
-    """Ids by the ``tokenizers`` library, each distinct word once.
+    """Ids by the vocabulary file at ``path``, as the plain library call gives them.
 
-    Special tokens' strings in a text are ordinary text. Words of plain letters skip the
-    normalizer and the splitter, which leave them as they are.
+    Special tokens' strings in a text become those tokens; with ``plain_specials`` they are
+    ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         # A task has one core: threads of its own would only wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        import tiktoken
 
+        self.path, self.plain_specials = path, plain_specials
         with open(path, encoding="utf-8") as f:
-            source = f.read()
-        self.full = Tokenizer.from_str(source)
-        self.full.encode_special_tokens = True
-        self.words = Tokenizer.from_str(source)
-        self.words.normalizer = normalizers.Sequence([])
-        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.ends = np.zeros(self.full.get_vocab_size(), bool)
-        for token, i in json.loads(source)["model"]["vocab"].items():
-            self.ends[i] = token.endswith("</w>")
-        # The vocabulary writes a byte from 0xA1 to 0xFF (but 0xAD) as that character.
+            source = json.load(f)
+        self.specials = [] if plain_specials else [t["content"] for t in source["added_tokens"]]
+        # A byte-level vocabulary writes a byte that isn't a visible character from 0x100 on.
         shown = [b for b in range(256) if 0x21 <= b <= 0x7E or b >= 0xA1 and b != 0xAD]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.visible = {b: 256 + i for i, b in enumerate(hidden) if b != 0x20}
-        self.forget()
-
-    def forget(self):
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths = [], []
-        self.pieces, self.total = [], 0
-
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.forget()
-            new = list(dict.fromkeys(words))
-        plain, accented, other = [], [], []
-        for w in new:
-            (other if not PLAIN.fullmatch(w.lower()) else plain if w.isascii() else accented).append(w)
-        plain += accented
-        joined = [" ".join(plain[i : i + 500]).lower() for i in range(0, len(plain), 500)]
-        # ASCII letters stand for their bytes already.
-        joined = [j if j.isascii() else j.encode().decode("latin-1").translate(self.visible) for j in joined]
-        runs = [e.ids for e in self.words.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(runs), np.uint32)
-        last = np.flatnonzero(self.ends[ids]) + 1
-        self._add(plain, ids, np.diff(last, prepend=0))
-        lists = [e.ids for e in self.full.encode_batch_fast(other, add_special_tokens=False)]
-        self._add(other, np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
-
-    def _add(self, words, ids, lengths) -> None:
-        if len(words) != len(lengths):
-            raise AssertionError("a word without a word end")
-        n = len(self.known)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-        self.starts.append(self.total + np.cumsum(lengths) - lengths)
-        self.lengths.append(lengths)
-        self.pieces.append(ids)
-        self.total += len(ids)
+        byte_of = {chr(b): b for b in shown}
+        byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        added = {t["content"] for t in source["added_tokens"]}
+        ranks = {}
+        for token, i in source["model"]["vocab"].items():
+            if token not in added:
+                word = token.removesuffix("</w>")
+                ranks[bytes(byte_of[c] for c in word) + (b" " if word != token else b"")] = i
+        self.ranks = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def full(self):
+        """The file's own tokenizer, read when a text asks for it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = self.plain_specials
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and how many each text has; null is empty."""
-        spaced = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
-        # One mark after a plain letter and before a space or the end is a word of its own anyway.
-        spaced = pc.replace_substring_regex(spaced, r"([a-zß-öø-ÿÀ-ÖØ-Þ])([.,|])( |$)", r"\1 \2\3")
-        split = pc.split_pattern(spaced, " ")
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn([w for w in words if w])
-        places = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
-        starts, lengths = np.concatenate([*self.starts, [0]]).astype(np.int64), np.concatenate([*self.lengths, [0]]).astype(np.int64)
-        which = places[coded.indices.to_numpy()] if len(words) else np.array([], np.int64)  # -1: the empty word at the end
-        size = lengths[which]
-        bank = np.concatenate([*self.pieces, np.array([], np.uint32)])
-        self.starts, self.lengths, self.pieces = [starts[:-1]], [lengths[:-1]], [bank]
-        ends = np.cumsum(size)
-        ids = bank[np.repeat(starts[which] - (ends - size), size) + np.arange(size.sum())]
-        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        sums = np.concatenate(([0], ends))
-        return ids, np.diff(sums[offsets])
+        plain = pc.fill_null(texts, "").to_pylist()
+        rough = [
+            k for k, t in enumerate(plain) if not TAME.fullmatch(t) or RUN.search(t) or any(s in t for s in self.specials)
+        ]
+        ids: list = [None] * len(plain)
+        if rough:
+            for k, e in zip(rough, self.full.encode_batch_fast([plain[k] for k in rough], add_special_tokens=False), strict=True):
+                ids[k] = np.array(e.ids, np.uint32)
+                plain[k] = ""
+        # Marks, digits and endings such as 's are words of their own.
+        lowered = pa.array([t.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ") + " " for t in plain])
+        for k, t in enumerate(pc.replace_substring_regex(lowered, APART, r" \1 ").to_pylist()):
+            if ids[k] is None:
+                ids[k] = np.array(self.ranks.encode_ordinary(t), np.uint32)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.concatenate([*ids, np.array([], np.uint32)]), counts
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str, plain_specials: bool = False) -> WordEncoder:
+    """Kept by the Python worker, which serves several tasks."""
+    return WordEncoder(path, plain_specials)
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES):

@@ -4,43 +4,46 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from postingflow.llm import packing as P
-from postingflow.llm.tokens import WordEncoder, slices
+from postingflow.llm import tokens
+from postingflow.llm.queries import QUERIES
+from postingflow.llm.tokens import slices
 from postingflow.session import settle
 from tests.llm.helpers import CLASH, SCHEMA, odd_documents, stored, with_clashes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def plain(texts):
+def plain(texts, plain_specials=False):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain_specials
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-def test_encoder_against_the_library():
+def strange_texts():
     rnd = random.Random(1)
-    pool = list("abcdeABZ019 .,|'\n\t-_é É ß ſ İ Σ ς ñ Ḱक़ \u0085​　你好ا") + ["'s", "'re", "...", "<|endoftext|>", "  ", "they're", "Don't", "word.", "x.,", "a|b | "]
-    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 40))) for _ in range(4000)] + [None, "", " "]
-    encoder = WordEncoder(PATH)
-    for _ in range(2):
-        ids, counts = encoder.encode(pa.array(texts))
-        want = plain(texts)
-        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    pool = list("abcdeABZ019 .,|'\n\t\r-_é É ß ſ İ Σ ς ñ × ÷ ÿ Ḱक़ \u0085\xa0​\u3000你好اªº²¼«»¿…–“”") + [
+        "'s", "'re", "'ll", "'", "...", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "  ", "they're", "Don't", "word.", "x.,", "a|b | ", "e\u0301", "1'd", "\"'s", "''t", "'Sx",
+    ]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 40))) for _ in range(4000)]
+    tame = [c for c in pool if tokens.TAME.fullmatch(c) and "|" not in c]
+    texts += ["".join(rnd.choice(tame) for _ in range(rnd.randint(0, 60))) for _ in range(4000)]
+    return texts + [None, "", " ", "a <|endoftext|> b", "y" * 3000, "Word " * 50]
+
+
+@pytest.mark.parametrize("plain_specials", [False, True])
+def test_encoder_against_the_library(plain_specials):
+    texts = strange_texts()
+    ids, counts = tokens.WordEncoder(PATH, plain_specials).encode(pa.array(texts))
+    want = plain(texts, plain_specials)
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert (49407 in ids) == (not plain_specials)
     assert list(slices(pa.array(["aaa", "b", "cc", None]), 3)) == [(0, 1), (1, 4)]
 
 
-def test_cache_may_overflow(monkeypatch):
-    from postingflow.llm import tokens
-
-    monkeypatch.setattr(tokens, "CACHED_WORDS", 5)
-    encoder = WordEncoder(PATH)
-    for texts in (["one two three four"], ["five six one é1 two"], ["seven eight nine ten eleven twelve thirteen"], ["one"]):
-        assert encoder.encode(pa.array(texts))[0].tolist() == plain(texts)[0]
-
-
 def test_pieces_and_round_trip(spark):
     rows = odd_documents()
     docs = stored(spark, with_clashes(rows), SCHEMA + CLASH).drop("doc_tokens")
@@ -94,3 +97,29 @@ def test_empty_and_nulls(spark):
     assert P.pack_texts(settle(P.pieces(stored(spark, [], SCHEMA), PATH), "none")).count() == 0
     items = stored(spark, [(1, None, None), (2, 5, 4)], "id bigint, length bigint, loss_tokens bigint")
     assert P.pack_texts(items).count() == 2
+
+
+def test_registered_query(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    df = QUERIES["op9_packing"](spark, sf_dir)
+    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(df.columns)
+    rows = df.collect()
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    for d, ids in zip(docs, plain([d["text"] for d in docs]), strict=True):
+        ids, at = np.array([*ids, 2], "<u4"), 0
+        for r in sorted(pieces.pop(d["doc_id"]), key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    assert not pieces
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
+    assert sum(n for p in bins.values() for _, n in p) > 0.9 * 4096 * (len(bins) - 1)
