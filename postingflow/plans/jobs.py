@@ -15,6 +15,7 @@ from postingflow.functions.columns import reorder_locations
 from postingflow.operators import coverage, enrich, filters, profiles, reports, snapshots
 from postingflow.schema import KEY
 from postingflow.session import settle
+from postingflow.sources import buckets
 from postingflow.sources import snapshots as store
 
 Step = Callable[[DataFrame], DataFrame]
@@ -82,21 +83,27 @@ def store_run(current: DataFrame, root: str, order: str = "ord") -> dict[str, in
     """Save a run: history first, then the current and the newly added postings with its dates.
 
     The postings are settled, so their processing runs once; what was added is told by the
-    history before this run.
+    history before this run. History is a store in buckets: the run reads and rewrites those
+    that its keys fall in, and keys that their filters deny are new without a join.
     """
     spark = current.sparkSession
     if order not in current.columns:
         current = current.withColumn(order, F.lit(0))
     current = settle(current, "current")
-    past = store.read_store(spark, f"{root}/history", schema=current.schema)
-    new_rows = snapshots.added(current, past)
-    both = snapshots.union_columns(past.withColumn(order, F.lit(-1).cast("bigint")), current)
-    new_rows = settle(new_rows, "added")
-    saved = {"history": store.write_store(snapshots.with_timespan(snapshots.unify(both, order)), f"{root}/history")}
-    history = store.read_store(spark, f"{root}/history")
-    saved["current"] = store.write_store(snapshots.history_backfill(current, history), f"{root}/current")
-    saved["newly_added"] = store.write_store(snapshots.history_backfill(new_rows, history), f"{root}/newly_added")
-    return saved
+    path = f"{root}/history"
+    new_rows = settle(buckets.added_rows(current, path, buckets.manifest(spark, path)), "added")
+
+    def fold(past: DataFrame, rows: DataFrame) -> DataFrame:
+        both = snapshots.union_columns(past.withColumn(order, F.lit(-1).cast("bigint")), rows)
+        return snapshots.with_timespan(snapshots.unify(both, order))
+
+    state, some = store.merge_store(current, path, fold)
+    history = buckets.read_buckets(spark, path, state, some)
+    return {
+        "history": state.version,
+        "current": store.write_store(snapshots.history_backfill(current, history), f"{root}/current"),
+        "newly_added": store.write_store(snapshots.history_backfill(new_rows, history), f"{root}/newly_added"),
+    }
 
 
 def daily_job(raw: DataFrame, root: str, profile: Profile, threshold=config.MIN_POINTS) -> RunBundle:

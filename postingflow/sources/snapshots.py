@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 
 from postingflow.functions.once import explode_once
 from postingflow.schema import KEY, SNAPSHOT_VALUE, conform, empty_postings
+from postingflow.sources import buckets
 
 
 def record_end(indent: int, newline: str = "\n") -> str:
@@ -166,11 +169,14 @@ def has_batch(spark: SparkSession, path: str, batch: str) -> bool:
 def read_store(
     spark: SparkSession, path: str, before: int | None = None, schema: T.StructType | None = None
 ) -> DataFrame:
-    """The latest version of a stored table (or the latest below ``before``); empty before
-    the first write."""
+    """The latest version of a stored table (or the latest below ``before``), written whole or
+    in buckets; empty before the first write."""
     commits = [c for c in _commits(spark, path) if before is None or c["version"] < before]
     if not commits:
         return empty_postings(spark) if schema is None else spark.createDataFrame([], schema)
+    state = buckets.manifest(spark, path, before)
+    if state is not None and state.version == commits[-1]["version"]:
+        return buckets.read_buckets(spark, path, state)
     return spark.read.parquet(f"{path}/version={commits[-1]['version']}")
 
 
@@ -189,6 +195,16 @@ def write_store(df: DataFrame, path: str, batch: str | None = None) -> int:
     return version
 
 
+def merge_store(
+    rows: DataFrame, path: str, combine: Callable[[DataFrame, DataFrame], DataFrame], key=KEY, batch: str | None = None,
+    number: int = buckets.BUCKETS,
+) -> tuple[buckets.Manifest, list[int]]:
+    """Merge settled rows into a store in buckets: only those that their keys fall in are read
+    and written anew (see ``buckets``). Returns the new manifest and the touched buckets."""
+    spark = rows.sparkSession
+    return buckets.merge_rows(rows, path, combine, next_version(spark, path), key, number, batch)
+
+
 def read_or_empty(spark: SparkSession, path: str) -> DataFrame:
     """Stored postings in the fixed schema, empty if there are none yet."""
     return conform(read_store(spark, path))

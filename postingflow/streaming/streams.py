@@ -12,7 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postingflow.operators import snapshots
 from postingflow.schema import KEY
-from postingflow.sources.snapshots import has_batch, next_version, read_store, write_store
+from postingflow.session import settle
+from postingflow.sources import buckets
+from postingflow.sources.snapshots import has_batch, merge_store, next_version
 
 
 def stream_parquet(spark: SparkSession, folder: str, schema, glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -70,58 +72,58 @@ def batch_name(batch: DataFrame, batch_id: int) -> str:
     return f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}/{batch_id}"
 
 
-def upsert_seen(store: str, key: str):
-    """Per-batch step for ``first_last_seen``: merge into a versioned table.
+def upsert_seen(store: str, key: str, number: int = buckets.BUCKETS):
+    """Per-batch step for first and last times: merge into a store in buckets.
 
-    A batch that the table has is left out, so a repeated one changes nothing.
+    Only the buckets of the batch's keys are read and written. A batch that the store has is
+    left out, so a repeated one changes nothing.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        name = batch_name(batch, batch_id)
-        if has_batch(batch.sparkSession, store, name):
-            return
-        known = read_store(batch.sparkSession, store, schema=batch.schema)
-        merged = known.unionByName(batch).groupBy(key).agg(
+    def merge(past: DataFrame, rows: DataFrame) -> DataFrame:
+        return past.unionByName(rows).groupBy(key).agg(
             F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
         )
-        write_store(merged, store, name)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        name = batch_name(batch, batch_id)
+        if not has_batch(batch.sparkSession, store, name):
+            merge_store(settle(batch, "seen"), store, merge, key, name, number)
 
     return step
 
 
-def upsert_latest(store: str, key: str):
+def upsert_latest(store: str, key: str, number: int = buckets.BUCKETS):
     """Per-batch step in update mode: a row of the batch replaces the stored row of its key."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         name = batch_name(batch, batch_id)
-        if has_batch(batch.sparkSession, store, name):
-            return
-        known = read_store(batch.sparkSession, store, schema=batch.schema)
-        write_store(snapshots.upsert(known, batch, key=key), store, name)
+        if not has_batch(batch.sparkSession, store, name):
+            merge_store(settle(batch, "latest"), store, lambda past, rows: snapshots.upsert(past, rows, key=key), key, name, number)
 
     return step
 
 
-def ingest_snapshots(history: str, added_log: str, order: str = "ord", key: str = KEY):
+def ingest_snapshots(history: str, added_log: str, order: str = "ord", key: str = KEY, number: int = buckets.BUCKETS):
     """Per-batch step of the daily loop: log the added postings, merge into history.
 
     The history's next version numbers the run, whatever stream or job wrote the last one. A
     batch that history has is left out; one that failed half-way writes the same run again.
     """
 
+    def fold(past: DataFrame, rows: DataFrame) -> DataFrame:
+        # History comes before everything in the batch.
+        both = snapshots.union_columns(past.withColumn(order, F.lit(-1).cast("bigint")), rows)
+        return snapshots.unify(both, order, key).withColumn(order, F.lit(-1).cast("bigint"))
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark, name = batch.sparkSession, batch_name(batch, batch_id)
         if has_batch(spark, history, name):
             return
-        past = read_store(spark, history, schema=batch.schema)
-        fresh = snapshots.added(batch, past, key)
+        rows = settle(batch, "batch")
+        fresh = buckets.added_rows(rows, history, buckets.manifest(spark, history), key)
         snapshots.unify(fresh, order, key).write.mode("overwrite").parquet(
             f"{added_log}/run={next_version(spark, history)}"
         )
-        # History comes before everything in the batch.
-        merged = snapshots.unify(
-            snapshots.union_columns(past.withColumn(order, F.lit(-1).cast("bigint")), batch), order, key
-        )
-        write_store(merged.withColumn(order, F.lit(-1).cast("bigint")), history, name)
+        merge_store(rows, history, fold, key, name, number)
 
     return step
