@@ -1,10 +1,12 @@
 """Weighted pattern rules compiled to columns.
 
-A rule set is plan-time data. Literal rules are grouped so that a rule is only tested when
+A rule set is plan-time data. In a large set, all literals and the words that regex rules
+need are found in one pass over the text (``literals``), and a regex rule is tried where its
+word was found. In a small one, literal rules are grouped so that a rule is only tested when
 a shorter rule contained in it has already matched ("graph theory" needs "graph"), and the
-groups are walked by one higher-order expression over an array literal: the plan stays
-small for hundreds of rules. Regex rules stay literal ``rlike`` tests, so each pattern is
-compiled once, behind a cheap ``contains`` gate where the pattern has a plain core.
+groups are walked by one higher-order expression over an array literal. Regex rules stay
+literal ``rlike`` tests, so each pattern is compiled once, behind a cheap ``contains`` gate
+where the pattern has a plain core.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postingflow.functions import regex
+from postingflow.functions import literals, regex
 from postingflow.functions.once import let
 from postingflow.functions.regex import matches
 
@@ -137,6 +139,62 @@ def _literal_score(text: Column, literals: dict[str, int]) -> Column:
     return F.aggregate(groups, zero, group)
 
 
+def _points_of(word: Column, points: dict[str, int]) -> Column:
+    """A word's points, 0 if it has none; by its first character, then by the word."""
+    groups: dict[str, dict[str, int]] = {}
+    for text, value in sorted(points.items()):
+        groups.setdefault(text[0], {})[text] = value
+    table = F.create_map(*[
+        c for first, group in groups.items()
+        for c in (F.lit(first), F.create_map(*[x for t, v in group.items() for x in (F.lit(t), F.lit(v).cast("bigint"))]))
+    ])
+    found = F.try_element_at(F.try_element_at(table, F.substring(word, 1, 1)), word)
+    return F.coalesce(found, F.lit(0).cast("bigint"))
+
+
+def _needed(rule: Rule) -> tuple[str, ...]:
+    """Words of which one occurs wherever the rule does, in the case that it is looked up in."""
+    words = (rule.pattern,) if regex.is_literal(rule.pattern) else regex.required_words(rule.pattern)
+    return tuple(w.lower() if rule.ignore_case else w for w in words)
+
+
+def found_words(haystack: Column, rules, body) -> Column:
+    """``body`` with a test ``found(words)``: whether one of the words that the rules need occurs.
+
+    One pass finds them all where there are many; few are tested one by one.
+    """
+    words = {w for r in rules for w in _needed(r) if w}
+    if len(words) < literals.MANY:
+        def tested(some):
+            hit = F.contains(haystack, F.lit(some[0]))
+            for w in some[1:]:
+                hit = hit | F.contains(haystack, F.lit(w))
+            return hit
+
+        return body(tested, None)
+
+    def looked_up(hits):
+        def tested(some):
+            if "" in some:
+                return F.lit(True)
+            if len(some) == 1:
+                return F.array_contains(hits, F.lit(some[0]))
+            return F.arrays_overlap(hits, F.array(*map(F.lit, some)))
+
+        return body(tested, hits)
+
+    return let(literals.literals_in(haystack, words), looked_up)
+
+
+def _rule_hit(text: Column, lowered: Column, rule: Rule, found) -> Column:
+    """Whether one rule's pattern occurs, with the words that it needs looked up."""
+    words = _needed(rule)
+    if regex.is_literal(rule.pattern):
+        return found(words)
+    test = regex.matches_lowered(text, lowered, rule.pattern) if rule.ignore_case else matches(text, rule.pattern)
+    return found(words) & test if words else test
+
+
 def balanced_sum(terms: list[Column]) -> Column:
     """Sum as a balanced tree: a left-deep chain of hundreds of terms overflows the planner."""
     while len(terms) > 1:
@@ -147,40 +205,45 @@ def balanced_sum(terms: list[Column]) -> Column:
     return terms[0]
 
 
-def rule_test(text: Column, lowered: Column, rule: Rule) -> Column:
-    """Whether one rule's pattern occurs in the text."""
-    haystack = lowered if rule.ignore_case else text
-    if regex.is_literal(rule.pattern):
-        return F.contains(haystack, F.lit(rule.pattern.lower() if rule.ignore_case else rule.pattern))
-    return regex.gated(text, lowered, rule.pattern, rule.ignore_case)
+def _case_mills(text: Column, lowered: Column, rules: list[Rule], ignore_case: bool) -> Column:
+    """Points of the rules of one case."""
+    zero = F.lit(0).cast("bigint")
+    haystack = lowered if ignore_case else text
+    words: dict[str, int] = {}
+    patterns = []
+    for rule in rules:
+        if regex.is_literal(rule.pattern):
+            word = _needed(rule)[0]
+            words[word] = words.get(word, 0) + _mills(rule.points)
+        else:
+            patterns.append(rule)
+
+    def body(found, hits):
+        if hits is None:
+            terms = [_literal_score(haystack, words)] if words else []
+        else:
+            # The empty literal is in every text.
+            looked = {w: p for w, p in words.items() if w}
+            terms = [F.lit(words[""]).cast("bigint")] if "" in words else []
+            if looked:
+                terms.append(F.aggregate(hits, zero, lambda total, w: total + _points_of(w, looked)))
+        terms += [
+            F.when(_rule_hit(text, lowered, r, found), F.lit(_mills(r.points)).cast("bigint")).otherwise(zero) for r in patterns
+        ]
+        return balanced_sum(terms)
+
+    return found_words(haystack, rules, body)
 
 
 def score_mills(text: Column, rules) -> Column:
     """Sum of points (in thousandths) of every pattern that occurs at least once."""
     ruleset = RuleSet.of(rules)
-    literal: dict[bool, dict[str, int]] = {True: {}, False: {}}
-    patterns = []
-    for rule in ruleset.rules:
-        if regex.is_literal(rule.pattern):
-            word = rule.pattern.lower() if rule.ignore_case else rule.pattern
-            bucket = literal[rule.ignore_case]
-            bucket[word] = bucket.get(word, 0) + _mills(rule.points)
-        else:
-            patterns.append(rule)
-    zero = F.lit(0).cast("bigint")
+    by_case = {case: [r for r in ruleset.rules if r.ignore_case is case] for case in (True, False)}
     text = F.coalesce(text, F.lit(""))
 
     def body(lowered):
-        terms = [
-            _literal_score(lowered if ignore else text, words)
-            for ignore, words in literal.items()
-            if words
-        ]
-        terms += [
-            F.when(rule_test(text, lowered, r), F.lit(_mills(r.points)).cast("bigint")).otherwise(zero)
-            for r in patterns
-        ]
-        return balanced_sum(terms) if terms else zero
+        terms = [_case_mills(text, lowered, some, case) for case, some in by_case.items() if some]
+        return balanced_sum(terms) if terms else F.lit(0).cast("bigint")
 
     return let(F.lower(text), body)
 
@@ -205,14 +268,27 @@ def tag_categories(text: Column, taxonomy) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def body(lowered):
-        tags = []
-        for category in ruleset.categories():
-            tests = [rule_test(text, lowered, r) for r in ruleset.where(category).rules]
-            hit = tests[0]
-            for t in tests[1:]:
-                hit = hit | t
-            tags.append(F.when(hit, F.lit(category)))
-        return F.array_compact(F.array(*tags))
+        def tagged(loose, exact):
+            tags = []
+            for category in ruleset.categories():
+                own = ruleset.where(category).rules
+                hit = None
+                for case, found in ((True, loose), (False, exact)):
+                    # All literals of a category are one look-up.
+                    plain = tuple(_needed(r)[0] for r in own if r.ignore_case is case and regex.is_literal(r.pattern))
+                    tests = [found(plain)] if plain else []
+                    tests += [
+                        _rule_hit(text, lowered, r, found)
+                        for r in own if r.ignore_case is case and not regex.is_literal(r.pattern)
+                    ]
+                    for t in tests:
+                        hit = t if hit is None else hit | t
+                tags.append(F.when(hit, F.lit(category)))
+            return F.array_compact(F.array(*tags))
+
+        loose = [r for r in ruleset.rules if r.ignore_case]
+        exact = [r for r in ruleset.rules if not r.ignore_case]
+        return found_words(lowered, loose, lambda a, _: found_words(text, exact, lambda b, _: tagged(a, b)))
 
     return let(F.lower(text), body)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postingflow import config
-from postingflow.functions import regex
+from postingflow.functions import literals, regex
 from postingflow.functions.columns import word_array
 from postingflow.functions.once import let
 
@@ -59,14 +59,22 @@ def language(text: Column) -> Column:
 
 
 def find_keywords(text: Column, keywords, case_sensitive: bool = False) -> Column:
-    """Keywords contained in the text, in list order."""
+    """Keywords contained in the text, in list order; many are found in one pass."""
     keywords = tuple(keywords)
     if not keywords:
         return F.array().cast("array<string>")
-    if case_sensitive:
-        return F.filter(word_array(keywords), lambda k: F.contains(text, k))
-    lowered = tuple(k.lower() for k in keywords)
-    return let(F.lower(text), lambda t: F.filter(word_array(lowered), lambda k: F.contains(t, k)))
+    if not case_sensitive:
+        keywords = tuple(k.lower() for k in keywords)
+
+    def listed(t):
+        if len(keywords) < literals.MANY:
+            return F.filter(word_array(keywords), lambda k: F.contains(t, k))
+        return let(
+            literals.literals_in(t, keywords),
+            lambda hits: F.filter(word_array(keywords), lambda k: F.array_contains(hits, k) | ((k == "") & hits.isNotNull())),
+        )
+
+    return listed(text) if case_sensitive else let(F.lower(text), listed)
 
 
 def tag_keywords(text: Column, ordered_keywords) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from postingflow import config
 from postingflow.functions import columns as C
-from postingflow.functions import regex, scoring
+from postingflow.functions import literals, regex, scoring
 from postingflow.functions import salary as S
-from postingflow.functions.text import language, ngrams, tag_keywords, word_count, words
+from postingflow.functions.text import find_keywords, language, ngrams, tag_keywords, word_count, words
 from postingflow.operators.enrich import location_penalty, split_sections
 from postingflow.operators.filters import pattern_match
 
@@ -257,3 +257,58 @@ def test_many_rules_compile(spark):
     df = spark.createDataFrame([("word7 word70 W5 w6",), ("",)], "t string")
     got = [r[0] for r in df.select(scoring.score(F.col("t"), rows)).collect()]
     assert got == [Decimal("1.25"), Decimal(0)]
+
+
+def _literal_pool(n, seed):
+    rng = random.Random(seed)
+    syllables = ["da", "ta", "sci", "en", "ce", "graph", " ", "-", "c++", "(ai)", ".net", "ö", "ß", "é", "x", "😀", "a", "an", "ana"]
+    return list(dict.fromkeys("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n * 3)))[:n]
+
+
+def test_literals_in_one_pass(spark):
+    words = _literal_pool(300, 1) + [""]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["", None, "banana " * 400, "\n\t"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", literals.literals_in(F.col("t"), words).alias("w"))
+    for r in df.collect():
+        assert r["w"] is None if r["t"] is None else sorted(r["w"]) == sorted(w for w in words if w and w in r["t"]), r["t"]
+    assert spark.range(1).select(literals.literals_in(F.lit("a"), [""])).first()[0] == []
+
+
+def test_large_rule_sets_match_python(spark):
+    words = _literal_pool(260, 3)
+    rng = random.Random(4)
+    rules = [("c" + str(i % 7), i % 3 > 0, w if rng.random() < 0.3 else w.upper(), str(rng.randint(-9, 9) / 4)) for i, w in enumerate(words) if regex.is_literal(w)]
+    rules += [("c" + str(i % 7), i % 2 > 0, p, "0.125") for i, p in enumerate([r"\bdata\b", r"(graph|sci)x?", r"^a", r"en\Z", r"d\w+ta", r"\s{2}"] + [rf"\b{w}" for w in words if w.isalpha()][:60])]
+    rules += [("c9", True, "", "3"), ("c1", False, "data", "0.5"), ("c1", False, "data", "0.25")]
+    assert sum(r[1] for r in rules) > literals.MANY < sum(not r[1] for r in rules)
+    texts = ["".join(rng.choice([w, w.upper(), w.title(), " "]) for w in rng.choices(words, k=rng.randint(0, 9))) for _ in range(250)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", scoring.score(F.col("t"), rules).alias("s"), scoring.tag_categories(F.col("t"), rules).alias("tags")
+    )
+
+    def occurs(rule, text):
+        _, ignore, p, _ = rule
+        if regex.is_literal(p):  # as the lower-cased text holds the lower-cased word
+            return p.lower() in text.lower() if ignore else p in text
+        return re.search(p, text, re.IGNORECASE if ignore else 0) is not None
+
+    categories = list(dict.fromkeys(r[0] for r in rules))
+    for r in df.collect():
+        hits = [rule for rule in rules if occurs(rule, r["t"] or "")]
+        assert r["s"] == sum((Decimal(h[3]) for h in hits), Decimal(0)), r["t"]
+        assert r["tags"] == [c for c in categories if any(h[0] == c for h in hits)], r["t"]
+
+
+def test_many_keywords_match_python(spark):
+    words = _literal_pool(150, 5)
+    words += [words[0], words[1].upper(), "SQL", ""]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice([w, w.upper(), " "]) for w in rng.choices(words, k=rng.randint(0, 9))) for _ in range(150)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", find_keywords(F.col("t"), words).alias("loose"), find_keywords(F.col("t"), words, case_sensitive=True).alias("exact")
+    )
+    for r in df.collect():
+        t = r["t"]
+        assert r["exact"] == ([] if t is None else [w for w in words if w in t]), t
+        assert r["loose"] == ([] if t is None else [w.lower() for w in words if w.lower() in t.lower()]), t
