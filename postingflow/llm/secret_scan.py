@@ -74,27 +74,56 @@ def weight(count: int) -> int:
     return round(count * math.log2(count) * MICRO) if count > 1 else 0
 
 
+BLOCK = 256  # matches, or characters of a run, whose results are put together at once
+
+
+def running(lengths: Column) -> Column:
+    """Running sums of an array of whole numbers, as array<int> of the same length.
+
+    Summed in blocks: an array that grows by one at each step would be copied each time.
+    """
+    none = F.array().cast("array<int>")
+    size = F.size(lengths)
+
+    def within(block):
+        grown = F.aggregate(
+            F.slice(lengths, block * BLOCK + 1, F.lit(BLOCK)),
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")),
+        )
+        return grown
+
+    def joined_(blocks):
+        # The sum before each block: the same again over the blocks' own sums, a row in 256.
+        before = F.aggregate(
+            blocks,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        )["out"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.transform(b["out"], lambda x: x + at)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((size - 1) / BLOCK).cast("int"), F.lit(0))), within)
+    return F.when(size > 0, let(blocks, joined_)).otherwise(none)
+
+
 def placed(text: Column, regex: str) -> Column:
     """Matches with their places: array of (start, end, hit), leftmost non-overlapping.
 
     The pieces between matches and the matches take turns, so places are running sums of
     their lengths in code points.
     """
-    pairs = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hit"))
     kind = "array<struct<start:int,end:int,hit:string>>"
+    none = F.array().cast(kind)
 
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit")))
-        return F.struct(
-            end.alias("at"),
-            F.when(pair["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], found)).alias("out"),
-        )
+    def walked(found):
+        hits, gaps = found["hits"], found["gaps"]
+        both = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
+        return F.zip_with(
+            running(both), hits, lambda end, hit: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit"))
+        ).cast(kind)
 
-    none = F.array().cast(kind)
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(text.rlike(regex), walked).otherwise(none)
+    found = F.struct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"), F.split(text, regex, -1).alias("gaps"))
+    return F.when(text.rlike(regex), let(found, walked)).otherwise(none)
 
 
 def _span(rank: int, kind: str, start: Column, end: Column) -> Column:

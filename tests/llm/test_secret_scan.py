@@ -64,6 +64,22 @@ def test_spans_against_brute_force(spark):
     assert more > 50
 
 
+def test_many_candidates_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(["0123456789abcdef0123456789abcdef"] * n)
+        df = stored(spark, [(1, text)], "doc_id bigint, text string")
+        start = time.time()
+        row = S.scan_secrets(df).selectExpr("size(base) AS n", "element_at(base, -1).end AS last").first()
+        assert row["n"] == n and row["last"] == len(text)
+        return time.time() - start
+
+    seconds(100)
+    small, large = seconds(20_000), seconds(40_000)
+    assert large < 3 * small + 2 and large < 60
+
+
 def test_odd_rows_and_names(spark):
     rows = with_clashes(odd_documents())
     df = stored(spark, rows, SCHEMA + CLASH).withColumnRenamed("slot", "base")
