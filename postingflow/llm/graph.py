@@ -17,7 +17,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else (
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     )
-    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    # Settled: Spark splits a hot node's partition only where both sides are plain tables.
+    lowest = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
     met = both.join(lowest, "a")
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -33,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: the number of rounds grows with the logarithm
     of the number of nodes, and a node with very many links is aggregated before the
-    shuffle and split by Spark in the join. Each round is written to the shared folder, so a
+    shuffle and split by Spark in the join with its settled minimum. Each round is written to the shared folder, so a
     lost executor repeats a round at most.
     """
     edges = settle(edges.where("a <> b").distinct(), "edges")
