@@ -151,7 +151,14 @@ def _positions(df: DataFrame, order: list[str], name: str, block_rows: int, per_
     return numbered.withColumn(name, F.col("n") + F.col("base")).drop("n", "base", "range")
 
 
-def ordered(mixed: DataFrame, columns: list[str], per_file: int = 50_000) -> DataFrame:
-    """The mix as files to be read in turn: ranges of positions, each in order."""
-    rows = mixed.count()
-    return mixed.repartitionByRange(rows // per_file + 1, "position").sortWithinPartitions("position").select(*columns)
+def ordered(mixed: DataFrame, columns: list[str], per_file: int = 32 << 20, docs: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """The mix as files to be read in turn: ranges of positions, each in order.
+
+    Files hold about ``per_file`` bytes of ``text`` on average (64 bytes a row beside it), so a
+    later stage has tasks by the table's size and not by its rows. The bytes are summed over
+    ``docs``, the table that was mixed, where it is given: the mix itself would be computed again.
+    """
+    table = mixed if docs is None else docs
+    size = F.coalesce(F.octet_length(text), F.lit(0)) + 64 if text in table.columns else F.lit(64)
+    total = table.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return mixed.repartitionByRange(total // per_file + 1, "position").sortWithinPartitions("position").select(*columns)
