@@ -408,11 +408,12 @@ def z1(spark, sf):
     dates = {c: F.lit(None).cast("date") for c in ("first_collected_on", "last_collected_on")}
     incoming = rows.withColumns(dates)
     for i in (1, 2, 3):
-        incoming.where(f"ord = {i}").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = streams.stream_parquet(spark, f"{root}/in", incoming.schema, max_files=1)
-    streams.run_available(
-        stream, f"{root}/checkpoint", each=streams.ingest_snapshots(f"{root}/history", f"{root}/added"), mode="update"
-    )
+        # The stream goes on where it stopped, with the files that came since.
+        incoming.where(f"ord = {i}").write.mode("append").parquet(f"{root}/in")
+        stream = streams.stream_parquet(spark, f"{root}/in", incoming.schema)
+        streams.run_available(
+            stream, f"{root}/checkpoint", each=streams.ingest_snapshots(f"{root}/history", f"{root}/added"), mode="update"
+        )
     history = read_store(spark, f"{root}/history")
     return as_text(history.select("posting_id", "first_collected_on", "last_collected_on"))
 
@@ -429,6 +430,17 @@ def z2(spark, sf):
     return stored.select("user_id", F.col("first_seen").alias("first_us"), F.col("last_seen").alias("last_us"))
 
 
+@query("z2_seen_without_state",
+       "SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM events GROUP BY user_id")
+def z2_stateless(spark, sf):
+    """Batches merged into the store by touched buckets: no state in the stream."""
+    root = scratch_dir(spark, "tracked")
+    events = _events(spark, sf).withColumn("us", F.unix_micros("ts"))
+    streams.run_available(events, f"{root}/checkpoint", each=streams.track_seen(f"{root}/seen", "user_id", "us"))
+    stored = read_store(spark, f"{root}/seen")
+    return stored.select("user_id", F.col("first_seen").alias("first_us"), F.col("last_seen").alias("last_us"))
+
+
 @query("z3_new_posting_stream", "SELECT DISTINCT user_id FROM events")
 def z3(spark, sf):
     root = scratch_dir(spark, "new")

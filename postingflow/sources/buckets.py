@@ -9,6 +9,7 @@ its commit row is there, so a run that fails half-way leaves the store as it was
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from postingflow.operators.skew import cols, rows_without_key
 from postingflow.schema import KEY
 from postingflow.session import settle
 
-BUCKETS = 32
+BUCKETS = 16
 BUCKET = "store_bucket"
 COMMIT = "version int, batch string, buckets int, held array<int>, fields string"
 
@@ -58,13 +59,7 @@ def manifest(spark: SparkSession, path: str, before: int | None = None) -> Manif
     last = rows.orderBy(F.desc("version")).limit(1).collect()
     if not last:
         return None
-    return Manifest(last[0]["version"], tuple(last[0]["held"]), T.StructType.fromJson(_json(last[0]["fields"])))
-
-
-def _json(text: str) -> dict:
-    import json
-
-    return json.loads(text)
+    return Manifest(last[0]["version"], tuple(last[0]["held"]), T.StructType.fromJson(json.loads(last[0]["fields"])))
 
 
 def bucket_of(key, buckets: int) -> Column:
@@ -101,10 +96,10 @@ def rewrite_buckets(df: DataFrame, path: str, key, state: Manifest | None, some:
     placed.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     written = spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(folder)
-    full = {r[BUCKET] for r in written.select(BUCKET).distinct().collect()}
+    write_filters(written.select(*cols(key), BUCKET), path, key, version)
+    full = {r[BUCKET] for r in spark.read.schema(f"{BUCKET} int").parquet(f"{path}/filters/version={version}").distinct().collect()}
     if not full <= set(some):
         raise ValueError(f"rows of buckets {sorted(full - set(some))} would replace what was not read")
-    write_filters(written.select(*cols(key), BUCKET), path, key, version)
     held = list(state.held) if state else [-1] * buckets
     for b in some:
         held[b] = version if b in full else -1
@@ -203,9 +198,9 @@ def with_maybe_known(rows: DataFrame, path: str, state: Manifest, key=KEY, name:
     spark = rows.sparkSession
     placed = rows.withColumn(BUCKET, bucket_of(key, state.buckets))
     some = touched(rows, key, state.buckets)
-    filters = settle(read_filters(spark, path, state, some), "filters")
+    filters = read_filters(spark, path, state, some)
     sizes = filters.select(BUCKET, "blocks").distinct()
-    block = placed.join(settle(sizes, "blocks"), BUCKET, "left").withColumn("block", _block(key, F.col("blocks"))).drop("blocks")
+    block = placed.join(sizes, BUCKET, "left").withColumn("block", _block(key, F.col("blocks"))).drop("blocks")
     met = block.join(filters.select(BUCKET, "block", "bits"), [BUCKET, "block"], "left")
     hit = F.lit(True)
     for position in _probes(key):

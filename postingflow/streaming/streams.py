@@ -33,7 +33,10 @@ def utc_time(ts: Column) -> Column:
 
 
 def first_last_seen(events: DataFrame, key: str, ts: str) -> DataFrame:
-    """First and last time of each key; min/max make late input harmless."""
+    """First and last time of each key; min/max make late input harmless.
+
+    As a stream it holds a row of state for every key it ever saw; ``track_seen`` holds none.
+    """
     return events.groupBy(key).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
 
 
@@ -92,6 +95,23 @@ def upsert_seen(store: str, key: str, number: int = buckets.BUCKETS):
     return step
 
 
+def track_seen(store: str, key: str, ts: str, number: int = buckets.BUCKETS):
+    """Per-batch step over plain events: first and last time of each key, without stream state.
+
+    A batch shrinks to a row for each of its keys, which are merged into the buckets that
+    they fall in. So the stream holds no key at all, however long it runs: older keys live in
+    the store, a key that returns keeps its first time, and late rows are harmless. Rows
+    without a key or a time are left out.
+    """
+    merge = upsert_seen(store, key, number)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        whole = batch.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+        merge(first_last_seen(whole, key, ts), batch_id)
+
+    return step
+
+
 def upsert_latest(store: str, key: str, number: int = buckets.BUCKETS):
     """Per-batch step in update mode: a row of the batch replaces the stored row of its key."""
 

@@ -85,3 +85,22 @@ def test_new_checkpoint_loses_nothing(spark, tmp_path):
     everything = {r[0] for b in batches() for r in b}
     assert {r["posting_id"] for r in read_store(spark, history).collect()} == everything
     assert {r["posting_id"] for r in spark.read.parquet(log).collect()} == everything
+
+
+def test_seen_keys_live_in_the_store(spark, tmp_path):
+    """The stream has no state; a key that returns, or comes late, keeps its first time."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("k string, at bigint")
+    step = streams.track_seen(f"{tmp_path}/seen", "k", "at", 4)
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = streams.run_available(streams.stream_parquet(spark, f"{tmp_path}/in", schema), f"{tmp_path}/cp", each=step)
+        assert query.lastProgress["stateOperators"] == []
+
+    run([(f"k{i}", i) for i in range(50)] + [("a", 7), ("a", 5), (None, 1), ("n", None)])
+    run([("a", 9), ("z", 1)])
+    run([("z", 0), ("a", 3)])
+    rows = {r["k"]: (r["first_seen"], r["last_seen"]) for r in read_store(spark, f"{tmp_path}/seen").collect()}
+    assert rows["a"] == (3, 9) and rows["z"] == (0, 1) and rows["k7"] == (7, 7) and len(rows) == 52
