@@ -13,6 +13,7 @@ from postingflow import config
 from postingflow.functions.columns import location_match
 from postingflow.operators.skew import rows_of_light_keys
 from postingflow.schema import KEY
+from postingflow.session import settle
 
 RARE_LIMIT = 3
 
@@ -102,6 +103,75 @@ def removal_impact(df: DataFrame, removed, words: str = "matched_titlewords") ->
     )
 
 
+EXACT_WORDS = 12
+
+
+def smallest_word_set(df: DataFrame, words: str = "matched_titlewords", exact: int = EXACT_WORDS) -> DataFrame:
+    """Words that are enough to find every posting some word found: ``pos``, ``word`` and
+    ``newly_found`` (postings found by none of the words before).
+
+    Postings are first reduced to their distinct word sets with counts. Up to ``exact`` words,
+    every subset is tried and the smallest taken; of equals, the one whose last word by name
+    comes first, then the last but one, and so on. Beyond, the words that some posting needs
+    alone come first, then each time the word that finds most of what is left: at most
+    1 + ln(m) times the
+    smallest number, where m is the largest number of distinct word sets that hold one word
+    (postings weigh equally there, so the most distinct sets decide). The words of a search
+    are a configured list: one small job each. Null and empty lists are found by no word.
+    """
+    sets = settle(
+        df.where(F.size(words) > 0).select(F.array_sort(F.array_distinct(F.array_compact(words))).alias("words"))
+        .where(F.size("words") > 0).groupBy("words").agg(F.count("*").alias("postings")),
+        "word_sets",
+    )
+    listed = [r["word"] for r in sets.select(F.explode("words").alias("word")).distinct().orderBy("word").collect()]
+    chosen = _fewest(sets, listed) if len(listed) <= exact else _greedy(sets)
+    return _in_order(sets, chosen)
+
+
+def _without(sets: DataFrame, chosen) -> DataFrame:
+    """The word sets that none of the chosen words finds."""
+    return sets.where(~F.arrays_overlap("words", F.array(*[F.lit(w) for w in chosen]))) if chosen else sets
+
+
+def _fewest(sets: DataFrame, listed: list[str]) -> list[str]:
+    """Of all subsets of a short list, the smallest that meets every word set."""
+    if not listed:
+        return []
+    bits = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(1 << i).alias("bit")) for i, w in enumerate(listed)])
+    held = F.filter(bits, lambda b: F.array_contains("words", b["word"]))
+    mask = F.aggregate(held, F.lit(0), lambda acc, b: acc + b["bit"])
+    masks = [r["mask"] for r in sets.select(mask.alias("mask")).distinct().collect()]  # 2**exact at most
+    needed = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
+    subsets = sets.sparkSession.range(1, 1 << len(listed)).where(F.forall(needed, lambda m: m.bitwiseAND(F.col("id")) != 0))
+    best = subsets.orderBy(F.bit_count("id"), "id").first()["id"]
+    return [w for i, w in enumerate(listed) if best >> i & 1]
+
+
+def _greedy(sets: DataFrame) -> list[str]:
+    alone = sets.where(F.size("words") == 1).select(F.get("words", F.lit(0)).alias("word"))
+    chosen = [r["word"] for r in alone.orderBy("word").collect()]
+    while best := _most_found(_without(sets, chosen), F.count("*")):
+        chosen.append(best)
+    return chosen
+
+
+def _most_found(sets: DataFrame, worth) -> str | None:
+    found = sets.select("postings", F.explode("words").alias("word")).groupBy("word").agg(worth.alias("worth"))
+    best = found.orderBy(F.desc("worth"), "word").first()
+    return best["word"] if best else None
+
+
+def _in_order(sets: DataFrame, chosen: list[str]) -> DataFrame:
+    """The chosen words by name, with the postings that the words before do not find."""
+    spark = sets.sparkSession
+    order = F.array(*[F.lit(w) for w in sorted(chosen)]) if chosen else F.array().cast("array<string>")
+    first = F.get(F.array_intersect(order, F.col("words")), F.lit(0))
+    found = sets.select(first.alias("word"), "postings").groupBy("word").agg(F.sum("postings").alias("newly_found"))
+    listed = spark.createDataFrame(list(enumerate(sorted(chosen))), "pos int, word string")
+    return listed.join(found, "word", "left").select("pos", "word", F.coalesce("newly_found", F.lit(0)).alias("newly_found"))
+
+
 def column_coverage(df: DataFrame, columns=None) -> DataFrame:
     """Per column: in any row, in all rows, and in how many; one pass over the table."""
     columns = [c for c in df.columns if columns is None or c in columns]

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postingflow import config
+from postingflow.functions import gramlang
 from postingflow.functions.once import explode_once, let
 from postingflow.functions.text import language, ngrams, nlp_units, word_count, words
+from postingflow.session import settle
 
 
 def default_stopwords() -> tuple[str, ...]:
@@ -85,6 +87,12 @@ def not_language(phrase: Column, code: str = "de") -> Column:
     return (F.length(phrase) > 2) & ~language(phrase).eqNullSafe(F.lit(code))
 
 
+def known_other_language(phrase: Column, model: gramlang.PhraseModel, code: str = "de", margin: int = 0) -> Column:
+    """Longer than two characters and detected as another language (undecided is dropped)."""
+    found = gramlang.phrase_language(phrase, model, margin)
+    return (F.length(phrase) > 2) & F.coalesce(found != code, F.lit(False))
+
+
 def phrase_counts(phrases: DataFrame, column: str = "phrases", min_count: int = 2) -> DataFrame:
     """Occurrences of each phrase over all documents, rarer ones left out."""
     return (
@@ -106,16 +114,56 @@ def mine_keywords(df: DataFrame, stopwords, text: str = "description", min_count
     return phrase_counts(df.select(phrases.alias("phrases")), min_count=min_count)
 
 
+def keyphrases(text: Column, stopwords) -> Column:
+    """The phrases of several words of a text that hold no stop word."""
+    kept = F.transform(words(text), lambda w: F.when(~w.isin(list(stopwords)), w))
+    return let(kept, lambda tokens: F.concat(ngrams(tokens, 2), ngrams(tokens, 3)))
+
+
 def mine_keyphrases(df: DataFrame, stopwords, text: str = "description", min_count: int = 2) -> DataFrame:
     """Counts of phrases of several words free of stop words.
 
     Stop words are blanked before phrases are built, so no phrase is made to be dropped.
     """
-    kept = F.transform(words(F.col(text)), lambda w: F.when(~w.isin(list(stopwords)), w))
-    phrases = let(kept, lambda tokens: F.concat(ngrams(tokens, 2), ngrams(tokens, 3)))
-    return phrase_counts(df.select(phrases.alias("phrases")), min_count=min_count)
+    return phrase_counts(df.select(keyphrases(F.col(text), stopwords).alias("phrases")), min_count=min_count)
 
 
 def top_phrases(counts: DataFrame, n: int = 15) -> DataFrame:
     """The ``n`` most frequent phrases; ties in alphabetical order."""
     return counts.orderBy(F.desc("n"), "phrase").limit(n)
+
+
+def bucket_of(phrase: Column, bits: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), phrase), F.lit(1 << bits))
+
+
+def frequent_phrases(
+    phrases: DataFrame, n: int = 15, column: str = "phrases", min_count: int = 2, bits: int = 16, seed: int = 7,
+) -> DataFrame:
+    """The ``n`` most frequent phrases (ties in alphabetical order) without shuffling every phrase.
+
+    Phrases are first counted by hash bucket, so a task sends at most 2**bits counters. The
+    phrases of the fullest buckets, counted exactly, tell how often the ``n``-th phrase occurs
+    at least; a bucket whose total is lower holds no phrase of the result. The phrases of the
+    others are counted exactly, so the result is that of counting all, for every ``bits`` and
+    ``seed``. The texts are read three times, or two if the first buckets were enough; that
+    pays where distinct phrases are many. Null phrases do not count; no phrases, no rows.
+    Buckets (2**bits at most) are broadcast.
+    """
+    each = explode_once(phrases, F.col(column), "phrase").withColumn("_bucket", bucket_of(F.col("phrase"), bits, seed))
+    totals = settle(each.groupBy("_bucket").agg(F.count("*").alias("_total")), "buckets")
+
+    def counted(buckets: DataFrame) -> DataFrame:
+        held = each.join(F.broadcast(buckets.select("_bucket")), "_bucket", "left_semi")
+        found = held.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+        return settle(top_phrases(found, n), "counted")
+
+    fullest = totals.orderBy(F.desc("_total"), "_bucket").limit(4 * n)
+    first = settle(fullest, "fullest")
+    best = counted(first)
+    known = best.agg(F.count("*").alias("rows"), F.min("n").alias("least")).first()
+    least = known["least"] if known["rows"] == n else min_count
+    more = totals.where(F.col("_total") >= least).join(F.broadcast(first), "_bucket", "left_anti")
+    if more.isEmpty():
+        return top_phrases(best, n)
+    return top_phrases(best.unionByName(counted(more)), n)

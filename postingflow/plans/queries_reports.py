@@ -107,6 +107,23 @@ def a11(spark, sf):
     return coverage.removal_impact(postings(spark, sf), ("data engineer", "biotech"))
 
 
+_MASKS = (
+    "ws AS (SELECT list_sort(list_distinct(matched_titlewords)) AS ws, count(*) AS n FROM postings WHERE len(matched_titlewords) > 0 GROUP BY 1), "
+    "vocabulary AS (SELECT list_sort(list_distinct(flatten(list(ws)))) AS v FROM ws), "
+    "masks AS (SELECT ws, n, CAST(list_sum(list_transform(ws, lambda w: 1 << (list_position(v, w) - 1))) AS BIGINT) AS m FROM ws, vocabulary), "
+    "subset AS (SELECT s FROM vocabulary, range(1, 1 << 12) AS r(s) WHERE s < (1 << len(v)) AND NOT EXISTS (SELECT 1 FROM masks WHERE (m & s) = 0) ORDER BY bit_count(s), s LIMIT 1), "
+    "kept AS (SELECT list_filter(v, lambda w: ((s >> (list_position(v, w) - 1)) & 1) = 1) AS k FROM vocabulary, subset)"
+)
+
+
+@query("a11_smallest_word_set", over_postings(
+    "SELECT CAST(p AS INT) AS pos, k[p + 1] AS word, CAST(coalesce((SELECT sum(n) FROM ws WHERE list_contains(ws, k[p + 1]) AND len(list_intersect(ws, k[1:p])) = 0), 0) AS BIGINT) AS newly_found "
+    "FROM (SELECT k, unnest(range(len(k))) AS p FROM kept)", _MASKS))
+def a11_smallest(spark, sf):
+    """Which words a search needs; all others can go."""
+    return coverage.smallest_word_set(postings(spark, sf))
+
+
 @query("a14_run_counts", over_snapshots(
     "SELECT 'results' AS part, count(*) AS postings FROM newest UNION ALL SELECT 'added', count(*) FROM newest WHERE posting_id NOT IN (SELECT posting_id FROM previous) "
     "UNION ALL SELECT 'removed', count(*) FROM previous WHERE posting_id NOT IN (SELECT posting_id FROM newest)"))

@@ -122,6 +122,22 @@ def s5(spark, sf):
     return store.nth_snapshot(rows, 2).select("posting_id", "snapshot_id")
 
 
+_THIRD = (
+    "SELECT posting_id, snapshot_id FROM (SELECT *, dense_rank() OVER (ORDER BY snapshot_id DESC) AS r FROM "
+    "(SELECT *, 'postings_' || CAST(collected_on AS VARCHAR) AS snapshot_id FROM postings)) WHERE r = 3"
+)
+
+
+@query("s5_pick_partition", over_postings(_THIRD))
+def s5_partition(spark, sf):
+    """Snapshots in folders by name: the names come from the listing, one folder is read."""
+    path = scratch_dir(spark, "partitions")
+    name = F.concat(F.lit("postings_"), F.col("collected_on").cast("string"))
+    rows = postings(spark, sf).select("posting_id", name.alias("snapshot_id"))
+    store.write_snapshot(rows, path, ("snapshot_id",))
+    return store.read_nth_partition(spark, path, "snapshot_id", 2).select("posting_id", "snapshot_id")
+
+
 @query("w4_latest_snapshot", over_snapshots("SELECT posting_id, ord FROM snapshots WHERE ord = (SELECT max(ord) FROM snapshots)"))
 def w4(spark, sf):
     return store.nth_snapshot(snapshot_rows(spark, sf), 0, "ord").select("posting_id", "ord")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postingflow import config
 from postingflow.config import Profile
 from postingflow.functions import salary as S
-from postingflow.functions import scoring
+from postingflow.functions import gramlang, scoring
 from postingflow.functions.text import find_keywords, language
 from postingflow.operators import enrich, filters, phrases
 from postingflow.plans import sqltext as Q
@@ -360,6 +360,58 @@ def a12(spark, sf):
     return phrases.top_phrases(phrases.mine_keyphrases(postings(spark, sf), STOPWORDS), 15)
 
 
+@query("a12_frequent_phrases", over_postings(
+    f"SELECT * FROM ({_KEYPHRASE_COUNTS}) ORDER BY n DESC, phrase LIMIT 15", _TOKENS))
+def a12_frequent(spark, sf):
+    """The same by hash buckets: no shuffle of every phrase."""
+    found = postings(spark, sf).select(phrases.keyphrases(F.col("description"), STOPWORDS).alias("phrases"))
+    return phrases.frequent_phrases(found, 15)
+
+
+def _slots_sql(word: str) -> str:
+    code = "unicode(substr(' ' || {w} || ' ', i + {k}, 1))"
+    a, b, c = (code.format(w=word, k=k) for k in range(3))
+    return f"list_transform(range(1, length({word}) + 1), lambda i: (({a} * {gramlang.BASE} + {b}) * {gramlang.BASE} + {c}) % {gramlang.SLOTS})"
+
+
+def _language_ctes(phrases_sql: str) -> str:
+    """The language of distinct phrases, by trigram counts of all labelled documents."""
+    weight = f"CAST(round(ln(({{n}} + 1) / (total + {gramlang.SLOTS}.0)) * 1000) AS BIGINT)"
+    return (
+        f"lw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({Q.token_list('text')}) AS word FROM documents WHERE lang IS NOT NULL) GROUP BY ALL), "
+        f"lg AS (SELECT lang, slot, sum(n) AS n FROM (SELECT lang, n, unnest({_slots_sql('word')}) AS slot FROM lw) GROUP BY ALL), "
+        "lt AS (SELECT lang, sum(n) AS total FROM lg GROUP BY lang), "
+        f"ph AS (SELECT DISTINCT phrase FROM ({phrases_sql})), "
+        f"pw AS (SELECT phrase, unnest({Q.token_list('phrase')}) AS word FROM ph), "
+        f"ps AS (SELECT phrase, slot, count(*) AS times FROM (SELECT phrase, unnest({_slots_sql('word')}) AS slot FROM pw) GROUP BY ALL), "
+        f"pc AS (SELECT phrase, lt.lang, sum(times * -{weight.format(n='coalesce(lg.n, 0)')}) AS cost FROM ps, lt "
+        "LEFT JOIN lg ON lg.lang = lt.lang AND lg.slot = ps.slot GROUP BY ALL), "
+        "pl AS (SELECT phrase, lang FROM pc QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY cost, lang) = 1)"
+    )
+
+
+def _phrase_model(spark, sf):
+    return gramlang.train(table(spark, sf, "documents"))
+
+
+@query("t7_phrase_language", over_postings(
+    "SELECT ph.phrase, lang FROM ph LEFT JOIN pl ON ph.phrase = pl.phrase", f"{_TOKENS}, {_language_ctes(_KEYPHRASE_COUNTS)}"))
+def t7_phrases(spark, sf):
+    """Short phrases, where the word lists mostly know no word."""
+    mined = phrases.mine_keyphrases(postings(spark, sf), STOPWORDS)
+    return mined.select("phrase", gramlang.phrase_language(F.col("phrase"), _phrase_model(spark, sf)).alias("lang"))
+
+
+_SENTENCES = "SELECT unnest(string_split(text, '. ')) AS phrase FROM documents"
+
+
+@query("f14_known_other_language",
+       f"WITH {_language_ctes(_SENTENCES)} SELECT phrase FROM pl WHERE length(phrase) > 2 AND lang <> 'de'")
+def f14_known(spark, sf):
+    sentences = spread(table(spark, sf, "documents")).select(F.explode(F.split("text", r"\. ")).alias("phrase"))
+    return sentences.where(phrases.known_other_language(F.col("phrase"), _phrase_model(spark, sf), "de")).distinct()
+
+
 @query("o3_top_n", over_postings(
     f"SELECT * FROM ({_KEYWORD_COUNTS}) ORDER BY n DESC, phrase LIMIT 15", _TOKENS))
 def o3(spark, sf):

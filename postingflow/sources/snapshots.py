@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -120,6 +121,42 @@ def nth_snapshot(df: DataFrame, n: int = 0, column: str = "snapshot_id", ascendi
     return df.join(F.broadcast(chosen), column, "left_semi")
 
 
+def list_files(spark: SparkSession, path: str, nested: bool = False, glob: str = "*.json") -> DataFrame:
+    """Path, time and size of the files of a folder, and its partition columns; no file is opened."""
+    reader = _folder_options(spark.read.format("binaryFile"), nested, None, glob)
+    return reader.load(path).drop("content")
+
+
+def nth_name(names: DataFrame, n: int = 0, ascending: bool = False) -> str | None:
+    """The n-th of a column of names (0 = last by name, or first); None when out of range."""
+    column = names.columns[0]
+    top = names.distinct().orderBy(F.asc(column) if ascending else F.desc(column)).limit(n + 1).collect()
+    return top[n][0] if len(top) == n + 1 else None
+
+
+def read_nth_file(
+    spark: SparkSession, path: str, n: int = 0, ascending: bool = False, glob: str = "*.json", **options
+) -> DataFrame | None:
+    """The n-th snapshot file of a folder by name; only that file is read. None when out of range."""
+    files = list_files(spark, path, glob=glob)
+    name = nth_name(files.select("path"), n, ascending)
+    # The name is used as it is: a glob character in it must not match other files.
+    return None if name is None else read_snapshots(spark, re.sub(r"([\\*?\[\]{}])", r"\\\1", name), glob="*", **options)
+
+
+def read_nth_partition(spark: SparkSession, path: str, column: str, n: int = 0, ascending: bool = False) -> DataFrame:
+    """The n-th partition by name of a table written by ``column``; no rows when out of range.
+
+    Names come from the listing of folders. The scan gets a literal partition filter, so it
+    opens the files of one partition.
+    """
+    names = list_files(spark, path, glob="*").select(F.col(column).cast("string"))
+    name = nth_name(names, n, ascending)
+    rows = spark.read.parquet(path)
+    wanted = F.lit(name).cast(rows.schema[column].dataType)
+    return rows.where(F.lit(False) if name is None else F.col(column) == wanted)
+
+
 def write_snapshot(df: DataFrame, path: str, partition_by=("profile", "snapshot_date"), fmt: str = "parquet", mode: str = "append") -> None:
     """Write postings partitioned by profile and date where those columns exist.
 

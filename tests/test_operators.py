@@ -1,9 +1,12 @@
 """Merges, differences, skew, reports and coverage on small fixtures."""
 
 import datetime as dt
+import itertools
+import math
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from postingflow import config
@@ -251,3 +254,34 @@ def test_daily_run(spark, tmp_path):
     read = lambda name: {r["posting_id"]: r for r in read_store(spark, f"{root}/{name}").collect()}
     assert set(read("history")) == set(read("current")) == {"new", "old", "low", "undated"}
     assert read("newly_added") == {} and read("current")["low"]["timespan_days"] == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_smallest_word_set_by_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i:02}" for i in range(9)]
+    rows = [sorted(rnd.sample(vocabulary, rnd.randint(1, 4))) for _ in range(25)] + [None, [], [None]]
+    rows += rows[:7] * 3
+    df = settle(spark.createDataFrame([(r,) for r in rows], "matched_titlewords array<string>"), "test")
+    sets = [{w for w in r if w} for r in rows if r and any(r)]
+    used = sorted(set().union(*sets))
+    enough = [c for k in range(len(used) + 1) for c in itertools.combinations(used, k) if all(s & set(c) for s in sets)]
+    least = min(map(len, enough))
+    best = min((c for c in enough if len(c) == least), key=lambda c: tuple(reversed(c)))
+    got = coverage.smallest_word_set(df).orderBy("pos").collect()
+    assert tuple(r["word"] for r in got) == best
+    left = list(sets)
+    for r in got:
+        assert r["newly_found"] == sum(r["word"] in s for s in left)
+        left = [s for s in left if r["word"] not in s]
+    assert not left
+    greedy = [r["word"] for r in coverage.smallest_word_set(df, exact=0).collect()]
+    assert all(s & set(greedy) for s in sets)
+    distinct = {frozenset(s) for s in sets}
+    most = max(sum(w in s for s in distinct) for w in used)
+    assert least <= len(greedy) <= least * (1 + math.log(most))
+
+
+def test_smallest_word_set_of_nothing(spark):
+    empty = spark.createDataFrame([(None,), ([],)], "matched_titlewords array<string>")
+    assert coverage.smallest_word_set(empty).isEmpty() and coverage.smallest_word_set(empty, exact=0).isEmpty()

@@ -194,3 +194,31 @@ def test_html_of_unclosed_tags_takes_linear_time():
 
     seconds(500)
     assert seconds(16000) < 16 * max(seconds(2000), 0.02)
+
+
+def _snapshots_in(root, names):
+    for i, name in enumerate(names):
+        (root / name).write_text(json.dumps({f"p{i}": {"title": f"t{i}"}}, indent=4))
+
+
+def test_nth_file_is_found_by_name_and_read_alone(spark, tmp_path):
+    _snapshots_in(tmp_path, ["postings_2024-01-01.json", "postings_2024-03-01.json", "postings_2024-02-[1].json", "other.txt"])
+    (tmp_path / "broken_2023.json").write_text("not json")  # would fail a scan that read it
+    pick = lambda n, **k: snapshots.read_nth_file(spark, str(tmp_path), n, **k)
+    assert [pick(n).first()["title"] for n in (0, 1, 2)] == ["t1", "t2", "t0"]
+    assert pick(1, ascending=True).first()["title"] == "t0"
+    assert pick(4) is None
+    assert snapshots.list_files(spark, str(tmp_path)).columns == ["path", "modificationTime", "length"]
+
+
+def test_nth_partition_has_a_literal_filter(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = spark.createDataFrame([(i, f"s_{i % 4}") for i in range(40)], "id int, name string")
+    snapshots.write_snapshot(rows, path, ("name",))
+    df = snapshots.read_nth_partition(spark, path, "name", 1)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(name" in plan and "Join" not in plan
+    assert {r["name"] for r in df.collect()} == {"s_2"}
+    read = {f for f, in df.select("_metadata.file_path").distinct().collect()}
+    assert read and all("name=s_2" in f for f in read)
+    assert snapshots.read_nth_partition(spark, path, "name", 9).isEmpty()
