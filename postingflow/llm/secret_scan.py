@@ -60,13 +60,16 @@ ALPHABETS = (
     Alphabet("entropy_hex", DIGITS + "ABCDEFabcdef", 24, 3.0, ("[0-9]", "[A-Fa-f]")),
     Alphabet("entropy_base64", DIGITS + LETTERS.upper() + LETTERS + "+/_=-", 24, 4.0, ("[0-9]", "[A-Z]", "[a-z]")),
 )
-# Strings that look random and are public by purpose.
+# Runs that look random and are public by purpose, and the words of examples: a window that
+# touches such a word does not count, the rest of its run does.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|sample|placeholder|changeme|dummy|redacted",
-    r"(?i)0123456789abcdef|abcdefghijklmnop",
     r"^sha(256|384|512)-",
 )
+ALLOWED_WORDS = (
+    r"(?i:example|sample|placeholder|changeme|dummy|redacted)",
+    r"(?i:0123456789abcdef|abcdefghijklmnop)",
+)
 
 
 def weight(count: int) -> int:
@@ -192,7 +195,22 @@ def random_parts(run: Column, alphabet: Alphabet) -> Column:
     return let(codes, walk)
 
 
-def entropy_spans(text: Column, alphabet: Alphabet, rank: int, allowed=ALLOWED) -> Column:
+def between(run: Column, regex: str) -> Column:
+    """The parts of a run between the leftmost non-overlapping matches: array of (start, run)."""
+    kind = "array<struct<start:int,run:string>>"
+
+    def walked(found):
+        # One gap more than hits: the last gap has no hit after it.
+        lengths = F.zip_with(found["gaps"], found["hits"], lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+        ends = F.zip_with(running(lengths), found["hits"], lambda end, h: end - F.coalesce(F.length(h), F.lit(0)))
+        return F.zip_with(ends, found["gaps"], lambda end, g: F.struct((end - F.length(g)).alias("start"), g.alias("run"))).cast(kind)
+
+    found = F.struct(F.regexp_extract_all(run, F.lit(regex), F.lit(0)).alias("hits"), F.split(run, regex, -1).alias("gaps"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), run.alias("run"))).cast(kind)
+    return F.when(run.rlike(regex), let(found, walked)).otherwise(whole)
+
+
+def entropy_spans(text: Column, alphabet: Alphabet, rank: int, allowed=ALLOWED, words=ALLOWED_WORDS) -> Column:
     def candidate(x):
         wanted = F.lit(True)
         for need in alphabet.needs:
@@ -201,13 +219,22 @@ def entropy_spans(text: Column, alphabet: Alphabet, rank: int, allowed=ALLOWED)
             wanted = wanted & ~x["hit"].rlike(known)
         return wanted
 
+    def parts(x):
+        if not words:
+            return F.array(F.struct(x["start"].alias("start"), x["hit"].alias("run")))
+        return F.transform(
+            between(x["hit"], "|".join(words)),
+            lambda p: F.struct((x["start"] + p["start"]).alias("start"), p["run"].alias("run")),
+        )
+
     def shifted(x):
         return F.transform(
-            random_parts(x["hit"], alphabet),
+            random_parts(x["run"], alphabet),
             lambda p: _span(rank, alphabet.kind, x["start"] + p["start"], x["start"] + p["end"]),
         )
 
-    return F.flatten(F.transform(F.filter(placed(text, alphabet.regex), candidate), shifted))
+    runs = F.flatten(F.transform(F.filter(placed(text, alphabet.regex), candidate), parts))
+    return F.flatten(F.transform(F.filter(runs, lambda x: F.length(x["run"]) >= alphabet.window), shifted))
 
 
 def joined(spans: Column) -> Column:
@@ -215,18 +242,21 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan_secrets(df: DataFrame, text: str = "text", patterns=PATTERNS, alphabets=ALPHABETS, allowed=ALLOWED) -> DataFrame:
+def scan_secrets(
+    df: DataFrame, text: str = "text", patterns=PATTERNS, alphabets=ALPHABETS, allowed=ALLOWED,
+    words=ALLOWED_WORDS,
+) -> DataFrame:
     """Add ``base`` and ``found``: spans (start, rank, kind, end) in code points, end exclusive.
 
     ``base`` are the matches of the fixed patterns. ``found`` adds the random-looking parts
-    of candidate runs that no base span contains; allow-listed runs are left out. Null and
-    empty texts have no spans; input columns of these two names are replaced. Rows are
+    of candidate runs that no base span contains; allow-listed runs are left out, and so are
+    windows that touch an allow-listed word. Null and empty texts have no spans; input columns of these two names are replaced. Rows are
     looked at one by one, so ties, repeats and empty tables need no rule.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("base", "found")])
     whole = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*[pattern_spans(whole, p, i) for i, p in enumerate(patterns)])
-    more = F.concat(*[entropy_spans(whole, a, len(patterns) + i, allowed) for i, a in enumerate(alphabets)])
+    more = F.concat(*[entropy_spans(whole, a, len(patterns) + i, allowed, words) for i, a in enumerate(alphabets)])
     extra = fresh(df, "extra")
     spans = materialize(df, {"base": base, extra: more})
     outside = F.filter(

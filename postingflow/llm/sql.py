@@ -22,12 +22,17 @@ def _placed(name: str, regex: str, options: str = "") -> str:
 
 def _entropy(name: str, rank: int, window: int, limit: int, needs: list[str]) -> str:
     """Random windows of candidate runs, recounted for each window, merged where they touch."""
-    from postingflow.llm.secret_scan import ALLOWED, weight
+    from postingflow.llm.secret_scan import ALLOWED, ALLOWED_WORDS, weight
 
     weights = ", ".join(str(weight(c)) for c in range(window + 1))
     wanted = " AND ".join([f"regexp_matches(hit, '{n}')" for n in needs] + [f"NOT regexp_matches(hit, '{a}')" for a in ALLOWED])
+    public = "|".join(ALLOWED_WORDS)
     return f"""
-{name}_w AS (SELECT doc_id, s, hit, unnest(range(0, length(hit) - {window} + 1)) AS i FROM {name}_c WHERE {wanted}),
+{name}_a AS (SELECT doc_id, s, regexp_split_to_array(hit, '{public}') AS gaps, regexp_extract_all(hit, '{public}', 0) AS hits FROM {name}_c WHERE {wanted}),
+{name}_b AS (SELECT *, unnest(gaps) AS gap, unnest(range(1, len(gaps) + 1)) AS k FROM {name}_a),
+{name}_q AS (SELECT doc_id, gap AS hit, CAST(s + coalesce(list_sum(list_transform(gaps[1:k-1], lambda x: length(x))), 0)
+    + coalesce(list_sum(list_transform(hits[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS s FROM {name}_b),
+{name}_w AS (SELECT doc_id, s, hit, unnest(range(0, length(hit) - {window} + 1)) AS i FROM {name}_q),
 {name}_s AS (SELECT doc_id, s, i, string_split(substr(hit, CAST(i + 1 AS BIGINT), {window}), '') AS cs FROM {name}_w),
 {name}_h AS (SELECT doc_id, s, i FROM {name}_s WHERE list_sum(list_transform(list_distinct(cs),
     lambda c: [{weights}][len(list_filter(cs, lambda x: x = c)) + 1])) <= {limit}),

@@ -24,9 +24,12 @@ def entropy_spans(text, rank, a, base):
         run = m[0]
         if any(re.search(k, run) for k in S.ALLOWED) or not all(re.search(n, run) for n in a.needs):
             continue
+        public = [k.span() for k in re.finditer("|".join(S.ALLOWED_WORDS), run)]
         merged = []
         for i in range(len(run) - a.window + 1):
             window = run[i : i + a.window]
+            if any(s < i + a.window and e > i for s, e in public):
+                continue
             if sum(S.weight(window.count(c)) for c in set(window)) <= a.limit:
                 h = -sum(window.count(c) / a.window * math.log2(window.count(c) / a.window) for c in set(window))
                 assert h >= a.bits - 1e-4
@@ -44,8 +47,9 @@ def texts():
     b64 = lambda n: "".join(rnd.choice(S.ALPHABETS[1].characters[:62]) for _ in range(n))
     out = [None, "", "é TOKEN = 'abcdefgh1'", "token=secret: abcdefgh123", "token == x", "AKIAAKIA" + "B" * 10, "AKIA", hexs(31), "é" + hexs(32) + "g" + hexs(64)]
     out += ["api_key:" + b64(30), b64(60), "a" * 50 + b64(30) + "a" * 60 + b64(30), "123e4567-e89b-12d3-a456-426614174000", "X" + b64(20) + "example" + b64(20)]
+    out += [b64(40) + "example" + b64(40), "docs/examples/" + b64(44), b64(30) + "SAMPLEdummy" + b64(30) + "Example", "sha256-" + b64(43)]
     bits = ["password", "Secret", "apikey", ":", "=", " ", "'", '"', "AKIA", "é", "\n", "-", "."]
-    out += ["".join(rnd.choice([*bits, hexs(9), b64(12), hexs(40).upper(), b64(40)]) for _ in range(rnd.randint(1, 14))) for _ in range(250)]
+    out += ["".join(rnd.choice([*bits, hexs(9), b64(12), hexs(40).upper(), b64(40), "example", "0123456789abcdef"]) for _ in range(rnd.randint(1, 14))) for _ in range(250)]
     return [*out, "x " * 20000 + "token=" + b64(20), b64(3000)]
 
 
@@ -64,6 +68,14 @@ def test_spans_against_brute_force(spark):
     assert more > 50
 
 
+def test_words_of_examples_hide_only_the_windows_that_touch_them(spark):
+    secret = "q7Zp0XvK2mWc9RtB4sLh8NdYf1GjTe6UaQo3Iw5EyPz"
+    df = stored(spark, [(1, secret), (2, "docs/examples/" + secret), (3, "sha256-" + secret)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["found"] for r in S.scan_secrets(df).collect()}
+    assert len(got[1]) == 1 and len(got[2]) == 1 and not got[3]
+    assert got[2][0]["start"] >= 12 and got[2][0]["end"] == 14 + len(secret)
+
+
 def test_many_candidates_take_linear_time(spark):
     import time
 
