@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from postingflow.llm import queries
+from postingflow.llm import queries, toxicity
 from postingflow.session import settle
+from tests.llm.helpers import CLASH, SCHEMA, odd_documents, with_clashes
 from tests.llm.test_exact_dedup import lowered
 from tests.llm.test_simhash import fingerprint, roots
 
@@ -81,5 +82,36 @@ def test_run_gives_the_last_stage(spark, tables):
 
 def test_names():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) or sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    """Documents with nulls, repeats and clashing names, and labels without some rows."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame(with_clashes(odd_documents()), SCHEMA + CLASH).write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1, i % 2) for i in range(40)] + [(None, None, None), (1, None, 1)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_clean_keeps_odd_rows(spark, odd_folder):
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    model = queries.toxic_model(docs, queries.read(spark, odd_folder, "labels"))
+    scores = toxicity.score(docs.select("doc_id", "text"), model)
+    want = sorted(str(r["doc_id"]) for r in scores.where("predicted = 0").collect())
+    kept = corpus_pipeline.clean(spark, docs, odd_folder)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
+    assert corpus_pipeline.clean(spark, docs.limit(0), odd_folder).isEmpty()
+
+
+def test_run_over_odd_rows_and_empty_tables(spark, odd_folder, tmp_path):
+    got = corpus_pipeline.run(spark, odd_folder)
+    rows = got.collect()
+    assert rows and all(r["length"] > 0 for r in rows)
+    for name in ("documents", "labels"):
+        queries.read(spark, odd_folder, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    empty = corpus_pipeline.run(spark, str(tmp_path))
+    assert empty.columns == got.columns and empty.isEmpty()
