@@ -15,6 +15,7 @@ from postingflow.plans import sqltext as Q
 from postingflow.plans.registry import query
 from postingflow.plans.views import joined, over_postings, postings, snapshot_rows, over_snapshots, table
 from postingflow.session import spread
+from postingflow.sources.snapshots import key_coverage, parse_snapshot
 
 AS_OF = dt.date(2024, 2, 15)
 PRIMARY = ("wien", "vienna", "berlin")
@@ -38,6 +39,20 @@ def p2(spark, sf):
     return coverage.column_coverage(postings(spark, sf), ("title", "company", "salary", "points"))
 
 
+_OTHERS = {"lang_label": "lang_label", "team": "CASE WHEN doc_id % 3 = 0 THEN source END", "grade": "CASE WHEN doc_id % 5 < 2 THEN doc_id % 4 END"}
+
+
+@query("p2_keys_of_rows", over_postings(
+    "SELECT c AS column_name, n AS present, n > 0 AS in_any, n = total AS in_all FROM (SELECT count(*) AS total, "
+    f"unnest({list(_OTHERS)}) AS c, unnest([{', '.join(f'count({e})' for e in _OTHERS.values())}]) AS n FROM postings) WHERE n > 0"))
+def p2_keys(spark, sf):
+    """Keys that no schema names, from the snapshot's own rows."""
+    rows = postings(spark, sf).withColumns({name: F.expr(sql) for name, sql in _OTHERS.items()})
+    value = F.to_json(F.struct("title", "company", "salary", "points", *_OTHERS))
+    chunks = rows.select(F.concat(F.lit('{"'), "posting_id", F.lit('": '), value, F.lit("}")).alias("value"))
+    return key_coverage(parse_snapshot(chunks, others="others"), "others")
+
+
 def _hit_sql(word="x"):
     return " OR ".join(f"contains(lower({word}), '{p}')" for p in PRIMARY)
 

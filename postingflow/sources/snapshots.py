@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postingflow.functions.once import explode_once
+from postingflow.functions.columns import word_array
+from postingflow.functions.once import explode_once, materialize
 from postingflow.schema import KEY, SNAPSHOT_VALUE, conform, empty_postings
+from postingflow.session import settle
 from postingflow.sources import buckets
 
 
@@ -24,8 +26,15 @@ def record_end(indent: int, newline: str = "\n") -> str:
     return newline + " " * indent + "}," + newline
 
 
-def parse_snapshot(chunks: DataFrame, value: str = "value", schema: T.StructType = SNAPSHOT_VALUE) -> DataFrame:
-    """Postings from JSON objects ``{posting_id: posting}``, whole or cut at record ends."""
+def parse_snapshot(
+    chunks: DataFrame, value: str = "value", schema: T.StructType = SNAPSHOT_VALUE, others: str | None = None
+) -> DataFrame:
+    """Postings from JSON objects ``{posting_id: posting}``, whole or cut at record ends.
+
+    ``others`` names a column ``map<string, variant>`` for each posting's fields outside the
+    schema, as they stand in the file (an empty map where there are none); without it they
+    are left out.
+    """
     text = F.rtrim(F.replace(F.col(value), F.lit("\r\n"), F.lit("\n")))
     opened = F.startswith(text, F.lit("{"))
     # Only the end of the file holds an unindented brace; a file on one line is complete.
@@ -36,7 +45,7 @@ def parse_snapshot(chunks: DataFrame, value: str = "value", schema: T.StructType
         F.when(closed, F.lit("")).otherwise(F.lit("}}")),
     )
     parsed = chunks.where(text != "").withColumn("_body", body).withColumn(
-        "_map", F.from_json("_body", T.MapType(T.StringType(), schema))
+        "_map", F.from_json("_body", T.MapType(T.StringType(), T.VariantType() if others else schema))
     )
     checked = F.when(
         F.col("_map").isNull(),
@@ -44,18 +53,59 @@ def parse_snapshot(chunks: DataFrame, value: str = "value", schema: T.StructType
     ).otherwise(F.col("_map"))
     rest = [c for c in chunks.columns if c != value]
     rows = parsed.select(*rest, F.explode_outer(checked).alias(KEY, "_v"))
-    return rows.where(F.col(KEY).isNotNull()).select(KEY, "_v.*", *rest)
+    rows = rows.where(F.col(KEY).isNotNull())
+    if not others:
+        return rows.select(KEY, "_v.*", *rest)
+    known = word_array(schema.fieldNames())
+    fields = F.coalesce(_fields(F.col("_v")), F.create_map().cast("map<string,variant>"))
+    split = materialize(rows, {
+        "_v": F.from_json(F.to_json("_v"), schema), others: F.map_filter(fields, lambda k, _: ~F.array_contains(known, k)),
+    })
+    return split.select(KEY, "_v.*", others, *rest)
+
+
+def _fields(value: Column) -> Column:
+    """The fields of a variant object; NULL for any other value."""
+    return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value.cast("map<string,variant>"))
+
+
+def key_coverage(df: DataFrame, column: str) -> DataFrame:
+    """The keys that the rows' own maps or variant objects hold: ``column_name``, ``present``
+    (rows with the key and a value), and whether it is in any row and in all of them.
+
+    Keys come from the data, not from a schema. A row without fields counts as a row, so then
+    no key is in all; a key whose value is null everywhere is listed and in none.
+    """
+    fields = _fields(F.col(column)) if isinstance(df.schema[column].dataType, T.VariantType) else F.col(column)
+    is_variant = isinstance(df.select(fields.alias("f")).schema["f"].dataType.valueType, T.VariantType)
+
+    def pair(entry):
+        value = entry["value"]
+        filled = value.isNotNull() & ~F.is_variant_null(value) if is_variant else value.isNotNull()
+        return F.struct(entry["key"].alias("column_name"), filled.alias("filled"))
+
+    # Each row also counts under the null key, which no field has: one pass gives both counts.
+    row = F.array(F.struct(F.lit(None).cast("string").alias("column_name"), F.lit(True).alias("filled")))
+    pairs = F.concat(row, F.coalesce(F.transform(F.map_entries(fields), pair), F.slice(row, 1, 0)))
+    each = df.select(F.inline(pairs))
+    counts = settle(each.groupBy("column_name").agg(F.count_if("filled").alias("present")), "keys")
+    total = counts.where("column_name IS NULL").first()
+    return counts.where("column_name IS NOT NULL").select(
+        "column_name", "present", (F.col("present") > 0).alias("in_any"),
+        (F.col("present") == F.lit(total["present"] if total else 0)).alias("in_all"),
+    )
 
 
 def read_snapshots(
     spark: SparkSession, paths, nested: bool = False, modified_after: str | None = None, indent: int = 4,
-    glob: str = "*.json", newline: str = "\n",
+    glob: str = "*.json", newline: str = "\n", others: str | None = None,
 ) -> DataFrame:
     """All postings of snapshot files or folders, with ``snapshot_file`` and its time.
 
     ``indent`` and ``newline`` are those of the files (files on one line need none; files
     written on Windows have ``\\r\\n``); text that does not fit fails the job instead of losing
-    postings, and a file with other line ends is read whole, in one task.
+    postings, and a file with other line ends is read whole, in one task. ``others`` names a
+    column for fields outside the schema (see ``parse_snapshot``).
     """
     reader = spark.read.option("lineSep", record_end(indent, newline))
     chunks = _folder_options(reader, nested, modified_after, glob).text(paths)
@@ -64,7 +114,7 @@ def read_snapshots(
         F.col("_metadata.file_path").alias("snapshot_file"),
         F.col("_metadata.file_modification_time").alias("snapshot_time"),
     )
-    return parse_snapshot(with_file)
+    return parse_snapshot(with_file, others=others)
 
 
 def _folder_options(reader, nested: bool, modified_after: str | None, glob: str):

@@ -21,7 +21,7 @@ def con():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     ok, note, _ = compare(spark, con, SF, name, QUERIES, ORACLES)
-    assert ok, note
+    assert ok or (ok is None and name not in ORACLES), note
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("z", "g0", "g3", "g8", "g9", "g10", "r5", "r6", "s2", "s7", "s8", "s14"))])

@@ -222,3 +222,34 @@ def test_nth_partition_has_a_literal_filter(spark, tmp_path):
     read = {f for f, in df.select("_metadata.file_path").distinct().collect()}
     assert read and all("name=s_2" in f for f in read)
     assert snapshots.read_nth_partition(spark, path, "name", 9).isEmpty()
+
+
+def test_fields_outside_the_schema_survive(spark, tmp_path):
+    posts = {
+        "a": {"title": "t", "points": 2.5, "locations": ["Wien"], "team": "x", "deep": {"n": [1, {"k": "v}"}]}, "gone": None},
+        "b": {"title": "u", "team": 7}, "c": {}, "d": None,
+    }
+    for name, indent in (("one_line.json", None), ("indented.json", 4)):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / name).write_text(json.dumps(posts, indent=indent))
+        rows = snapshots.read_snapshots(spark, str(folder), others="others")
+        plain = snapshots.read_snapshots(spark, str(folder))
+        assert rows.drop("others").columns == plain.columns
+        assert sorted(map(str, rows.drop("others").collect())) == sorted(map(str, plain.collect()))
+        path = str(tmp_path / f"{name}_stored")
+        snapshots.write_snapshot(rows, path)
+        back = spark.read.parquet(path)
+        got = {r["posting_id"]: r["o"] for r in back.selectExpr("posting_id", "to_json(others) AS o").collect()}
+        assert json.loads(got["a"]) == {k: v for k, v in posts["a"].items() if k in ("team", "deep", "gone")}
+        assert json.loads(got["b"]) == {"team": 7} and got["c"] == got["d"] == "{}"
+        deep = back.where("posting_id = 'a'").selectExpr("variant_get(others['deep'], '$.n[1].k', 'string')").first()[0]
+        assert deep == "v}"
+        keys = {r["column_name"]: tuple(r)[1:] for r in snapshots.key_coverage(back, "others").collect()}
+        assert keys == {"team": (2, True, False), "deep": (1, True, False), "gone": (0, False, False)}
+    whole = spark.sql("""SELECT parse_json(j) AS v FROM VALUES ('{"k": 1}'), ('{"k": 2, "l": null}'), ('[1]'), (NULL) AS t(j)""")
+    keys = {r["column_name"]: tuple(r)[1:] for r in snapshots.key_coverage(whole, "v").collect()}
+    assert keys == {"k": (2, True, False), "l": (0, False, False)}
+    all_ = {r["column_name"]: r["in_all"] for r in snapshots.key_coverage(whole.limit(2), "v").collect()}
+    assert all_ == {"k": True, "l": False}
+    assert snapshots.key_coverage(whole.limit(0), "v").isEmpty()
