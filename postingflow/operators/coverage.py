@@ -6,7 +6,9 @@ that holds a third of the rows is a few counters per task by the time it is shuf
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postingflow import config
@@ -198,3 +200,20 @@ def run_counts(results: DataFrame, added: DataFrame, removed: DataFrame) -> Data
         for name, d in (("results", results), ("added", added), ("removed", removed))
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def written_counts(parts: dict[str, DataFrame], write: Callable[[str, DataFrame], object], key: str = KEY) -> DataFrame:
+    """Write tables by ``write(name, table)`` and give their totals (as ``run_counts``), counted
+    as the rows are written: no table is computed or read again for its count.
+
+    The count is taken in the tasks that write, each of which counts once however often it is
+    tried, provided that ``write`` saves the rows as they come (a shuffle or a sort within
+    ``write`` moves the count to tasks that a lost executor may repeat). Rows without a key are written
+    and not counted; a table that is not written in ``write`` would wait for ever, so ``write`` must run.
+    """
+    totals = []
+    for name, df in parts.items():
+        seen = Observation(f"written_{name}")
+        write(name, df.observe(seen, F.count(key).alias("postings")))
+        totals.append((name, seen.get["postings"]))
+    return next(iter(parts.values())).sparkSession.createDataFrame(totals, "part string, postings bigint")

@@ -155,6 +155,12 @@ def outputs(bundle: RunBundle, as_of: dt.date, run_ts: dt.datetime, highlight_da
     }
 
 
+def save_bundle(bundle: RunBundle, path: str) -> DataFrame:
+    """Write the results of a run and what was added and removed below ``path``; their totals."""
+    parts = {"results": bundle.results, "added": bundle.added, "removed": bundle.removed}
+    return coverage.written_counts(parts, lambda name, df: df.write.mode("overwrite").parquet(f"{path}/{name}"))
+
+
 def profile_words(spark: SparkSession, chosen: list[Profile]) -> DataFrame:
     """The search words of profiles as (profile, word) rows."""
     rows = [(p.name, w) for p in chosen for w in p.titlewords]

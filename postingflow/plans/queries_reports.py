@@ -15,7 +15,7 @@ from postingflow.plans import jobs
 from postingflow.plans import sqltext as Q
 from postingflow.plans.queries_snapshots import RUN_TS, as_text
 from postingflow.plans.queries_text import _PAID_CTES, _RANK_CTES, SCORE_SQL, paid_postings
-from postingflow.plans.registry import query
+from postingflow.plans.registry import ORACLES, query
 from postingflow.plans.views import joined, over_postings, over_snapshots, postings, snapshot_pair, snapshot_rows, table
 from postingflow.session import scratch_dir
 from postingflow.sources.snapshots import read_store, write_store
@@ -132,6 +132,14 @@ def a14(spark, sf):
     return coverage.run_counts(newest, snapshots.added(newest, previous), snapshots.removed(newest, previous))
 
 
+@query("a14_counts_on_write", ORACLES["a14_run_counts"])
+def a14_on_write(spark, sf):
+    newest, previous = snapshot_pair(spark, sf)
+    parts = {"results": newest, "added": snapshots.added(newest, previous), "removed": snapshots.removed(newest, previous)}
+    path = scratch_dir(spark, "counted")
+    return coverage.written_counts(parts, lambda name, df: df.write.parquet(f"{path}/{name}"))
+
+
 # --- reports -----------------------------------------------------------------------------
 
 _LABELS = "[" + ", ".join(Q.quote(b) for b in config.BUCKET_LABELS) + "]"
@@ -240,6 +248,14 @@ def r5(spark, sf):
     return sizes.unionByName(firms)
 
 
+@query("r5_saved_bundle", over_snapshots(
+    "SELECT 'results' AS part, count(*) AS postings FROM res UNION ALL SELECT 'added', count(*) FROM res WHERE fresh "
+    "UNION ALL SELECT 'removed', count(*) FROM hist WHERE old_points >= 0.01 AND posting_id NOT IN (SELECT posting_id FROM kept)", _RUN))
+def r5_saved(spark, sf):
+    """The tables of a daily run written out, counted as they are written."""
+    return jobs.save_bundle(_bundle(spark, sf)[0], scratch_dir(spark, "bundle"))
+
+
 @query("r6_tech_profile", over_snapshots(
     f"SELECT posting_id, bucket, CASE WHEN row_number() OVER (PARTITION BY bucket ORDER BY score DESC, posting_id) = 1 THEN {_LABELS}[bucket + 1] ELSE '' END AS separator, "
     "DATE '2024-02-15' - first_on < 10 AS is_new, title AS \"Title\", company AS \"Company\", score AS \"Points\", CAST(first_on AS VARCHAR) AS \"First date\" FROM rep", _RUN))

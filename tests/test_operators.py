@@ -285,3 +285,18 @@ def test_smallest_word_set_by_brute_force(spark, seed):
 def test_smallest_word_set_of_nothing(spark):
     empty = spark.createDataFrame([(None,), ([],)], "matched_titlewords array<string>")
     assert coverage.smallest_word_set(empty).isEmpty() and coverage.smallest_word_set(empty, exact=0).isEmpty()
+
+
+def test_written_counts_take_no_job_of_their_own(spark, tmp_path):
+    rows = settle(spark.createDataFrame([(f"p{i}" if i % 5 else None, i) for i in range(50)], "posting_id string, n int"), "test")
+    parts = {"results": rows, "added": rows.where("n < 10"), "none": rows.where("n < 0")}
+    plain = {name: df.where("posting_id IS NOT NULL").count() for name, df in parts.items()}
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        totals = coverage.written_counts(parts, lambda name, df: df.write.parquet(str(tmp_path / name)))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == len(parts)
+    assert {r["part"]: r["postings"] for r in totals.collect()} == plain
+    assert [spark.read.parquet(str(tmp_path / n)).count() for n in parts] == [50, 10, 0]
