@@ -391,7 +391,7 @@ def _language_ctes(phrases_sql: str) -> str:
 
 
 def _phrase_model(spark, sf):
-    return gramlang.train(table(spark, sf, "documents"))
+    return gramlang.train(spread(table(spark, sf, "documents")))
 
 
 @query("t7_phrase_language", over_postings(
