@@ -42,9 +42,17 @@ def test_all_lists_give_the_exact_answer(spark):
     assert got == want
 
 
-def test_both_sides_of_a_list_are_cut(spark, monkeypatch):
+def answers(found):
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
+
+
+def test_both_sides_of_a_list_that_cannot_be_cut_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(A, "BLOCK_ROWS", 40)
     monkeypatch.setattr(A, "QUERY_ROWS", 25)
+    monkeypatch.setattr(A, "LEVELS", 0)
     sides = []
     dealt = A._dealt
     monkeypatch.setattr(A, "_dealt", lambda *tables: sides.append(dealt(*tables)) or sides[-1])
@@ -52,21 +60,56 @@ def test_both_sides_of_a_list_are_cut(spark, monkeypatch):
     rows = [(i * 5, rng.normal(size=6).tolist(), 0) for i in range(600)]  # 150 queries, all in one list
     vectors = A.prepared(stored(spark, rows, KIND), "vec_id", "embedding")
     index = A.build(vectors, list_rows=1000)
-    got = {}
-    for r in A.nearest(vectors, vectors.where("id % 20 = 0"), index, k=7).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    got = answers(A.nearest(vectors, vectors.where("id % 20 = 0"), index, k=7))
     assert len(index.centroids) == 1 and got == exact(rows, k=7)
     for side, most in zip(sides[0], (40, 25)):
         sizes = [r["count"] for r in side.groupBy("list", "block", "query_block").count().collect()]
         assert len(sizes) == 16 * 7 and max(sizes) < 3 * most
 
 
+@pytest.mark.parametrize("clusters", [0, 25])
+def test_lists_grow_with_the_table(spark, monkeypatch, clusters):
+    """Cut lists of bounded length, at two sizes from the same small sample; recall on both kinds."""
+    monkeypatch.setattr(A, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(A, "ROUTE_ROWS", 100)
+    sides = []
+    dealt = A._dealt
+    monkeypatch.setattr(A, "_dealt", lambda *tables: sides.append(dealt(*tables)) or sides[-1])
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(max(1, clusters), 8)) * (3 if clusters else 0)
+    lists, read = [], []
+    for size in (1000, 3000):
+        rows = [(i, (centres[i % len(centres)] + rng.normal(size=8)).tolist(), 0) for i in range(size)]
+        vectors = A.prepared(stored(spark, rows, KIND), "vec_id", "embedding")
+        index = A.build(vectors, sample=200, list_rows=50)
+        got = answers(A.nearest(vectors, vectors.where("id % 20 = 0"), index, k=10))
+        want = exact(rows, k=10)
+        hits = sum(len({i for i, _ in got[q]} & {i for i, _ in top}) for q, top in want.items())
+        assert hits >= 0.9 * sum(map(len, want.values()))
+        assert all(got[q] == top for q, top in want.items() if {i for i, _ in got[q]} == {i for i, _ in top})
+        made = [r["count"] for r in sides[-1][0].groupBy("list").count().collect()]
+        assert max(made) <= 2 * 64 and sides[-1][0].select("id").distinct().count() == size
+        lists.append(len(made))
+        read.append(sides[-1][1].count() / len(want) / len(made))
+    assert len(index.centroids) <= 8 and lists[1] > 2 * lists[0] > 16
+    assert not clusters or read[1] < 0.5
+
+
+def test_equal_vectors_leave_only_those_that_can_be_answers(spark):
+    rows = [(i, [1.0, 2.0], 0) for i in range(400)] + [(i, [float(i), 1.0], 0) for i in range(400, 420)] + [(7, [1.0, 2.0], 0)] * 30
+    vectors = A.prepared(stored(spark, rows, KIND), "vec_id", "embedding")
+    kept = [r["id"] for r in A.first_of_equals(vectors, 5).collect()]
+    assert sorted(kept) == [*range(6), *range(400, 420)]
+    got = answers(A.nearest(vectors, vectors.where("id % 20 = 0"), A.build(vectors), k=30, ratio=1e9))
+    assert got == exact(rows, k=30)
+
+
 def test_repeated_query_ids_are_spread(spark, monkeypatch):
     monkeypatch.setattr(A, "QUERY_ROWS", 25)
     vectors = A.prepared(stored(spark, [(i, [1.0, float(i)], 0) for i in range(1, 50)], KIND), "vec_id", "embedding")
     queries = A.prepared(stored(spark, [(20, [1.0, 20.0], 0)] * 300, KIND), "vec_id", "embedding")
     index = A.build(vectors)
-    sides = A._dealt(*(A.settle(A._routed(t, index, 2.0, 5, q), "t") for t, q in ((vectors, False), (queries, True))))
+    sides = A._dealt(*(A._routed(t, index, 2.0, 5, q) for t, q in ((vectors, False), (queries, True))))
     assert max(r["count"] for r in sides[1].groupBy("list", "block", "query_block").count().collect()) < 3 * 25
     assert [r["vec_id"] for r in A.nearest(vectors, queries, index, k=3).orderBy("rank").collect()] == [49, 48, 47]
 
