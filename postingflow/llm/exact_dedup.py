@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingflow.llm.common import ascii_lower, fresh, keep_rows, with_row
 from postingflow.session import scratch_dir, settle
 
-BUCKETS = 32
+BUCKETS = 32  # of an index, at least
+BUCKET_ROWS = 4_000_000  # digests that a bucket is meant for, some 200 MB
 INDEX = "digest binary, keep_id bigint, keep_row bigint"
 
 
@@ -19,24 +21,44 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets of an index that is to hold so many digests: a power of two, ``BUCKETS`` at least."""
+    return max(BUCKETS, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length())
+
+
 class DigestIndex:
     """A table of known digests at ``path``: one row per digest, and the row that owns it.
 
     The table is bucketed and sorted by digest. New digests come in the same buckets, so
     the sort-merge anti-join that finds the unknown ones moves no row of the index, and an
-    append adds one sorted file to each bucket. The files are the index: any session that
-    opens the path with the same number of buckets goes on with it.
+    append adds one sorted file to each bucket. The files are the index, and a one-row table
+    beside them keeps the number of buckets: any session that opens the path goes on with it.
+    Asking for another number is an error, as digests would be looked for in wrong buckets.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        kept = self._kept_buckets(spark, path)
+        if kept and buckets not in (None, kept):
+            raise ValueError(f"the index at {path} has {kept} buckets, not {buckets}")
+        self.spark, self.path, self.buckets = spark, path, kept or buckets or BUCKETS
+        if not kept:
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.parquet(f"{path}.buckets")
         self.name = f"digests_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} ({INDEX}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
         self.append(spark.createDataFrame([], INDEX))  # makes the folder
 
+    @staticmethod
+    def _kept_buckets(spark: SparkSession, path: str) -> int | None:
+        try:
+            return spark.read.parquet(f"{path}.buckets").first()["buckets"]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     def unknown(self, rows: DataFrame) -> DataFrame:
         """Rows (digest, ...) whose digest the index does not have."""
         return rows.join(self.spark.table(self.name).select("digest").hint("merge"), "digest", "left_anti")
@@ -98,14 +120,14 @@ def assign_owners(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id"
     return rows.join(groups, "digest").withColumn("kept", kept).drop("old")
 
 
-def open_scratch_index(spark: SparkSession, buckets: int = BUCKETS) -> DigestIndex:
+def open_scratch_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     """An empty index in the shared scratch folder."""
     return DigestIndex(spark, scratch_dir(spark, "index"), buckets)
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` (a plain read) without all but the owner of each group of equal texts."""
-    index = open_scratch_index(docs.sparkSession)
+    index = open_scratch_index(docs.sparkSession, buckets_for(docs.count()))
     row = fresh(docs, "row")
     owned = assign_owners(docs, index, id_column, text)
     index.close()

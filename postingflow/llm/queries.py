@@ -104,8 +104,9 @@ def mixed(spark, sf_dir):
 
 @query("op8_exact_dedup", sql.EXACT)
 def exact(spark, sf_dir):
-    index = exact_dedup.open_scratch_index(spark)
-    owned = exact_dedup.assign_owners(read(spark, sf_dir, "documents"), index)
+    docs = read(spark, sf_dir, "documents")
+    index = exact_dedup.open_scratch_index(spark, exact_dedup.buckets_for(docs.count()))
+    owned = exact_dedup.assign_owners(docs, index)
     index.close()
     return owned.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from postingflow.llm import exact_dedup as E
@@ -41,6 +42,20 @@ def test_index_persists(spark):
     assert again.owners().count() == 3
 
 
+def test_buckets_are_kept_with_the_index(spark):
+    assert [E.buckets_for(n) for n in (0, 1, 128_000_000, 128_000_001, 100_000_000_000)] == [32, 32, 32, 64, 32768]
+    index = E.open_scratch_index(spark, 4)
+    index.append(spark.range(50).select(E.digest_of(F.col("id").cast("string")).alias("digest"), F.col("id").alias("keep_id"), F.col("id").alias("keep_row")))
+    index.close()
+    with pytest.raises(ValueError):
+        E.DigestIndex(spark, index.path, 8)
+    again = E.DigestIndex(spark, index.path)
+    assert again.buckets == 4
+    rows = spark.range(45, 60).select("id", E.digest_of(F.col("id").cast("string")).alias("digest"))
+    assert sorted(r["id"] for r in again.unknown(rows).collect()) == list(range(50, 60))
+    again.close()
+
+
 def test_anti_join_moves_no_row_of_the_index(spark):
     index = E.open_scratch_index(spark, 4)
     rows = spark.range(3).select(E.digest_of(F.col("id").cast("string")).alias("digest"))
