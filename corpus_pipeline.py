@@ -37,8 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts' ids with their places in the sequences."""
-    return queries.packed(docs)
+    """Pieces of the texts' ids with their places in the sequences, which follow the mix's order."""
+    return queries.packed(docs, mixed=True)
 
 
 STAGES = [

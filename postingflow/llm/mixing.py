@@ -162,3 +162,13 @@ def ordered(mixed: DataFrame, columns: list[str], per_file: int = 32 << 20, docs
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 64 if text in table.columns else F.lit(64)
     total = table.agg(F.sum(size.cast("bigint"))).first()[0] or 0
     return mixed.repartitionByRange(total // per_file + 1, "position").sortWithinPartitions("position").select(*columns)
+
+
+def with_turns(docs: DataFrame, file: str, place: str) -> DataFrame:
+    """Number the rows of files written by ``ordered``: the file's key, sorted as text, and the place in it.
+
+    ``docs`` must be a plain read. A scan takes large files first, so its own order is another.
+    """
+    number = F.lpad(F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1), 12, "0")
+    key = F.concat(number, F.lit("/"), F.col("_metadata.file_path"))
+    return docs.select(*docs.columns, key.alias(file), F.col("_metadata.row_index").alias(place))

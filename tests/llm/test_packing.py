@@ -5,10 +5,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from postingflow.llm import mixing, tokens
 from postingflow.llm import packing as P
-from postingflow.llm import tokens
 from postingflow.llm.queries import QUERIES
 from postingflow.llm.tokens import slices
 from postingflow.session import settle
@@ -123,3 +124,34 @@ def test_registered_query(spark):
         parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
     assert sum(n for p in bins.values() for _, n in p) > 0.9 * 4096 * (len(bins) - 1)
+
+
+def test_fill_in_turn():
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(rng.lognormal(6, 1.2, 3000).astype(int) + 1, 4096)
+    demands = np.column_stack([lengths, lengths - 1, np.ones(3000)]).astype(float)
+    limits = np.array([4096.0, 4096.0, 256.0])
+    bins = P.fill_in_turn(demands, limits, 512)
+    places = [np.flatnonzero(bins == b) for b in range(bins.max() + 1)]
+    assert all((demands[p].sum(axis=0) <= limits).all() and p[-1] - p[0] < 512 for p in places)
+    assert [p[0] for p in places] == sorted(p[0] for p in places)
+    assert lengths.sum() / (4096 * len(places)) > 0.97
+    alone = P.fill_in_turn(np.array([[5000.0, 1, 1], [10, 1, 1], [20, 1, 1]]), limits)
+    assert alone.tolist() == [0, 1, 1]
+    assert P.fill_in_turn(np.zeros((0, 3)), limits).tolist() == []
+
+
+def test_sequences_follow_the_order_of_the_files(spark, tmp_path):
+    """Later files are larger, so that a scan takes them first; groups are cut across files."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(n)) for i, n in enumerate(rng.integers(1, 60, 3000) * (1 + np.arange(3000) // 500))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "mix"))
+    turns = mixing.with_turns(spark.read.parquet(str(tmp_path / "mix")), "f", "r")
+    items = settle(turns.select("doc_id", "f", "r", (F.length("text") + 1).cast("bigint").alias("length")), "items")
+    got = P.pack(items, {"length": 4096}, group_rows=700, one=256, order=["f", "r"]).toPandas()
+    firsts = got.groupby("sequence_id")["doc_id"].agg(["min", "max"]).sort_index()
+    assert firsts["min"].is_monotonic_increasing and (firsts["max"] - firsts["min"]).max() < P.WINDOW
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got.groupby("sequence_id")["doc_id"].diff().dropna() > 0).all()
+    assert sorted(got["doc_id"]) == list(range(3000)) and got["sequence_id"].floordiv(1 << 32).nunique() > 3

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from postingflow.llm import queries, toxicity
+from postingflow.llm import mixing, queries, toxicity
 from postingflow.session import settle
 from tests.llm.helpers import CLASH, SCHEMA, odd_documents, with_clashes
 from tests.llm.test_exact_dedup import lowered
@@ -74,6 +74,17 @@ def test_packing_stage(tables):
     assert max(sums.values()) <= 4096
 
 
+def test_packing_follows_the_mix(spark, tables):
+    """A sequence is opened by the first document of the mix that has no place yet."""
+    mixed, packed = tables["mixing"][1], tables["packing"][1]
+    place = {r["doc_id"]: (r["f"], r["r"]) for r in mixing.with_turns(mixed, "f", "r").collect()}
+    firsts = {}
+    for r in packed.collect():
+        at = (*place[r["doc_id"]], r["start"])
+        firsts[r["sequence_id"]] = min(at, firsts.get(r["sequence_id"], at))
+    assert len(firsts) > 2 and [firsts[s] for s in sorted(firsts)] == sorted(firsts.values())
+
+
 def test_run_gives_the_last_stage(spark, tables):
     got = entry.queries()["pipeline"](spark, SF)
     key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
