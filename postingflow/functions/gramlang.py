@@ -1,4 +1,4 @@
-"""Language of short phrases by character trigrams, as a JVM expression.
+"""Language of short phrases by character trigrams: slots as a JVM expression, scores in Arrow.
 
 Each word, with a space at both ends, gives its trigrams; a trigram falls in one of ``SLOTS``
 slots by its code points. A model holds one weight for each language and slot, so its size
@@ -8,14 +8,22 @@ sums are exact and the same anywhere.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postingflow.functions.once import explode_once, let
 from postingflow.functions.text import words
 
+# Tasks get this module's code with the function: executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SLOTS = 8191  # a prime
 BASE = 131
 
@@ -81,24 +89,41 @@ def phrase_language(phrase: Column, model: PhraseModel, margin: int = 0) -> Colu
     """
     if not model.languages:
         return F.lit(None).cast("string")
-    size = len(model.weights[0])
-    tables = [F.split(F.lit(",".join(map(str, w))), ",").cast("array<bigint>") for w in model.weights]
-
-    def cost(found, table):
-        return F.aggregate(found, F.lit(0).cast("bigint"), lambda acc, i: acc - F.get(table, i))
-
-    def scored(found):
-        costs = [
-            F.struct(cost(found, table).alias("cost"), F.lit(name).alias("lang"))
-            for name, table in zip(model.languages, tables, strict=True)
-        ]
-        return F.array_sort(F.array(*costs))
-
-    def decided(ranked):
-        best = F.get(ranked, F.lit(0))
-        if margin <= 0 or len(model.languages) < 2:
-            return best["lang"]
-        return F.when(F.get(ranked, F.lit(1))["cost"] - best["cost"] > margin, best["lang"])
-
-    found = F.flatten(F.transform(words(phrase), lambda w: slots(w, size)))
-    return let(found, lambda f: F.when(F.size(f) > 0, let(scored(f), decided)))
+    table, names = np.array(model.weights, np.int64), pa.array(model.languages, pa.string())
+
+    @F.arrow_udf("string")
+    def likeliest(joined: pa.Array) -> pa.Array:
+        return _likeliest(joined, table, names, margin)
+
+    return likeliest(F.array_join(words(phrase), " "))
+
+
+def _word_costs(found: pa.Array, table: np.ndarray) -> np.ndarray:
+    """Cost of each word (none empty) in each language; the slots are those of ``slots``."""
+    sizes = pc.utf8_length(found).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    text = "".join(f" {w} " for w in found.to_pylist())
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    at = ((codes[:-2] * BASE + codes[1:-1]) * BASE + codes[2:]) % table.shape[1]
+    inside = np.ones(len(codes), bool)  # but for the two places where a trigram would leave its word
+    inside[starts + sizes - 1] = inside[starts + sizes - 2] = False
+    return np.column_stack([-np.add.reduceat(np.where(inside[:-2], weights[at], 0), starts) for weights in table])
+
+
+def _likeliest(joined: pa.Array, table: np.ndarray, names: pa.Array, margin: int) -> pa.Array:
+    """The language of each phrase, its words joined by a space; a batch's equal words are scored once."""
+    joined = pc.if_else(pc.equal(joined, ""), None, joined).cast(pa.string())
+    lists = pc.split_pattern(joined, " ")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not sizes.sum():
+        return pa.nulls(len(joined), pa.string())
+    flat = lists.flatten().dictionary_encode()
+    costs = _word_costs(flat.dictionary, table)[flat.indices.to_numpy()]
+    sums = np.concatenate((np.zeros((1, costs.shape[1]), np.int64), np.cumsum(costs, axis=0)))
+    ends = np.cumsum(sizes)
+    total = sums[ends] - sums[ends - sizes]
+    sure = sizes > 0
+    if margin > 0 and len(names) > 1:
+        two = np.partition(total, 1, axis=1)
+        sure &= two[:, 1] - two[:, 0] > margin
+    return names.take(pa.array(total.argmin(axis=1), mask=~sure))

@@ -1,7 +1,8 @@
 """Text statistics, service cost, and phrase mining.
 
-Phrases are runs of one to three words of a document; they are exploded and counted with
-partial aggregation, so a phrase found everywhere costs one counter per task.
+Phrases are runs of one to three words of a document; the longest run at each word is counted
+with partial aggregation, so a phrase found everywhere costs one counter per task, and shorter
+phrases are counted from the distinct runs.
 """
 
 from __future__ import annotations
@@ -93,31 +94,49 @@ def known_other_language(phrase: Column, model: gramlang.PhraseModel, code: str
     return (F.length(phrase) > 2) & F.coalesce(found != code, F.lit(False))
 
 
-def phrase_counts(phrases: DataFrame, column: str = "phrases", min_count: int = 2) -> DataFrame:
-    """Occurrences of each phrase over all documents, rarer ones left out."""
-    return (
-        explode_once(phrases, F.col(column), "phrase")
-        .groupBy("phrase")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_count)
-    )
+def runs(tokens: Column, least: int = 1) -> Column:
+    """For each token the longest run of up to three tokens that starts there; NULL where it
+    has fewer than ``least``. A NULL token ends a run."""
+
+    def longest(w, i):
+        second, third = F.get(tokens, i + 1), F.get(tokens, i + 2)
+        enough = w.isNotNull() if least < 2 else w.isNotNull() & second.isNotNull()
+        return F.when(enough, F.concat_ws(" ", w, second, F.when(second.isNotNull(), third)))
+
+    return F.transform(tokens, longest)
+
+
+def run_counts(found: DataFrame, column: str = "runs", least: int = 1, min_count: int = 2) -> DataFrame:
+    """Occurrences of the phrases of ``least`` to three words that begin a run, rarer ones left out.
+
+    A token gives one run instead of up to three phrases. Runs are counted first; one of three
+    words is a phrase whose count is known then, and the shorter ones at its beginning are
+    counted from the distinct runs.
+    """
+    each = explode_once(found, F.col(column), "run").groupBy("run").agg(F.count("*").alias("n"))
+    one, two = (F.substring_index("run", " ", k) for k in (1, 2))
+    starts = [(F.when(F.col("run") != two, F.col("run")), True), (two, False), (F.when(two != one, one), False)]
+    starts = F.array(*[F.struct(p.alias("phrase"), F.lit(known).alias("known")) for p, known in starts[: 4 - least]])
+    # Filters on generated columns stay above the count, so both sides read one shuffle.
+    cut = each.select("n", F.inline_outer(starts)).where("phrase IS NOT NULL")
+    short = cut.where("NOT known").groupBy("phrase").agg(F.sum("n").alias("n"))
+    return cut.where("known").select("phrase", "n").unionByName(short).where(F.col("n") >= min_count)
 
 
 def mine_keywords(df: DataFrame, stopwords, text: str = "description", min_count: int = 2) -> DataFrame:
     """Counts of all phrases that are not a stop word."""
-    phrases = let(
-        words(F.col(text)),
-        lambda tokens: F.concat(
-            keep_keywords(tokens, stopwords), ngrams(tokens, 2), ngrams(tokens, 3)
-        ),
-    )
-    return phrase_counts(df.select(phrases.alias("phrases")), min_count=min_count)
+    found = df.select(let(words(F.col(text)), lambda tokens: runs(tokens)).alias("runs"))
+    return run_counts(found, min_count=min_count).where(~is_stopword(F.col("phrase"), stopwords))
+
+
+def _without(text: Column, stopwords) -> Column:
+    """The words of a text, NULL in place of stop words."""
+    return F.transform(words(text), lambda w: F.when(~w.isin(list(stopwords)), w))
 
 
 def keyphrases(text: Column, stopwords) -> Column:
     """The phrases of several words of a text that hold no stop word."""
-    kept = F.transform(words(text), lambda w: F.when(~w.isin(list(stopwords)), w))
-    return let(kept, lambda tokens: F.concat(ngrams(tokens, 2), ngrams(tokens, 3)))
+    return let(_without(text, stopwords), lambda tokens: F.concat(ngrams(tokens, 2), ngrams(tokens, 3)))
 
 
 def mine_keyphrases(df: DataFrame, stopwords, text: str = "description", min_count: int = 2) -> DataFrame:
@@ -125,7 +144,8 @@ def mine_keyphrases(df: DataFrame, stopwords, text: str = "description", min_cou
 
     Stop words are blanked before phrases are built, so no phrase is made to be dropped.
     """
-    return phrase_counts(df.select(keyphrases(F.col(text), stopwords).alias("phrases")), min_count=min_count)
+    found = df.select(let(_without(F.col(text), stopwords), lambda tokens: runs(tokens, 2)).alias("runs"))
+    return run_counts(found, least=2, min_count=min_count)
 
 
 def top_phrases(counts: DataFrame, n: int = 15) -> DataFrame:

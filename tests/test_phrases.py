@@ -85,3 +85,47 @@ def test_held_out_phrases(spark):
     n, grams, lists = held_out_accuracy(spark)
     print(n, grams, lists)
     assert n > 1000 and grams > 0.8 and grams > lists
+
+
+def _grams(tokens, least):
+    return [" ".join(tokens[i : i + k]) for k in range(least, 4) for i in range(len(tokens) - k + 1) if None not in tokens[i : i + k]]
+
+
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_mined_phrases_equal_plain_counts(spark, min_count):
+    rnd = random.Random(8)
+    pool = ["the", "und", "a", "b1", "c", "über", "x_y", "İ", "straße", "Q"]
+    texts = [rnd.choice([" ", ", ", "\n"]).join(rnd.choices(pool, k=rnd.randint(0, 12))) for _ in range(300)] + [None, "", " - ", "the", "a b1"]
+    stop = ("the", "und")
+    df = settle(spark.createDataFrame([(t,) for t in texts], "description string"), "test")
+    tokens = [[r for r in x[0] or []] for x in df.selectExpr("filter(split(lower(description), '[^\\\\p{L}\\\\p{N}_]+'), w -> w <> '')").collect()]
+    many = Counter(p for t in tokens for p in _grams(t, 1) if p not in stop)
+    several = Counter(p for t in tokens for p in _grams([None if w in stop else w for w in t], 2))
+    for mined, want in ((phrases.mine_keywords, many), (phrases.mine_keyphrases, several)):
+        got = [(r["phrase"], r["n"]) for r in mined(df, stop, min_count=min_count).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == {p: n for p, n in want.items() if n >= min_count}
+
+
+def test_a_word_gives_one_run(spark):
+    """Not three phrases: these are counted from the distinct runs, which are shuffled once."""
+    df = spark.createDataFrame([(["a", "b", None, "c", "d", "e"],), ([],), (None,)], "t array<string>")
+    one, two = (df.select(phrases.runs(F.col("t"), least)).collect() for least in (1, 2))
+    assert [r[0] for r in one] == [["a b", "b", None, "c d e", "d e", "e"], [], None]
+    assert [r[0] for r in two] == [["a b", None, None, "c d e", "d e", None], [], None]
+
+
+def test_phrase_language_equals_plain_costs(spark):
+    rnd = random.Random(6)
+    weights = tuple(tuple(rnd.randint(-9000, -1) for _ in range(gramlang.SLOTS)) for _ in range(3))
+    model = gramlang.PhraseModel(("aa", "bb", "cc"), weights)
+    pool = ["a", "Über", "straße", "o\U0001f600k", "x_1", "你好", "zz" * 40, "-", "..."]
+    asked = [" ".join(rnd.choices(pool, k=rnd.randint(0, 7))) for _ in range(400)] + [None]
+    df = settle(spark.createDataFrame([(t,) for t in asked], "p string"), "test")
+    cells = F.filter(F.split(F.lower("p"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    for margin in (0, 3000):
+        for words, got in df.select(cells, gramlang.phrase_language(F.col("p"), model, margin)).collect():
+            costs = sorted((-sum(w[s] for x in words or [] for s in _slots(x)), name) for w, name in zip(weights, model.languages))
+            sure = words and (not margin or costs[1][0] - costs[0][0] > margin)
+            assert got == (costs[0][1] if sure else None)
+    plan = df.select(gramlang.phrase_language(F.col("p"), model))._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan and "ArrowEvalPython" in plan
