@@ -22,6 +22,13 @@ def rows_with_key(rows: DataFrame, other: DataFrame, key) -> DataFrame:
     return rows.join(other.select(*cols(key)), cols(key), "left_semi")
 
 
+def rows_with_same_key(rows: DataFrame, other: DataFrame, key) -> DataFrame:
+    """Rows whose key is in ``other``, where a null key is a key like any other."""
+    named = other.select(*[F.col(c).alias(f"_o_{c}") for c in cols(key)])
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in cols(key)]
+    return rows.join(named, same, "left_semi")
+
+
 def rows_without_key(rows: DataFrame, other: DataFrame, key) -> DataFrame:
     """Rows whose key is not in ``other``."""
     return rows.join(other.select(*cols(key)), cols(key), "left_anti")

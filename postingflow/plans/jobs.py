@@ -13,7 +13,8 @@ from postingflow import config
 from postingflow.config import Profile
 from postingflow.functions.columns import reorder_locations
 from postingflow.operators import coverage, enrich, filters, profiles, reports, snapshots
-from postingflow.schema import KEY
+from postingflow.operators.skew import join_per_key, rows_with_same_key
+from postingflow.schema import COMPRESSION, KEY
 from postingflow.session import settle
 from postingflow.sources import buckets
 from postingflow.sources import snapshots as store
@@ -57,7 +58,7 @@ def daily_run(
         KEY, F.col("first_collected_on").alias("_first"), F.col("last_collected_on").alias("_last"),
         F.lit(True).alias("_known"),
     )
-    joined = raw.drop("first_collected_on", "last_collected_on").join(past, KEY, "left")
+    joined = join_per_key(raw.drop("first_collected_on", "last_collected_on"), past, KEY, "left")
     dates = joined.withColumns(
         {
             "is_added": F.col("_known").isNull(),
@@ -65,7 +66,10 @@ def daily_run(
             "last_collected_on": F.greatest("_last", "collected_on"),
         }
     ).drop("_first", "_last", "_known")
-    stored = settle(enrich.process(enrich.with_salary(snapshots.with_timespan(dates)), profile), "results")
+    stored = settle(
+        enrich.process(enrich.with_salary(snapshots.with_timespan(dates)), profile), "results", compression=COMPRESSION
+    )
+    kept = settle(stored.select(KEY), "kept")
     results = filters.threshold_points(stored, threshold).withColumn(
         "locations", reorder_locations(F.col("locations"), profile.locations_desired)
     )
@@ -74,43 +78,55 @@ def daily_run(
         stored=stored.drop("is_added"),
         results=results.drop("is_added"),
         added=results.where("is_added").drop("is_added"),
-        removed=filters.threshold_points(snapshots.removed(stored, history), threshold),
+        removed=filters.threshold_points(snapshots.removed(kept, history), threshold),
         companies=coverage.companies_in_city(best_first, "_order"),
     )
 
 
-def store_run(current: DataFrame, root: str, order: str = "ord") -> dict[str, int]:
+def store_run(current: DataFrame, root: str, order: str = "ord", settled: bool = False) -> dict[str, int]:
     """Save a run: history first, then the current and the newly added postings with its dates.
 
-    The postings are settled, so their processing runs once; what was added is told by the
-    history before this run. History is a store in buckets: the run reads and rewrites those
-    that its keys fall in, and keys that their filters deny are new without a join.
+    The postings are settled, so their processing runs once, unless the caller says that they
+    are, or cost no more to read again than a settled copy (``settled``). What was added is told
+    by the history before this run, from keys alone. History is a store in buckets: the run
+    reads and rewrites those that its keys fall in, and keys that their filters deny are new
+    without a join. Texts move to be merged and to get history's dates, and no more than that:
+    merged rows are written where the merge left them, dates come as a narrow table, and the
+    newly added postings are copied out of the current ones.
     """
     spark = current.sparkSession
     if order not in current.columns:
         current = current.withColumn(order, F.lit(0))
-    current = settle(current, "current")
+    if not settled:
+        current = settle(current, "current", compression=COMPRESSION)
     path = f"{root}/history"
-    new_rows = settle(buckets.added_rows(current, path, buckets.manifest(spark, path)), "added")
+    new_keys = buckets.added_keys(current, path)
 
     def fold(past: DataFrame, rows: DataFrame) -> DataFrame:
         both = snapshots.union_columns(past.withColumn(order, F.lit(-1).cast("bigint")), rows)
         return snapshots.with_timespan(snapshots.unify(both, order))
 
-    state, some = store.merge_store(current, path, fold)
+    state, some = store.merge_store(current, path, fold, grouped=True)
     history = buckets.read_buckets(spark, path, state, some)
+    dates = settle(history.select(KEY, "first_collected_on", "last_collected_on", "timespan_days"), "dates")
+    version = store.write_store(snapshots.history_backfill(current, dates), f"{root}/current")
+    written = store.read_store(spark, f"{root}/current", before=version + 1)
+    new_rows = written if new_keys is None else rows_with_same_key(written, new_keys, KEY)
     return {
         "history": state.version,
-        "current": store.write_store(snapshots.history_backfill(current, history), f"{root}/current"),
-        "newly_added": store.write_store(snapshots.history_backfill(new_rows, history), f"{root}/newly_added"),
+        "current": version,
+        "newly_added": store.write_store(new_rows, f"{root}/newly_added"),
     }
 
 
 def daily_job(raw: DataFrame, root: str, profile: Profile, threshold=config.MIN_POINTS) -> RunBundle:
-    """The whole daily loop: run against the stored history, store all scores, return the bundle."""
+    """The whole daily loop: run against the stored history, store all scores, return the bundle.
+
+    The version of history that the run was compared with stays as it is, so it is not copied.
+    """
     history = store.read_store(raw.sparkSession, f"{root}/history", schema=HISTORY)
-    bundle = daily_run(raw, settle(history, "history"), profile, threshold)
-    store_run(bundle.stored, root)
+    bundle = daily_run(raw, history, profile, threshold)
+    store_run(bundle.stored, root, settled=True)
     return bundle
 
 
@@ -158,7 +174,7 @@ def outputs(bundle: RunBundle, as_of: dt.date, run_ts: dt.datetime, highlight_da
 def save_bundle(bundle: RunBundle, path: str) -> DataFrame:
     """Write the results of a run and what was added and removed below ``path``; their totals."""
     parts = {"results": bundle.results, "added": bundle.added, "removed": bundle.removed}
-    return coverage.written_counts(parts, lambda name, df: df.write.mode("overwrite").parquet(f"{path}/{name}"))
+    return coverage.written_counts(parts, lambda name, df: df.write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{path}/{name}"))
 
 
 def profile_words(spark: SparkSession, chosen: list[Profile]) -> DataFrame:

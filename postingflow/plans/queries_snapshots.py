@@ -439,7 +439,7 @@ def g3(spark, sf):
     root = scratch_dir(spark, "universal")
     rows = snapshot_rows(spark, sf)
     for i in (1, 2, 3):
-        jobs.store_run(rows.where(f"ord = {i}"), root)
+        jobs.store_run(rows.where(f"ord = {i}"), root, settled=True)
     sizes = [
         store.read_store(spark, f"{root}/{name}").agg(F.count("*").alias("postings")).select(F.lit(name).alias("table_name"), "postings")
         for name in ("newly_added", "current", "history")
@@ -456,7 +456,7 @@ def g3_history(spark, sf):
     root = scratch_dir(spark, "universal")
     rows = snapshot_rows(spark, sf)
     for i in (1, 2, 3):
-        jobs.store_run(rows.where(f"ord = {i}"), root)
+        jobs.store_run(rows.where(f"ord = {i}"), root, settled=True)
     history = store.read_store(spark, f"{root}/history")
     return as_text(history.select(
         "posting_id", "company", "points", F.md5("description").alias("description_md5"),

@@ -39,6 +39,8 @@ POSTING_SCHEMA = T.StructType(
     ]
     + [T.StructField("timespan_days", T.IntegerType())]
 )
+# How stores and settled postings are written: texts take about a quarter less than by default.
+COMPRESSION = "zstd"
 # The value object of a snapshot file: dates arrive as ISO text there.
 SNAPSHOT_VALUE = T.StructType(
     [

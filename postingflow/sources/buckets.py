@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postingflow.operators.skew import cols, rows_without_key
-from postingflow.schema import KEY
+from postingflow.schema import COMPRESSION, KEY
 from postingflow.session import settle
 
 BUCKETS = 16
@@ -83,17 +83,23 @@ def read_buckets(spark: SparkSession, path: str, state: Manifest | None, some=No
     return spark.read.schema(state.schema).parquet(*folders)
 
 
-def rewrite_buckets(df: DataFrame, path: str, key, state: Manifest | None, some: list[int], version: int, buckets: int, batch: str | None = None) -> Manifest:
+def rewrite_buckets(
+    df: DataFrame, path: str, key, state: Manifest | None, some: list[int], version: int, buckets: int, batch: str | None = None,
+    grouped: bool = False, before_commit: Callable[[DataFrame], None] | None = None,
+) -> Manifest:
     """Write ``df``, all rows of the buckets ``some``, and commit them as a version.
 
-    ``rebalance`` gathers each bucket into few files and splits a large one.
+    ``rebalance`` gathers each bucket into few files and splits a large one. Rows that come
+    ``grouped`` from a shuffle by key are written as they come, so they are not moved a second
+    time; a bucket then has a file of each task. ``before_commit`` gets the written rows.
     """
     spark = df.sparkSession
     if BUCKET in df.columns:
         raise ValueError(f"a stored table has no column {BUCKET}")
     folder = f"{path}/data/version={version}"
     placed = df.withColumn(BUCKET, bucket_of(key, buckets))
-    placed.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+    placed = placed if grouped else placed.hint("rebalance", BUCKET)
+    placed.write.mode("overwrite").option("compression", COMPRESSION).partitionBy(BUCKET).parquet(folder)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     written = spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(folder)
     write_filters(written.select(*cols(key), BUCKET), path, key, version)
@@ -103,6 +109,8 @@ def rewrite_buckets(df: DataFrame, path: str, key, state: Manifest | None, some:
     held = list(state.held) if state else [-1] * buckets
     for b in some:
         held[b] = version if b in full else -1
+    if before_commit:
+        before_commit(written.drop(BUCKET))
     commit = spark.createDataFrame([(version, batch, buckets, held, schema.json())], COMMIT)
     commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return Manifest(version, tuple(held), schema)
@@ -110,20 +118,21 @@ def rewrite_buckets(df: DataFrame, path: str, key, state: Manifest | None, some:
 
 def merge_rows(
     rows: DataFrame, path: str, combine: Callable[[DataFrame, DataFrame], DataFrame], version: int, key=KEY,
-    buckets: int = BUCKETS, batch: str | None = None,
+    buckets: int = BUCKETS, batch: str | None = None, **writing,
 ) -> tuple[Manifest, list[int]]:
     """Merge ``rows`` (settled, as they are read more than once) into a store.
 
     ``combine`` gets the stored rows of the touched buckets (with no columns but the rows' own
     in a new store) and the new rows, and returns what these buckets hold from now on. Returns
-    the new manifest and the buckets. ``buckets`` counts for a new store only.
+    the new manifest and the buckets. ``buckets`` counts for a new store only; ``writing`` goes
+    to ``rewrite_buckets``.
     """
     spark = rows.sparkSession
     state = manifest(spark, path)
     n = state.buckets if state else buckets
     some = touched(rows, key, n)
     past = read_buckets(spark, path, state, some, rows.schema)
-    return rewrite_buckets(combine(past, rows), path, key, state, some, version, n, batch), some
+    return rewrite_buckets(combine(past, rows), path, key, state, some, version, n, batch, **writing), some
 
 
 def rebucket(spark: SparkSession, path: str, buckets: int, version: int, key=KEY) -> Manifest:
@@ -220,3 +229,13 @@ def added_rows(rows: DataFrame, path: str, state: Manifest | None, key=KEY) -> D
     maybe = tested.where("maybe_known")
     past = read_buckets(rows.sparkSession, path, state, touched(maybe, key, state.buckets)).select(*cols(key))
     return tested.where("NOT maybe_known").unionByName(rows_without_key(maybe, past, key)).drop("maybe_known")
+
+
+def added_keys(rows: DataFrame, path: str, key=KEY) -> DataFrame | None:
+    """The distinct keys of the rows that the store does not have (settled), by ``added_rows``;
+    None where there is no store yet, so that all are new. A null key is always new."""
+    state = manifest(rows.sparkSession, path)
+    if state is None:
+        return None
+    keys = settle(rows.select(*cols(key)).distinct(), "keys")
+    return settle(added_rows(keys, path, state, key), "added")

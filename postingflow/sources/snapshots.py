@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from postingflow.functions.columns import word_array
 from postingflow.functions.once import explode_once, materialize
-from postingflow.schema import KEY, SNAPSHOT_VALUE, conform, empty_postings
+from postingflow.schema import COMPRESSION, KEY, SNAPSHOT_VALUE, conform, empty_postings
 from postingflow.session import settle
 from postingflow.sources import buckets
 
@@ -276,7 +276,7 @@ def write_store(df: DataFrame, path: str, batch: str | None = None) -> int:
     """
     spark = df.sparkSession
     version = next_version(spark, path)
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    df.write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{path}/version={version}")
     commit = spark.createDataFrame([(version, batch)], "version int, batch string")
     commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return version
@@ -284,12 +284,12 @@ def write_store(df: DataFrame, path: str, batch: str | None = None) -> int:
 
 def merge_store(
     rows: DataFrame, path: str, combine: Callable[[DataFrame, DataFrame], DataFrame], key=KEY, batch: str | None = None,
-    number: int = buckets.BUCKETS,
+    number: int = buckets.BUCKETS, **writing,
 ) -> tuple[buckets.Manifest, list[int]]:
     """Merge settled rows into a store in buckets: only those that their keys fall in are read
-    and written anew (see ``buckets``). Returns the new manifest and the touched buckets."""
+    and written anew (see ``buckets``, also for ``writing``). Returns the new manifest and the touched buckets."""
     spark = rows.sparkSession
-    return buckets.merge_rows(rows, path, combine, next_version(spark, path), key, number, batch)
+    return buckets.merge_rows(rows, path, combine, next_version(spark, path), key, number, batch, **writing)
 
 
 def read_or_empty(spark: SparkSession, path: str) -> DataFrame:
