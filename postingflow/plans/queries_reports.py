@@ -17,6 +17,7 @@ from postingflow.plans.queries_snapshots import RUN_TS, as_text
 from postingflow.plans.queries_text import _PAID_CTES, _RANK_CTES, SCORE_SQL, paid_postings
 from postingflow.plans.registry import ORACLES, query
 from postingflow.plans.views import joined, over_postings, over_snapshots, postings, snapshot_pair, snapshot_rows, table
+from postingflow.schema import COMPRESSION
 from postingflow.session import scratch_dir
 from postingflow.sources.snapshots import read_store, write_store
 from postingflow.streaming import streams
@@ -214,7 +215,7 @@ def _bundle(spark, sf):
     """A daily run on stores that hold two earlier snapshots; its stores are at ``root``."""
     rows = snapshot_rows(spark, sf)
     root = scratch_dir(spark, "daily")
-    jobs.store_run(rows.where("ord < 3"), root)
+    jobs.store_run(rows.where("ord < 3"), root, settled=True)
     profile = Profile(banned_words=("manager",))
     raw = rows.where("ord = 3").withColumn("salary", F.lit(None).cast("string"))
     return jobs.daily_job(raw, root, profile), root
@@ -442,10 +443,10 @@ def z1(spark, sf):
     incoming = rows.withColumns(dates)
     for i in (1, 2, 3):
         # The stream goes on where it stopped, with the files that came since.
-        incoming.where(f"ord = {i}").write.mode("append").parquet(f"{root}/in")
+        incoming.where(f"ord = {i}").write.mode("append").option("compression", COMPRESSION).parquet(f"{root}/in")
         stream = streams.stream_parquet(spark, f"{root}/in", incoming.schema)
         streams.run_available(
-            stream, f"{root}/checkpoint", each=streams.ingest_snapshots(f"{root}/history", f"{root}/added"), mode="update"
+            stream, f"{root}/checkpoint", each=streams.ingest_snapshots(f"{root}/history", f"{root}/added", settled=True), mode="update"
         )
     history = read_store(spark, f"{root}/history")
     return as_text(history.select("posting_id", "first_collected_on", "last_collected_on"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postingflow.operators import snapshots
-from postingflow.schema import KEY
+from postingflow.operators.skew import rows_with_key
+from postingflow.schema import COMPRESSION, KEY
 from postingflow.session import settle
 from postingflow.sources import buckets
 from postingflow.sources.snapshots import has_batch, merge_store, next_version
@@ -123,11 +124,18 @@ def upsert_latest(store: str, key: str, number: int = buckets.BUCKETS):
     return step
 
 
-def ingest_snapshots(history: str, added_log: str, order: str = "ord", key: str = KEY, number: int = buckets.BUCKETS):
+def ingest_snapshots(
+    history: str, added_log: str, order: str = "ord", key: str = KEY, number: int = buckets.BUCKETS, settled: bool = False,
+):
     """Per-batch step of the daily loop: log the added postings, merge into history.
 
     The history's next version numbers the run, whatever stream or job wrote the last one. A
     batch that history has is left out; one that failed half-way writes the same run again.
+    A batch is settled, unless it costs no more to read again (``settled``), such as plain files.
+
+    What the merge says of a key that history did not have is what the batch says of it, so
+    the added postings are taken from the merged rows before these are committed. Rows
+    without a key are always added, and logged without what history holds of them.
     """
 
     def fold(past: DataFrame, rows: DataFrame) -> DataFrame:
@@ -139,11 +147,18 @@ def ingest_snapshots(history: str, added_log: str, order: str = "ord", key: str
         spark, name = batch.sparkSession, batch_name(batch, batch_id)
         if has_batch(spark, history, name):
             return
-        rows = settle(batch, "batch")
-        fresh = buckets.added_rows(rows, history, buckets.manifest(spark, history), key)
-        snapshots.unify(fresh, order, key).write.mode("overwrite").parquet(
-            f"{added_log}/run={next_version(spark, history)}"
-        )
-        merge_store(rows, history, fold, key, name, number)
+        rows = batch if settled else settle(batch, "batch", compression=COMPRESSION)
+        new_keys = buckets.added_keys(rows, history, key)
+        log = f"{added_log}/run={next_version(spark, history)}"
+
+        def log_added(merged: DataFrame) -> None:
+            keyless = snapshots.unify(rows.where(F.col(key).isNull()), order, key)
+            fresh = merged.where(F.col(key).isNotNull())
+            if new_keys is not None:
+                fresh = rows_with_key(fresh, new_keys, key)
+            fresh = fresh.select(*keyless.columns).unionByName(keyless)
+            fresh.write.mode("overwrite").option("compression", COMPRESSION).parquet(log)
+
+        merge_store(rows, history, fold, key, name, number, grouped=True, before_commit=log_added)
 
     return step

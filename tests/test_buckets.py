@@ -152,3 +152,89 @@ def test_first_seen_of_repeated_batches(spark, tmp_path):
     for i, rows in enumerate([[("a", 5, 6), ("b", 1, 1)], [("a", 2, 9)], [("a", 2, 9)]]):
         step(spark.createDataFrame(rows, schema), min(i, 1))
     assert sorted(map(tuple, read_store(spark, str(tmp_path / "seen")).collect())) == [("a", 2, 9), ("b", 1, 1)]
+
+
+def _postings(spark, rows):
+    schema = "posting_id string, title string, day string, ord bigint, matched_titlewords array<string>, first_collected_on date, last_collected_on date"
+    df = spark.createDataFrame([(k, t, d, o, ["w"], None, None) for k, t, d, o in rows], schema)
+    df = df.withColumns({"collected_on": F.to_date("day"), "description": F.concat(F.lit("text of "), "title")})
+    return settle(df.drop("day"), "rows")
+
+
+# The first run has copies, the second a known key, a new one with copies, and null keys.
+RUNS = [
+    [("a", "A1", "2024-01-01", 1), ("a", "A2", "2024-01-03", 2), ("b", "B", "2024-01-02", 1), (None, "N1", "2024-01-02", 1)],
+    [("a", "A3", "2024-01-02", 3), ("c", "C1", "2024-01-09", 3), ("c", "C2", "2024-01-07", 4), (None, "N2", "2024-01-01", 3), (None, "N3", "2024-01-08", 4)],
+]
+
+
+def _watch(monkeypatch, *modules):
+    """The columns of the tables that are settled, and which were joined to stored keys."""
+    settled, tested = [], []
+    for module in modules:
+        monkeypatch.setattr(module, "settle", lambda df, purpose, **options: settled.append(df.columns) or settle(df, purpose, **options))
+    plain = buckets.added_rows
+    monkeypatch.setattr(buckets, "added_rows", lambda rows, *args: tested.append(rows.columns) or plain(rows, *args))
+    return settled, tested
+
+
+def test_a_run_moves_texts_for_the_merge_and_the_dates_only(spark, tmp_path, monkeypatch):
+    settled, tested = _watch(monkeypatch, jobs, buckets)
+    root = str(tmp_path)
+    for rows in RUNS:
+        jobs.store_run(_postings(spark, rows), root, settled=True)
+    assert tested == [["posting_id"]] and not any("description" in columns for columns in settled)
+
+    def shown(name):
+        rows = read_store(spark, f"{root}/{name}").selectExpr("posting_id", "title", "description", "string(first_collected_on)", "string(last_collected_on)", "timespan_days")
+        return sorted(map(tuple, rows.collect()), key=str)
+
+    # A posting without a key gets no dates of history, and is always added.
+    added = [
+        (None, "N2", "text of N2", None, None, None), (None, "N3", "text of N3", None, None, None),
+        ("c", "C1", "text of C1", "2024-01-07", "2024-01-09", 2), ("c", "C2", "text of C2", "2024-01-07", "2024-01-09", 2),
+    ]
+    assert shown("newly_added") == sorted(added, key=str)
+    assert shown("current") == sorted([*added, ("a", "A3", "text of A3", "2024-01-01", "2024-01-03", 2)], key=str)
+    assert shown("history") == sorted([
+        (None, "N1", "text of N3", "2024-01-01", "2024-01-08", 7), ("a", "A1", "text of A2", "2024-01-01", "2024-01-03", 2),
+        ("b", "B", "text of B", "2024-01-02", "2024-01-02", 0), ("c", "C1", "text of C1", "2024-01-07", "2024-01-09", 2),
+    ], key=str)
+
+
+def test_ingest_logs_added_postings_from_the_merge(spark, tmp_path, monkeypatch):
+    settled, tested = _watch(monkeypatch, streams, buckets)
+    step = streams.ingest_snapshots(f"{tmp_path}/history", f"{tmp_path}/added", number=4, settled=True)
+    logged = []
+    for i, rows in enumerate(RUNS):
+        batch = _postings(spark, rows)
+        step(batch, i)
+        logged.append(batch)
+    assert tested == [["posting_id"]] and not any("description" in columns for columns in settled)
+    columns = ["posting_id", "title", "description", "first_collected_on", "last_collected_on", "matched_titlewords"]
+    whole = [logged[0], logged[1].where("posting_id IS NULL OR posting_id = 'c'")]
+    for i, fresh in enumerate(whole):
+        merged = snapshots.unify(fresh, "ord")
+        got = spark.read.parquet(f"{tmp_path}/added/run={i}")
+        assert got.columns == merged.columns
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, merged.select(columns).collect()))
+
+
+def test_nothing_added_is_committed_before_it_is_logged(spark, tmp_path, monkeypatch):
+    """A batch whose log could not be written is not in history, so it is repeated whole."""
+    history, added = f"{tmp_path}/history", tmp_path / "added"
+    added.write_text("not a folder")
+    step = streams.ingest_snapshots(history, str(added), number=4)
+    with pytest.raises(Exception):
+        step(_postings(spark, RUNS[0]), 0)
+    assert buckets.manifest(spark, history) is None
+
+
+def test_grouped_rows_are_not_moved_again(spark, tmp_path):
+    rows = _postings(spark, RUNS[0])
+    fold = lambda past, new: snapshots.unify(new, "ord")
+    plain, _ = merge_store(rows, str(tmp_path / "plain"), fold)
+    state, some = merge_store(rows, str(tmp_path / "grouped"), fold, grouped=True)
+    assert state.held == plain.held and some
+    both = [sorted(map(str, read_store(spark, str(tmp_path / n)).collect())) for n in ("plain", "grouped")]
+    assert both[0] == both[1] and len(both[0]) == 3
