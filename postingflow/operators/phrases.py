@@ -1,8 +1,7 @@
 """Text statistics, service cost, and phrase mining.
 
-Phrases are runs of one to three words of a document; the longest run at each word is counted
-with partial aggregation, so a phrase found everywhere costs one counter per task, and shorter
-phrases are counted from the distinct runs.
+Phrases are runs of one to three words of a document; the longest run at each word is dealt by
+its first two words and counted there, and shorter phrases are counted from the distinct runs.
 """
 
 from __future__ import annotations
@@ -18,6 +17,9 @@ from postingflow.functions.once import explode_once, let
 from postingflow.functions.text import language, ngrams, nlp_units, word_count, words
 from postingflow.session import settle
 
+# Runs that are looked at to find starts so frequent that one task would count too many of them.
+HOT_SAMPLE = 10_000
+
 
 def default_stopwords() -> tuple[str, ...]:
     """English and German stop words as shipped with Spark ML."""
@@ -106,27 +108,59 @@ def runs(tokens: Column, least: int = 1) -> Column:
     return F.transform(tokens, longest)
 
 
-def run_counts(found: DataFrame, column: str = "runs", least: int = 1, min_count: int = 2) -> DataFrame:
+def word_runs(found: DataFrame, column: str = "tokens", stopwords=(), least: int = 1) -> DataFrame:
+    """The runs of ``runs`` as rows: ``start``, the first two words (one, if there is no second),
+    and ``third``. A stop word or a NULL token ends a run."""
+
+    def kept(word):
+        return F.when(~word.isin(list(stopwords)), word) if stopwords else word
+
+    # The outer form, as in explode_once: a plain generator would evaluate the tokens again.
+    at = found.select(column, F.posexplode_outer(column).alias("i", "first"))
+    first, second, third = (kept(w) for w in (F.col("first"), F.get(column, F.col("i") + 1), F.get(column, F.col("i") + 2)))
+    at = at.where(first.isNotNull() if least < 2 else first.isNotNull() & second.isNotNull())
+    return at.select(F.concat_ws(" ", "first", second).alias("start"), F.when(second.isNotNull(), third).alias("third"))
+
+
+def hot_starts(each: DataFrame) -> list[str]:
+    """Starts that make up a hundredth of ``HOT_SAMPLE`` runs or more; at most a hundred.
+
+    They only say which rows are spread over tasks, so counts are exact whatever runs are seen.
+    """
+    seen = each.limit(HOT_SAMPLE).groupBy("start").count().where(F.col("count") >= HOT_SAMPLE // 100)
+    return [row["start"] for row in seen.collect()]
+
+
+def run_counts(each: DataFrame, least: int = 1, min_count: int = 2) -> DataFrame:
     """Occurrences of the phrases of ``least`` to three words that begin a run, rarer ones left out.
 
-    A token gives one run instead of up to three phrases. Runs are counted first; one of three
-    words is a phrase whose count is known then, and the shorter ones at its beginning are
-    counted from the distinct runs.
+    A token gives one run instead of up to three phrases. Most runs are rare, so they are dealt by
+    ``start`` without counting them first; then runs of three words and those of two at their
+    beginning are counted where they lie. Only for single words or hot starts is what is frequent
+    enough shuffled again: a hot start's rows have a part for each task that read them, and the
+    counts of the parts are summed there.
     """
-    each = explode_once(found, F.col(column), "run").groupBy("run").agg(F.count("*").alias("n"))
-    one, two = (F.substring_index("run", " ", k) for k in (1, 2))
-    starts = [(F.when(F.col("run") != two, F.col("run")), True), (two, False), (F.when(two != one, one), False)]
-    starts = F.array(*[F.struct(p.alias("phrase"), F.lit(known).alias("known")) for p, known in starts[: 4 - least]])
-    # Filters on generated columns stay above the count, so both sides read one shuffle.
-    cut = each.select("n", F.inline_outer(starts)).where("phrase IS NOT NULL")
-    short = cut.where("NOT known").groupBy("phrase").agg(F.sum("n").alias("n"))
-    return cut.where("known").select("phrase", "n").unionByName(short).where(F.col("n") >= min_count)
+    keys, enough = ["start"], F.col("n") >= min_count
+    if hot := hot_starts(each):
+        each = each.withColumn("part", F.when(F.col("start").isin(hot), F.spark_partition_id()))
+        keys, enough = ["start", "part"], enough | F.col("part").isNotNull()
+    whole = each.repartition(*keys).groupBy(*keys, "third").agg(F.count("*").alias("n"))
+    both = F.array(F.struct(F.lit(None).cast("string").alias("third"), F.lit(True).alias("some")),
+                   F.struct("third", (F.col("third").isNotNull() & enough).alias("some")))
+    counted = whole.select(*keys, "n", F.inline_outer(both)).where("some").groupBy(*keys, "third").agg(F.sum("n").alias("n"))
+    if least > 1 and not hot:
+        return counted.where(enough).select(F.concat_ws(" ", "start", "third").alias("phrase"), "n")
+    word = F.substring_index("start", " ", 1)
+    several = F.when(enough & (F.col("start") != word), F.concat_ws(" ", "start", "third"))
+    found = [several] if least > 1 else [several, F.when(F.col("third").isNull(), word)]
+    cut = counted.select("n", F.explode_outer(F.array(*found)).alias("phrase")).where("phrase IS NOT NULL")
+    return cut.groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
 def mine_keywords(df: DataFrame, stopwords, text: str = "description", min_count: int = 2) -> DataFrame:
     """Counts of all phrases that are not a stop word."""
-    found = df.select(let(words(F.col(text)), lambda tokens: runs(tokens)).alias("runs"))
-    return run_counts(found, min_count=min_count).where(~is_stopword(F.col("phrase"), stopwords))
+    found = df.select(words(F.col(text)).alias("tokens"))
+    return run_counts(word_runs(found), min_count=min_count).where(~is_stopword(F.col("phrase"), stopwords))
 
 
 def _without(text: Column, stopwords) -> Column:
@@ -142,10 +176,10 @@ def keyphrases(text: Column, stopwords) -> Column:
 def mine_keyphrases(df: DataFrame, stopwords, text: str = "description", min_count: int = 2) -> DataFrame:
     """Counts of phrases of several words free of stop words.
 
-    Stop words are blanked before phrases are built, so no phrase is made to be dropped.
+    Stop words end a run before phrases are built, so no phrase is made to be dropped.
     """
-    found = df.select(let(_without(F.col(text), stopwords), lambda tokens: runs(tokens, 2)).alias("runs"))
-    return run_counts(found, least=2, min_count=min_count)
+    found = df.select(words(F.col(text)).alias("tokens"))
+    return run_counts(word_runs(found, stopwords=tuple(stopwords), least=2), least=2, min_count=min_count)
 
 
 def top_phrases(counts: DataFrame, n: int = 15) -> DataFrame:

@@ -127,3 +127,34 @@ def test_phrase_language_equals_plain_costs(spark):
             costs = sorted((-sum(w[s] for x in words or [] for s in _slots(x)), name) for w, name in zip(weights, model.languages))
             sure = words and (not margin or costs[1][0] - costs[0][0] > margin)
             assert got == (costs[0][1] if sure else None)
+
+
+def test_runs_as_rows_equal_runs(spark):
+    rows = [(["a", "b", None, "c", "d", "e", "the", "f"],), ([],), (None,), ([None],)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    for least in (1, 2):
+        blanked = df.select(F.explode(phrases.runs(F.expr("transform(t, w -> if(w = 'the', null, w))"), least)).alias("r")).where("r IS NOT NULL")
+        got = phrases.word_runs(df, "t", ("the",), least).collect()
+        assert Counter(" ".join(w for w in r if w is not None) for r in got) == Counter(r["r"] for r in blanked.collect())
+
+
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_hot_starts_are_spread_and_counted_whole(spark, min_count):
+    texts = ["a b c"] * 150 + ["a b"] * 60 + ["a b the a", "x a b y", "a", "q r", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "description string").repartition(7)
+    tokens = df.selectExpr("split(description, ' ') AS tokens")
+    assert set(phrases.hot_starts(phrases.word_runs(tokens))) == {"a b", "b c", "c"}
+    split = [(t or "").split() for t in texts]
+    many = Counter(p for t in split for p in _grams(t, 1) if p != "the")
+    several = Counter(p for t in split for p in _grams([None if w == "the" else w for w in t], 2))
+    for mined, want in ((phrases.mine_keywords, many), (phrases.mine_keyphrases, several)):
+        got = [(r["phrase"], r["n"]) for r in mined(df, ("the",), min_count=min_count).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == {p: n for p, n in want.items() if n >= min_count}
+
+
+def test_runs_are_shuffled_and_counted_once(spark):
+    """One shuffle of the runs, one more where single words count; no run is built in a lambda."""
+    df = spark.createDataFrame([("a b c a b c",)], "description string")
+    for mined, shuffles in ((phrases.mine_keywords, 2), (phrases.mine_keyphrases, 1)):
+        plan = mined(df, ("the",))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == shuffles and "transform(" not in plan
